@@ -56,9 +56,8 @@ def decode_entities(text: Column) -> Column:
         name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
         return F.when(i == 0, part).otherwise(let(name, lambda n: replaced(part, n)))
 
-    return F.when(
-        text.contains("&"), F.array_join(F.transform(F.split(text, "&"), decoded), "")
-    ).otherwise(text)
+    return let(text, lambda t: F.when(
+        t.contains("&"), F.array_join(F.transform(F.split(t, "&"), decoded), "")).otherwise(t))
 
 
 def collapse_blanks(text: Column) -> Column:
@@ -66,15 +65,23 @@ def collapse_blanks(text: Column) -> Column:
 
 
 def strip_tags(text: Column) -> Column:
-    plain = F.regexp_replace(text, COMMENT, "")
-    plain = F.regexp_replace(plain, HIDDEN, "")
-    plain = F.regexp_replace(plain, BLOCK, " ")
-    return F.regexp_replace(plain, TAG, "")
+    def stripped(t: Column) -> Column:
+        plain = F.regexp_replace(t, COMMENT, "")
+        plain = F.regexp_replace(plain, HIDDEN, "")
+        plain = F.regexp_replace(plain, BLOCK, " ")
+        return F.regexp_replace(plain, TAG, "")
+
+    return let(text, lambda t: F.when(t.contains("<"), stripped(t)).otherwise(t))
+
+
+def plain_text(markup: Column) -> Column:
+    """Visible text of mark-up; NULL stays NULL."""
+    return collapse_blanks(decode_entities(strip_tags(markup)))
 
 
 def clean_html(text: Column) -> Column:
     """Visible text of a fragment: no tags, entities decoded, single blanks; '' for NULL."""
-    return F.coalesce(collapse_blanks(let(strip_tags(text), decode_entities)), F.lit(""))
+    return F.coalesce(plain_text(text), F.lit(""))
 
 
 def escape_cdata(text: Column) -> Column:

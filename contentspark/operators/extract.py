@@ -11,8 +11,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contentspark.functions.binding import let
 from contentspark.functions.dates import parse_feed_date
-from contentspark.functions.html import COMMENT, clean_html, collapse_blanks, decode_entities, escape_cdata, strip_tags
+from contentspark.functions.html import COMMENT, clean_html, decode_entities, escape_cdata, plain_text
 
 MAX_PAYLOAD_BYTES = 5 * 1024 * 1024
 
@@ -43,16 +44,27 @@ def inner(text: Column, tag: str) -> Column:
 
 
 def element_text(text: Column, tag: str) -> Column:
-    return collapse_blanks(decode_entities(strip_tags(inner(text, tag))))
+    return plain_text(inner(text, tag))
 
 
 def non_blank(text: Column) -> Column:
-    return F.when(F.trim(text) != "", text)
+    return let(text, lambda t: F.when(F.trim(t) != "", t))
 
 
-def feed_format(text: Column) -> Column:
-    """``rss`` when there is any item, else ``atom`` when there is any entry, else NULL."""
-    return F.when(has_tag(text, "item"), "rss").when(has_tag(text, "entry"), "atom")
+def _items(text: Column, tag: str, name: str) -> Column:
+    """Mark-up of every element of this name, in order, each with the feed format it stands for."""
+    pieces = F.split(text, _start(tag))
+    return F.transform(
+        F.slice(pieces, F.lit(2), F.size(pieces)),
+        lambda piece: F.struct(
+            F.lit(name).alias("format"), F.regexp_replace(piece, rf"(?is)</{tag}\s*>.*", "").alias("markup")),
+    )
+
+
+def feed_pieces(text: Column) -> Column:
+    """RSS items when there is any item, else Atom entries when there is any entry, else NULL."""
+    return F.when(has_tag(text, "item"), _items(text, "item", "rss")).when(
+        has_tag(text, "entry"), _items(text, "entry", "atom"))
 
 
 def atom_link(entry: Column) -> Column:
@@ -63,23 +75,21 @@ def atom_link(entry: Column) -> Column:
 
 
 def atom_content(entry: Column) -> Column:
-    media = element_text(inner(entry, "media:group"), "media:description")
+    media = let(inner(entry, "media:group"), lambda group: element_text(group, "media:description"))
     return F.coalesce(
         non_blank(media), non_blank(element_text(entry, "summary")), element_text(entry, "content"))
 
 
 def _segments(payloads: DataFrame) -> DataFrame:
-    """One row per item: ``format``, ``position`` and the item's mark-up."""
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    documents = payloads.withColumn("__text", F.regexp_replace(escape_cdata(text), COMMENT, ""))
-    pieces = F.when(has_tag(F.col("__text"), "item"), F.split("__text", _start("item"))).when(
-        has_tag(F.col("__text"), "entry"), F.split("__text", _start("entry")))
-    exploded = documents.select(
-        "source_id", "ingest_ts", feed_format(F.col("__text")).alias("format"),
-        F.posexplode(pieces).alias("position", "__piece"),
-    ).where(F.col("position") > 0)
-    end = F.when(F.col("format") == "rss", r"(?is)</item\s*>.*").otherwise(r"(?is)</entry\s*>.*")
-    return exploded.withColumn("__item", F.regexp_replace("__piece", end, F.lit(""))).drop("__piece")
+    """One row per item: ``format``, ``position`` and the item's mark-up.
+
+    The document stays inside the generator, so exploded rows do not carry it along.
+    """
+    text = let(F.make_valid_utf8(F.col("content").cast("string")), escape_cdata)
+    pieces = let(F.regexp_replace(text, COMMENT, ""), feed_pieces)
+    return payloads.select("source_id", "ingest_ts", F.posexplode(pieces).alias("i", "piece")).select(
+        "source_id", "ingest_ts", (F.col("i") + 1).alias("position"), "piece.format",
+        F.col("piece.markup").alias("__item"))
 
 
 def extract_feed_items(payloads: DataFrame, max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame:

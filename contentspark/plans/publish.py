@@ -7,20 +7,25 @@ by day, where clearing drops whole days. No round rewrites history.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contentspark.operators.outbox import (
-    BATCH_SIZE, LEASE_MS, RETENTION_MS, apply_outcomes, claim_batch, is_expired, purge_processed,
+    BATCH_SIZE, LEASE_MS, RETENTION_MS, apply_outcomes, claim_batch, is_expired,
 )
 from contentspark.schemas import OUTBOX_EVENT
-from contentspark.sources.tables import path_exists, read_snapshot, snapshot_versions, write_snapshot
+from contentspark.sources.tables import child_names, delete_folder, path_exists, read_snapshot, write_snapshot
 from contentspark.sources.topics import topic_rows
 
-_DONE = T.StructType([
-    *OUTBOX_EVENT.fields, T.StructField("round", T.LongType()), T.StructField("processed_on", T.DateType())])
+_CLAIMED = T.StructType([*OUTBOX_EVENT.fields, T.StructField("claimed", T.BooleanType())])
+
+
+def _moment(spark: SparkSession, now: Column) -> datetime:
+    """The time of a round, read once so that every step sees the same."""
+    return spark.range(1).select(now.cast("timestamp_ntz")).first()[0]
 
 
 def read_pending(spark: SparkSession, path: str) -> DataFrame:
@@ -29,13 +34,13 @@ def read_pending(spark: SparkSession, path: str) -> DataFrame:
 
 def read_done(spark: SparkSession, path: str) -> DataFrame:
     if not path_exists(spark, f"{path}/done"):
-        return spark.createDataFrame([], _DONE)
-    return spark.read.schema(_DONE).parquet(f"{path}/done")
+        return spark.createDataFrame([], OUTBOX_EVENT)
+    return spark.read.schema(OUTBOX_EVENT).option("recursiveFileLookup", "true").parquet(f"{path}/done")
 
 
 def read_outbox(spark: SparkSession, path: str) -> DataFrame:
     """All outbox rows: pending ones, and processed ones not cleared yet."""
-    return read_pending(spark, path).unionByName(read_done(spark, path).select(*OUTBOX_EVENT.fieldNames()))
+    return read_pending(spark, path).unionByName(read_done(spark, path))
 
 
 def append_outbox(spark: SparkSession, path: str, rows: DataFrame) -> int:
@@ -53,13 +58,13 @@ def publish_outbox(
     The lease is stored before anything is sent. A crash after sending and before storing sends again.
     """
     pending_path = f"{path}/pending"
-    claimed, leased = claim_batch(read_pending(spark, path), now, limit, lease_ms)
-    # The claim is fixed by storing it: the lease time marks the rows of this round.
-    lease_round = write_snapshot(leased.join(
-        claimed.select("id", F.lit(True).alias("__mine")), "id", "left"), pending_path)
-    stored = spark.read.schema(T.StructType([*OUTBOX_EVENT.fields, T.StructField("__mine", T.BooleanType())])).parquet(
-        f"{pending_path}/v={lease_round}")
-    mine = stored.where("__mine")
+    at = _moment(spark, now)
+    pending = read_pending(spark, path)
+    claimed, leased = claim_batch(pending, F.lit(at), limit, lease_ms)
+    flagged = leased.join(claimed.select("id", F.lit(True).alias("claimed")), "id", "left")
+    version = write_snapshot(flagged, pending_path)
+    stored = spark.read.schema(_CLAIMED).parquet(f"{pending_path}/v={version}")
+    mine = stored.where("claimed")
     count = mine.count()
     if count == 0:
         return 0
@@ -69,13 +74,10 @@ def publish_outbox(
     except Exception as failure:
         ok, error = False, str(failure)
     outcomes = mine.select("id", F.lit(ok).alias("ok"), F.lit(error).cast("string").alias("error"))
-    state = apply_outcomes(stored.drop("__mine"), outcomes, now, outcome_rows=limit)
-    done = state.where(F.col("processed_at").isNotNull())
+    state = apply_outcomes(stored.drop("claimed"), outcomes, F.lit(at), outcome_rows=count)
     if ok:
-        (
-            done.withColumn("processed_on", F.to_date("processed_at"))
-            .write.mode("overwrite").partitionBy("processed_on").parquet(f"{path}/done/round={lease_round}")
-        )
+        done = state.where(F.col("processed_at").isNotNull())
+        done.write.mode("overwrite").parquet(f"{path}/done/{at.date()}/{version}")
     write_snapshot(state.where(F.col("processed_at").isNull()), pending_path)
     return count if ok else 0
 
@@ -83,32 +85,25 @@ def publish_outbox(
 def purge_outbox(spark: SparkSession, path: str, now: Column, age_ms: int = RETENTION_MS) -> int:
     """Removes rows processed longer ago than ``age_ms``; the number removed.
 
-    Day folders before the boundary day go as a whole; only the boundary day is rewritten.
+    Days before the boundary day go as a whole. The boundary day's kept rows are written anew before its old
+    folders go; a crash in between leaves them twice until the next run.
     """
-    done = read_done(spark, path)
-    expired = is_expired(now, age_ms)
-    touched = done.where(F.col("processed_on") <= F.to_date(now.cast("timestamp_ntz") - F.make_dt_interval(
-        secs=F.lit(age_ms / 1000)))).where(expired)
-    counted = touched.groupBy("round", "processed_on").agg(F.count("*").alias("n")).collect()
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    for row in counted:
-        folder = f"{path}/done/round={row['round']}/processed_on={row['processed_on']}"
-        kept, _ = purge_processed(done.where(
-            (F.col("round") == row["round"]) & (F.col("processed_on") == F.lit(row["processed_on"]))), now, age_ms)
-        kept = kept.drop("round", "processed_on")
-        if kept.isEmpty():
-            target = fs_path(folder)
-            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-        else:
-            kept.write.mode("overwrite").parquet(f"{folder}.new")
-            kept_rows = spark.read.schema(OUTBOX_EVENT).parquet(f"{folder}.new")
-            kept_rows.write.mode("overwrite").parquet(folder)
-            target = fs_path(f"{folder}.new")
-            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-    return sum(row["n"] for row in counted)
-
-
-__all__ = [
-    "append_outbox", "publish_outbox", "purge_outbox", "read_done", "read_outbox", "read_pending",
-    "snapshot_versions",
-]
+    at = _moment(spark, now)
+    boundary = (at - timedelta(milliseconds=age_ms)).date()
+    removed = 0
+    for day in child_names(spark, f"{path}/done"):
+        if date.fromisoformat(day) > boundary:
+            continue
+        folder = f"{path}/done/{day}"
+        rounds = child_names(spark, folder)
+        rows = spark.read.schema(OUTBOX_EVENT).parquet(*[f"{folder}/{r}" for r in rounds])
+        expired = is_expired(F.lit(at), age_ms)
+        gone = rows.where(expired).count()
+        if date.fromisoformat(day) < boundary:
+            delete_folder(spark, folder)
+        elif gone:
+            rows.where(~expired).write.mode("overwrite").parquet(f"{folder}/{max(map(int, rounds)) + 1}")
+            for name in rounds:
+                delete_folder(spark, f"{folder}/{name}")
+        removed += gone
+    return removed

@@ -24,6 +24,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(folder)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    fs, folder = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    fs, folder = _folder(spark, path)
+    fs.delete(folder, True)
+
+
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """Content items with the micro-batch that wrote them; empty before the first write."""
     if not path_exists(spark, path):
