@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from contentspark.functions.binding import let
+from contentspark.functions.binding import bind, let_sql, quoted
 
 # Elements that break a line of text; every other tag vanishes without a gap.
 BLOCK_TAGS = (
@@ -26,79 +27,62 @@ BLANKS = "[ \\t\\n\\f\\r\u00a0]+"
 
 NAMED_ENTITIES = {**name2codepoint, "apos": 39}
 
+_REFERENCE = quoted(r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);")
+_CDATA, _CDATA_END = "<![CDATA[", "]]>"
 
-def code_point(number: Column) -> Column:
-    """The character with this number; NULL outside the Unicode scalar values."""
-    scalar = number.between(1, 55295) | number.between(57344, 1114111)
-    return F.when(scalar, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
 
+def _entity_sql(name: str) -> str:
+    """The character a reference name stands for; NULL when there is none."""
+    names = "str_to_map('" + "\\u0002".join(
+        f"{n}\\u0001\\u{c:04x}" for n, c in NAMED_ENTITIES.items()) + "', '\\u0002', '\\u0001')"
+    number = (f"try_cast(if(lower(substring({name}, 2, 1)) = 'x', conv(substring({name}, 3), 16, 10), "
+              f"substring({name}, 2)) AS bigint)")
+    char = let_sql("c", number, "if(c BETWEEN 1 AND 55295 OR c BETWEEN 57344 AND 1114111, "
+                                "decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32'), NULL)")
+    return f"if(startswith({name}, '#'), {char}, {names}[{name}])"
 
-def _reference_number(name: Column) -> Column:
-    digits = F.regexp_extract(name, r"^#[xX]?([0-9a-fA-F]+)$", 1)
-    return F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
 
-
-def decode_entities(text: Column) -> Column:
+def decode_entities_sql(text: str) -> str:
     """Named and numeric character references, each decoded once, from left to right."""
-    pairs: list[Column] = []
-    for name, number in NAMED_ENTITIES.items():
-        pairs += [F.lit(name), F.lit(chr(number))]
-    names = F.create_map(*pairs)
-
-    def replaced(part: Column, name: Column) -> Column:
-        char = F.when(
-            name.startswith("#"), let(_reference_number(name), code_point)
-        ).otherwise(names[name])
-        rest = F.substring(part, F.length(name) + 2, F.length(part))
-        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part))
-
-    def decoded(part: Column, i: Column) -> Column:
-        name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        return F.when(i == 0, part).otherwise(let(name, lambda n: replaced(part, n)))
+    replaced = let_sql(
+        "n", f"regexp_extract(part, {_REFERENCE}, 1)",
+        f"coalesce(concat(if(n = '', NULL, {_entity_sql('n')}), substring(part, length(n) + 2)), concat('&', part))")
+    decoded = f"array_join(transform(split(t, '&'), (part, i) -> if(i = 0, part, {replaced})), '')"
+    return let_sql("t", text, f"if(contains(t, '&'), {decoded}, t)")
 
-    return let(text, lambda t: F.when(
-        t.contains("&"), F.array_join(F.transform(F.split(t, "&"), decoded), "")).otherwise(t))
 
+def strip_tags_sql(text: str) -> str:
+    plain = "t"
+    for pattern, gap in ((COMMENT, ""), (HIDDEN, ""), (BLOCK, " "), (TAG, "")):
+        plain = f"regexp_replace({plain}, {quoted(pattern)}, '{gap}')"
+    return let_sql("t", text, f"if(contains(t, '<'), {plain}, t)")
 
-def collapse_blanks(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), BLANKS, " "))
 
+def collapse_blanks_sql(text: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({text}, {quoted(INVISIBLE)}, ''), {quoted(BLANKS)}, ' '))"
 
-def strip_tags(text: Column) -> Column:
-    def stripped(t: Column) -> Column:
-        plain = F.regexp_replace(t, COMMENT, "")
-        plain = F.regexp_replace(plain, HIDDEN, "")
-        plain = F.regexp_replace(plain, BLOCK, " ")
-        return F.regexp_replace(plain, TAG, "")
 
-    return let(text, lambda t: F.when(t.contains("<"), stripped(t)).otherwise(t))
+def plain_text_sql(markup: str) -> str:
+    """Visible text of mark-up; NULL stays NULL."""
+    return collapse_blanks_sql(decode_entities_sql(strip_tags_sql(markup)))
 
 
-def plain_text(markup: Column) -> Column:
-    """Visible text of mark-up; NULL stays NULL."""
-    return collapse_blanks(decode_entities(strip_tags(markup)))
+def decode_entities(text: Column) -> Column:
+    return bind(decode_entities_sql("p.text"), text=text)
 
 
 def clean_html(text: Column) -> Column:
     """Visible text of a fragment: no tags, entities decoded, single blanks; '' for NULL."""
-    return F.coalesce(plain_text(text), F.lit(""))
+    return F.coalesce(bind(plain_text_sql("p.text"), text=text), F.lit(""))
 
 
-def escape_cdata(text: Column) -> Column:
+def escape_cdata_sql(text: str) -> str:
     """Character-data sections rewritten as escaped text, so that later tag matching cannot see into them."""
-    def escaped(raw: Column) -> Column:
-        return F.replace(F.replace(F.replace(raw, F.lit("&"), F.lit("&amp;")),
-                                   F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-
-    def section(part: Column, i: Column) -> Column:
-        return F.when(i == 0, part).otherwise(let(
-            F.locate("]]>", part),
-            lambda end: F.when(end > 0, F.concat(
-                escaped(F.substring(part, F.lit(1), end - 1)), F.substring(part, end + 3, F.length(part)),
-            )).otherwise(escaped(part)),
-        ))
-
-    return F.when(
-        text.contains("<![CDATA["),
-        F.array_join(F.transform(F.split(text, r"<!\[CDATA\["), section), ""),
-    ).otherwise(text)
+    def escaped(raw: str) -> str:
+        return f"replace(replace(replace({raw}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+    section = let_sql(
+        "e", f"locate('{_CDATA_END}', part)",
+        f"if(e > 0, concat({escaped('substring(part, 1, e - 1)')}, substring(part, e + {len(_CDATA_END)})), {escaped('part')})")
+    sections = f"array_join(transform(split(t, {quoted(re.escape(_CDATA))}), (part, i) -> if(i = 0, part, {section})), '')"
+    return let_sql("t", text, f"if(contains(t, '{_CDATA}'), {sections}, t)")

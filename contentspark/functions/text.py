@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from contentspark.functions.binding import quoted
+
 WORD = r"([\p{L}\p{N}]+)"
 
 # English stop words.
@@ -40,7 +42,12 @@ LIGHT_RUSSIAN = (
 )
 LIGHT_MIN_STEM = 3
 
-Stemmer = Callable[[Column], Column]
+# A stemmer maps the SQL text of a word to the SQL text of its lexeme.
+Stemmer = Callable[[str], str]
+
+
+def words_sql(text: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({text}, '')), {quoted(WORD)}, 1)"
 
 
 def words(text: Column) -> Column:
@@ -52,24 +59,24 @@ def is_stop_word(word: Column) -> Column:
     return word.isin(*STOP_WORDS)
 
 
-def is_cyrillic(word: Column) -> Column:
+def is_cyrillic_sql(word: str) -> str:
     """Whether a word starts in the Cyrillic block; plain byte comparisons."""
-    return (word >= "\u0400") & (word < "\u0530")
+    return f"({word} >= '\\u0400' AND {word} < '\\u0530')"
 
 
-def stem_none(word: Column) -> Column:
+def stem_none(word: str) -> str:
     return word
 
 
-def stem_light(word: Column) -> Column:
+def stem_light(word: str) -> str:
     # Few branches on purpose: a longer chain makes the generated method too big to be compiled.
-    english = F.when(F.length(word) <= LIGHT_MIN_STEM, word)
-    for ending in LIGHT_ENGLISH:
-        english = english.when(
-            word.endswith(ending) & (F.length(word) >= LIGHT_MIN_STEM + len(ending)),
-            F.substring(word, F.lit(1), F.length(word) - len(ending)),
-        )
-    return F.when(is_cyrillic(word), F.regexp_replace(word, LIGHT_RUSSIAN, "$1")).otherwise(english.otherwise(word))
+    english = "".join(
+        f" WHEN endswith({word}, '{e}') AND length({word}) >= {LIGHT_MIN_STEM + len(e)}"
+        f" THEN substring({word}, 1, length({word}) - {len(e)})" for e in LIGHT_ENGLISH)
+    return (
+        f"CASE WHEN {is_cyrillic_sql(word)} THEN regexp_replace({word}, {quoted(LIGHT_RUSSIAN)}, '$1')"
+        f" WHEN length({word}) <= {LIGHT_MIN_STEM} THEN {word}{english} ELSE {word} END"
+    )
 
 
 def stemmer(name: str) -> Stemmer:
@@ -77,3 +84,8 @@ def stemmer(name: str) -> Stemmer:
     from contentspark.functions.stem import stem_snowball
 
     return {"none": stem_none, "light": stem_light, "snowball": stem_snowball}[name]
+
+
+def lexeme(word: str, stem: Stemmer) -> Column:
+    """The lexeme of one given word."""
+    return F.expr(stem(quoted(word)))

@@ -6,14 +6,12 @@ split at the start tags of items, which also finds the items of documents whose
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentspark.functions.binding import let
+from contentspark.functions.binding import bind, let_sql, quoted
 from contentspark.functions.dates import parse_feed_date
-from contentspark.functions.html import COMMENT, clean_html, decode_entities, escape_cdata, plain_text
+from contentspark.functions.html import COMMENT, clean_html, decode_entities_sql, escape_cdata_sql, plain_text_sql
 
 MAX_PAYLOAD_BYTES = 5 * 1024 * 1024
 
@@ -29,55 +27,63 @@ def split_by_size(payloads: DataFrame, max_bytes: int = MAX_PAYLOAD_BYTES) -> tu
 
 
 def _start(tag: str) -> str:
-    return rf"(?i)<{tag}(?=[\s>/])"
+    return quoted(rf"(?i)<{tag}(?=[\s>/])")
 
 
-def has_tag(text: Column, tag: str) -> Column:
-    return text.rlike(_start(tag))
+def inner_sql(text: str, tag: str) -> str:
+    """Mark-up inside the first element of this name; NULL without one, to the end when it is never closed."""
+    pattern = rf"(?is)<{tag}(?:\s[^>]*?)?(?:/>|>(.*?)(?:</{tag}\s*>|\z))"
+    return f"if({text} RLIKE {_start(tag)}, regexp_extract({text}, {quoted(pattern)}, 1), NULL)"
 
 
-def inner(text: Column, tag: str) -> Column:
-    """Mark-up inside the first element of this name; NULL without one, to the end when it is never closed."""
-    name = re.escape(tag)
-    pattern = rf"(?is)<{name}(?:\s[^>]*?)?(?:/>|>(.*?)(?:</{name}\s*>|\z))"
-    return F.when(has_tag(text, name), F.regexp_extract(text, pattern, 1))
+def text_sql(text: str, tag: str) -> str:
+    """Visible text of the first element of this name."""
+    return plain_text_sql(inner_sql(text, tag))
 
 
-def element_text(text: Column, tag: str) -> Column:
-    return plain_text(inner(text, tag))
+def non_blank_sql(text: str) -> str:
+    return let_sql("b", text, "if(b = '', NULL, b)")
 
 
-def non_blank(text: Column) -> Column:
-    return let(text, lambda t: F.when(F.trim(t) != "", t))
+def atom_link_sql(entry: str) -> str:
+    """Target of the first link that has one, else the text of the first link."""
+    tag = quoted(r"""(?is)<link\s(?:[^>]*?\s)?href\s*=\s*(?:"[^"]*"|'[^']*')""")
+    value = quoted(r"""(?is)^<link\s(?:[^>]*?\s)?href\s*=\s*["'](.*)["']$""")
+    target = decode_entities_sql(f"regexp_extract(tag, {value}, 1)")
+    return let_sql("tag", f"regexp_extract({entry}, {tag}, 0)", f"if(tag = '', {text_sql(entry, 'link')}, {target})")
 
 
-def _items(text: Column, tag: str, name: str) -> Column:
-    """Mark-up of every element of this name, in order, each with the feed format it stands for."""
-    pieces = F.split(text, _start(tag))
-    return F.transform(
-        F.slice(pieces, F.lit(2), F.size(pieces)),
-        lambda piece: F.struct(
-            F.lit(name).alias("format"), F.regexp_replace(piece, rf"(?is)</{tag}\s*>.*", "").alias("markup")),
-    )
+def atom_content_sql(entry: str) -> str:
+    media = let_sql("media", inner_sql(entry, "media:group"), text_sql("media", "media:description"))
+    return (f"coalesce({non_blank_sql(media)}, {non_blank_sql(text_sql(entry, 'summary'))}, "
+            f"{text_sql(entry, 'content')})")
 
 
-def feed_pieces(text: Column) -> Column:
-    """RSS items when there is any item, else Atom entries when there is any entry, else NULL."""
-    return F.when(has_tag(text, "item"), _items(text, "item", "rss")).when(
-        has_tag(text, "entry"), _items(text, "entry", "atom"))
+def _fields_sql(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
+
 
+RSS_FIELDS = _fields_sql(
+    external_id=f"coalesce({non_blank_sql(text_sql('p.m', 'guid'))}, {text_sql('p.m', 'link')})",
+    url=text_sql("p.m", "link"), title=text_sql("p.m", "title"), body=text_sql("p.m", "description"),
+    date=text_sql("p.m", "pubDate"),
+)
+ATOM_FIELDS = _fields_sql(
+    external_id=f"coalesce({text_sql('p.m', 'yt:videoId')}, {text_sql('p.m', 'id')}, {atom_link_sql('p.m')})",
+    url=atom_link_sql("p.m"), title=text_sql("p.m", "title"), body=atom_content_sql("p.m"),
+    date=f"coalesce({non_blank_sql(text_sql('p.m', 'published'))}, {text_sql('p.m', 'updated')})",
+)
 
-def atom_link(entry: Column) -> Column:
-    tag = r"""(?is)<link\s(?:[^>]*?\s)?href\s*=\s*(?:"[^"]*"|'[^']*')"""
-    value = r"""(?is)^<link\s(?:[^>]*?\s)?href\s*=\s*["'](.*)["']$"""
-    href = F.regexp_extract(F.regexp_extract(entry, tag, 0), value, 1)
-    return F.when(entry.rlike(tag), decode_entities(href)).otherwise(element_text(entry, "link"))
 
+def _pieces_sql(text: str) -> str:
+    """RSS items when there is any item, else Atom entries when there is any entry, else NULL."""
+    def pieces(tag: str, name: str) -> str:
+        after = quoted(rf"(?is)</{tag}\s*>.*")
+        item = f"named_struct('format', '{name}', 'markup', regexp_replace(piece, {after}, ''))"
+        return let_sql("s", f"split(d, {_start(tag)})", f"transform(slice(s, 2, size(s)), piece -> {item})")
 
-def atom_content(entry: Column) -> Column:
-    media = let(inner(entry, "media:group"), lambda group: element_text(group, "media:description"))
-    return F.coalesce(
-        non_blank(media), non_blank(element_text(entry, "summary")), element_text(entry, "content"))
+    return let_sql("d", text, f"CASE WHEN d RLIKE {_start('item')} THEN {pieces('item', 'rss')} "
+                              f"WHEN d RLIKE {_start('entry')} THEN {pieces('entry', 'atom')} END")
 
 
 def _segments(payloads: DataFrame) -> DataFrame:
@@ -85,33 +91,22 @@ def _segments(payloads: DataFrame) -> DataFrame:
 
     The document stays inside the generator, so exploded rows do not carry it along.
     """
-    text = let(F.make_valid_utf8(F.col("content").cast("string")), escape_cdata)
-    pieces = let(F.regexp_replace(text, COMMENT, ""), feed_pieces)
+    text = escape_cdata_sql("make_valid_utf8(CAST(p.content AS string))")
+    pieces = bind(_pieces_sql(f"regexp_replace({text}, {quoted(COMMENT)}, '')"), content=F.col("content"))
     return payloads.select("source_id", "ingest_ts", F.posexplode(pieces).alias("i", "piece")).select(
         "source_id", "ingest_ts", (F.col("i") + 1).alias("position"), "piece.format",
-        F.col("piece.markup").alias("__item"))
+        F.col("piece.markup").alias("markup"))
 
 
 def extract_feed_items(payloads: DataFrame, max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame:
     """``payloads(source_id, length, content, ingest_ts)`` to one row per feed item, in document order."""
-    item = F.col("__item")
-    rss = F.col("format") == "rss"
-    raw = _segments(payloads.where(size_fits(F.col("length"), max_bytes))).select(
-        "source_id", "ingest_ts", "format", "position",
-        F.when(rss, F.coalesce(non_blank(element_text(item, "guid")), element_text(item, "link")))
-        .otherwise(F.coalesce(element_text(item, "yt:videoId"), element_text(item, "id"), atom_link(item)))
-        .alias("external_id"),
-        F.when(rss, element_text(item, "link")).otherwise(atom_link(item)).alias("url"),
-        element_text(item, "title").alias("__title"),
-        F.when(rss, element_text(item, "description")).otherwise(atom_content(item)).alias("__body"),
-        F.when(rss, element_text(item, "pubDate"))
-        .otherwise(F.coalesce(non_blank(element_text(item, "published")), element_text(item, "updated")))
-        .alias("__date"),
-    )
-    return raw.select(
+    markup = F.col("markup")
+    fields = F.when(F.col("format") == "rss", bind(RSS_FIELDS, m=markup)).otherwise(bind(ATOM_FIELDS, m=markup))
+    read = _segments(payloads.where(size_fits(F.col("length"), max_bytes))).select(
+        "source_id", "ingest_ts", "format", "position", F.inline(F.array(fields)))
+    return read.select(
         "source_id", "format", "position", "external_id",
-        clean_html(F.col("__title")).alias("title"), "url",
-        clean_html(F.col("__body")).alias("content_text"),
-        F.coalesce(parse_feed_date(F.col("__date")), F.col("ingest_ts").cast("timestamp_ntz")).alias("published_at"),
+        clean_html(F.col("title")).alias("title"), "url", clean_html(F.col("body")).alias("content_text"),
+        F.coalesce(parse_feed_date(F.col("date")), F.col("ingest_ts").cast("timestamp_ntz")).alias("published_at"),
         F.col("ingest_ts"),
     )

@@ -8,14 +8,15 @@ two, so they are the same for a scan of the items, for a stored postings table a
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contentspark.functions.binding import let
-from contentspark.functions.text import STOP_WORDS, Stemmer, is_stop_word, stemmer, words
+from contentspark.functions.binding import bind, let_sql
+from contentspark.functions.text import STOP_WORDS, Stemmer, is_stop_word, lexeme, stemmer, words, words_sql
 from contentspark.operators.ranking import top_k, top_k_per_group, with_rank
 
 CANDIDATES = 50
@@ -76,24 +77,11 @@ def parse_web_query(text: str | None) -> dict:
     return {"terms": terms, "groups": [g for g in groups if any(g.values())]}
 
 
-def _literal(value: object, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.ArrayType):
-        if not value:
-            return F.array().cast(dtype)
-        return F.array(*[_literal(v, dtype.elementType) for v in value])
-    if isinstance(dtype, T.StructType):
-        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in dtype.fields])
-    return F.lit(value).cast(dtype)
-
-
-def stemmed(spec: Column, stem: Stemmer) -> Column:
-    return F.struct(F.transform(spec["terms"], stem).alias("terms"), spec["groups"].alias("groups"))
-
-
 def query_spec(text: str, stem: Stemmer) -> Column:
+    """One query as a constant; the words' stems are folded when the query is planned."""
     parsed = parse_web_query(text)
-    terms = F.array(*[stem(F.lit(w)) for w in parsed["terms"]]).cast("array<string>")
-    groups = _literal(parsed["groups"], SPEC["groups"].dataType)
+    terms = F.array(*[lexeme(word, stem) for word in parsed["terms"]]).cast("array<string>")
+    groups = F.from_json(F.lit(json.dumps(parsed["groups"])), SPEC["groups"].dataType)
     return F.struct(terms.alias("terms"), groups.alias("groups"))
 
 
@@ -103,8 +91,9 @@ def query_specs(queries: DataFrame, stem: Stemmer) -> DataFrame:
     def parsed(text: str) -> dict:
         return parse_web_query(text)
 
+    stemmed = f"named_struct('terms', transform(spec.terms, w -> {stem('w')}), 'groups', spec.groups)"
     return queries.select("query_id", parsed(F.col("text")).alias("spec")).select(
-        "query_id", stemmed(F.col("spec"), stem).alias("spec"))
+        "query_id", F.expr(stemmed).alias("spec"))
 
 
 def build_postings(items: DataFrame, stem: str = "snowball") -> DataFrame:
@@ -118,7 +107,7 @@ def build_postings(items: DataFrame, stem: str = "snowball") -> DataFrame:
         .select("id", F.size("t").alias("n_title"), F.posexplode(F.concat("t", "b")).alias("i", "word"))
         .where(~is_stop_word(F.col("word")))
         .select(
-            "id", to_lexeme(F.col("word")).alias("lexeme"), (F.col("i") + 1).alias("pos"),
+            "id", F.expr(to_lexeme("word")).alias("lexeme"), (F.col("i") + 1).alias("pos"),
             F.when(F.col("i") < F.col("n_title"), "A").otherwise("B").alias("weight"),
         )
     )
@@ -126,51 +115,53 @@ def build_postings(items: DataFrame, stem: str = "snowball") -> DataFrame:
 
 def occurrences(title: Column, body: Column, terms: Column, stem: Stemmer) -> Column:
     """Query-word occurrences of one item, in position order, straight from its text."""
-    def located(all_words: Column, n_title: Column) -> Column:
-        return F.filter(
-            F.transform(all_words, lambda w, i: F.struct(
-                (i + 1).alias("pos"), stem(w).alias("lexeme"),
-                F.when(i < n_title, F.lit(WEIGHTS["A"])).otherwise(F.lit(WEIGHTS["B"])).alias("weight"),
-            )),
-            lambda x: F.array_contains(terms, x["lexeme"]),
-        )
-
-    return let(words(title), lambda t: located(F.concat(t, words(body)), F.size(t)))
-
-
-def _phrase_found(occ: Column, terms: Column, phrase: Column) -> Column:
-    def starts(part: Column) -> Column:
-        return F.transform(
-            F.filter(occ, lambda x: x["lexeme"] == F.get(terms, part["term"])),
-            lambda x: x["pos"] - part["offset"],
-        )
-
-    found = F.aggregate(
-        phrase, F.lit(None).cast("array<int>"),
-        lambda acc, part: F.when(acc.isNull(), starts(part)).otherwise(F.array_intersect(acc, starts(part))),
-    )
-    return F.size(found) > 0
+    located = (
+        f"filter(transform(concat(t, {words_sql('p.body')}), (w, i) -> named_struct('pos', i + 1, 'lexeme', {stem('w')}, "
+        f"'weight', if(i < size(t), {WEIGHTS['A']}D, {WEIGHTS['B']}D))), x -> array_contains(p.terms, x.lexeme))")
+    return bind(let_sql("t", words_sql("p.title"), located), title=title, body=body, terms=terms)
+
+
+_STARTS = "transform(filter(p.occ, x -> x.lexeme = get(p.q.terms, part.term)), x -> x.pos - part.offset)"
+_PHRASE = (
+    "size(aggregate(ph, CAST(NULL AS array<int>), (acc, part) -> "
+    f"if(acc IS NULL, {_STARTS}, array_intersect(acc, {_STARTS})))) > 0"
+)
+_PRESENT = "array_contains(lexemes, get(p.q.terms, i))"
+MATCH_SQL = let_sql(
+    "lexemes", "array_distinct(transform(p.occ, x -> x.lexeme))",
+    f"exists(p.q.groups, g -> forall(g.need, i -> {_PRESENT}) AND forall(g.deny, i -> NOT {_PRESENT}) "
+    f"AND forall(g.phrases, ph -> {_PHRASE}) AND forall(g.deny_phrases, ph -> NOT ({_PHRASE})))",
+)
+
+# Running state of a document: occurrences seen, sum of 1/weight, begin of the last span, score, and per term the
+# latest position with the totals before it.
+_MARK = "struct<pos:int,n:int,inv:double>"
+_ZERO = (
+    "named_struct('n', 0, 'inv', 0D, 'begun', 0, 'score', 0D, "
+    f"'last', transform(p.q.terms, t -> CAST(NULL AS {_MARK})))"
+)
+_LATEST = (
+    "transform(acc.last, (m, i) -> if(get(p.q.terms, i) = x.lexeme, "
+    "named_struct('pos', x.pos, 'n', acc.n, 'inv', acc.inv), m))"
+)
+_BEGIN = (
+    "array_max(transform(p.q.groups, g -> if(size(g.need) > 0 AND forall(g.need, i -> get(last, i) IS NOT NULL), "
+    "array_min(transform(g.need, i -> get(last, i))), NULL)))"
+)
+_GAIN = (
+    "(acc.n + 1 - begin.n) / (acc.inv + 1 / x.weight - begin.inv) "
+    "/ (1 + (x.pos - begin.pos) - (acc.n - begin.n))"
+)
+_STEP = let_sql("last", _LATEST, let_sql("begin", _BEGIN, let_sql(
+    "fresh", "begin IS NOT NULL AND begin.pos > acc.begun",
+    "named_struct('n', acc.n + 1, 'inv', acc.inv + 1 / x.weight, 'begun', if(fresh, begin.pos, acc.begun), "
+    f"'score', acc.score + if(fresh, {_GAIN}, 0D), 'last', last)")))
+RANK_SQL = f"round(aggregate(p.occ, {_ZERO}, (acc, x) -> {_STEP}, acc -> acc.score), {RANK_DIGITS})"
 
 
 def text_match(occ: Column, spec: Column) -> Column:
     """Whether a document with these occurrences satisfies any alternative of the query."""
-    terms = spec["terms"]
-
-    def satisfied(lexemes: Column, group: Column) -> Column:
-        def present(i: Column) -> Column:
-            return F.array_contains(lexemes, F.get(terms, i))
-
-        return (
-            F.forall(group["need"], present)
-            & F.forall(group["deny"], lambda i: ~present(i))
-            & F.forall(group["phrases"], lambda p: _phrase_found(occ, terms, p))
-            & F.forall(group["deny_phrases"], lambda p: ~_phrase_found(occ, terms, p))
-        )
-
-    return let(
-        F.array_distinct(F.transform(occ, lambda x: x["lexeme"])),
-        lambda lexemes: F.exists(spec["groups"], lambda g: satisfied(lexemes, g)),
-    )
+    return bind(MATCH_SQL, occ=occ, q=spec)
 
 
 def cover_density_rank(occ: Column, spec: Column) -> Column:
@@ -179,52 +170,15 @@ def cover_density_rank(occ: Column, spec: Column) -> Column:
     A span with ``c`` occurrences over positions ``s..p`` adds ``c / sum(1/weight)`` divided by one plus the
     number of other words inside. One pass keeps each term's latest occurrence and the running totals before it.
     """
-    terms, groups = spec["terms"], spec["groups"]
-    mark = "struct<pos:int,n:int,inv:double>"
-    nothing = F.lit(None).cast(mark)
-    zero = F.struct(
-        F.lit(0).alias("n"), F.lit(0.0).alias("inv"), F.lit(0).alias("begun"), F.lit(0.0).alias("score"),
-        F.transform(terms, lambda t: nothing).alias("last"),
-    )
-
-    def begin_of(last: Column) -> Column:
-        def group_begin(group: Column) -> Column:
-            marks = F.transform(group["need"], lambda i: F.get(last, i))
-            complete = (F.size(marks) > 0) & F.forall(marks, lambda m: m.isNotNull())
-            return F.when(complete, F.array_min(marks))
-
-        return F.array_max(F.transform(groups, group_begin))
-
-    def step(acc: Column, x: Column) -> Column:
-        n, inv = acc["n"] + 1, acc["inv"] + F.lit(1.0) / x["weight"]
-        here = F.struct(x["pos"].alias("pos"), acc["n"].alias("n"), acc["inv"].alias("inv"))
-
-        def advanced(last: Column, begin: Column) -> Column:
-            count = n - begin["n"]
-            gain = count / (inv - begin["inv"]) / (F.lit(1) + (x["pos"] - begin["pos"]) - (count - 1))
-            fresh = begin.isNotNull() & (begin["pos"] > acc["begun"])
-            return F.struct(
-                n.alias("n"), inv.alias("inv"),
-                F.when(fresh, begin["pos"]).otherwise(acc["begun"]).alias("begun"),
-                (acc["score"] + F.when(fresh, gain).otherwise(F.lit(0.0))).alias("score"),
-                last.alias("last"),
-            )
-
-        latest = F.transform(
-            acc["last"], lambda m, i: F.when(F.get(terms, i) == x["lexeme"], here).otherwise(m))
-        return let(latest, lambda last: let(begin_of(last), lambda begin: advanced(last, begin)))
-
-    return F.round(F.aggregate(occ, zero, step, lambda acc: acc["score"]), RANK_DIGITS)
+    return bind(RANK_SQL, occ=occ, q=spec)
 
 
 def _score_if_matching(occ: Column, spec: Column) -> Column:
     """The rank of a matching document; other rows vanish.
 
-    A generator is never copied by the optimizer, so the occurrences are computed once for both questions.
+    A generator is never copied by the optimizer, so query and occurrences are computed once for both questions.
     """
-    return F.explode(let(
-        occ, lambda o: F.when(text_match(o, spec), F.array(cover_density_rank(o, spec)))
-    )).alias("text_score")
+    return F.explode(bind(f"if({MATCH_SQL}, array({RANK_SQL}), NULL)", occ=occ, q=spec)).alias("text_score")
 
 
 def _may_match(text: str, stem: str) -> Column:
@@ -234,9 +188,10 @@ def _may_match(text: str, stem: str) -> Column:
     title, body = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("content_text", F.lit("")))
 
     def mentions(word: str) -> Column:
-        lexeme = to_lexeme(F.lit(word))
-        # Suffix rules that rewrite a word touch its last two letters at most.
-        start = F.substring(lexeme, F.lit(1), F.greatest(F.length(lexeme) - 2, F.lit(1))) if stem == "snowball" else lexeme
+        start = lexeme(word, to_lexeme)
+        if stem == "snowball":
+            # Suffix rules that rewrite a word touch its last two letters at most.
+            start = F.substring(start, F.lit(1), F.greatest(F.length(start) - 2, F.lit(1)))
         return title.contains(start) | body.contains(start)
 
     condition = F.lit(False)
@@ -258,10 +213,7 @@ def text_matches(items: DataFrame, text: str, stem: str = "snowball") -> DataFra
     to_lexeme = stemmer(stem)
     spec = query_spec(text, to_lexeme)
     occ = occurrences(F.col("title"), F.col("content_text"), spec["terms"], to_lexeme)
-    return (
-        items.where(_may_match(text, stem))
-        .select("id", _score_if_matching(occ, spec))
-    )
+    return items.where(_may_match(text, stem)).select("id", _score_if_matching(occ, spec))
 
 
 def text_candidates(items: DataFrame, text: str, k: int = CANDIDATES, stem: str = "snowball") -> DataFrame:
@@ -290,7 +242,7 @@ def text_candidates_from_postings(
         raise ValueError("an alternative without a needed word must scan the items")
     to_lexeme = stemmer(stem)
     spec = query_spec(text, to_lexeme)
-    wanted = [to_lexeme(F.lit(w)) for w in parsed["terms"]]
+    wanted = [lexeme(w, to_lexeme) for w in parsed["terms"]]
     matches = (
         postings.where(F.col("lexeme").isin(*wanted) if wanted else F.lit(False))
         .groupBy("id").agg(_occurrence_list())
