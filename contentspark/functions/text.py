@@ -55,6 +55,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 1)
 
 
+def is_stop_word_sql(word: str) -> str:
+    return f"{word} IN (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
+
+
 def is_stop_word(word: Column) -> Column:
     return word.isin(*STOP_WORDS)
 
@@ -84,8 +88,3 @@ def stemmer(name: str) -> Stemmer:
     from contentspark.functions.stem import stem_snowball
 
     return {"none": stem_none, "light": stem_light, "snowball": stem_snowball}[name]
-
-
-def lexeme(word: str, stem: Stemmer) -> Column:
-    """The lexeme of one given word."""
-    return F.expr(stem(quoted(word)))

@@ -13,13 +13,17 @@ MAX_RETRIES = 2
 CHUNK_SECONDS = 3600
 
 
+def _epoch_seconds(ts: Column) -> Column:
+    """Seconds since a fixed moment without a zone, so the session's zone plays no part."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
 def rate_limit(calls: DataFrame, limit: int = CALLS_PER_SECOND) -> DataFrame:
     """``admitted``: whether a call is among the first ``limit`` of its domain's second.
 
     A busy domain is spread over tasks by its seconds.
     """
-    second = F.date_trunc("second", "ts")
-    window = Window.partitionBy("domain", second).orderBy("ts", "call_id")
+    window = Window.partitionBy("domain", _epoch_seconds(F.col("ts"))).orderBy("ts", "call_id")
     return calls.withColumn("admitted", F.row_number().over(window) <= limit)
 
 
@@ -34,9 +38,8 @@ def breaker_trips(
     """
     before = size - 1
     in_order = [F.col("ts").asc(), F.col("call_id").asc()]
-    # Seconds since a fixed moment without a zone, so the session's zone plays no part.
-    epoch = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
-    log = calls.select("domain", "ts", "call_id", "failed").withColumn("chunk", F.floor(epoch / chunk_seconds))
+    log = calls.select("domain", "ts", "call_id", "failed").withColumn(
+        "chunk", F.floor(_epoch_seconds(F.col("ts")) / chunk_seconds))
 
     newest = Window.partitionBy("domain", "chunk").orderBy(F.col("ts").desc(), F.col("call_id").desc())
     tails = (

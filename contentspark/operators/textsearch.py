@@ -10,19 +10,24 @@ from __future__ import annotations
 
 import json
 import re
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contentspark.functions.binding import bind, let_sql
-from contentspark.functions.text import STOP_WORDS, Stemmer, is_stop_word, lexeme, stemmer, words, words_sql
+from contentspark.functions.binding import bind, let_sql, quoted
+from contentspark.functions.stem import common_start
+from contentspark.functions.text import STOP_WORDS, Stemmer, is_stop_word, is_stop_word_sql, stemmer, words, words_sql
 from contentspark.operators.ranking import top_k, top_k_per_group, with_rank
+from contentspark.plans.sizing import broadcast_if_small
+from contentspark.session import cut_lineage
 
 CANDIDATES = 50
 # Weight of a word in the title and in the body.
 WEIGHTS = {"A": 1.0, "B": 0.4}
 RANK_DIGITS = 9
+_LEXEME_BYTES = 64
 
 PHRASE = T.ArrayType(T.StructType([T.StructField("term", T.IntegerType()), T.StructField("offset", T.IntegerType())]))
 GROUP = T.StructType([
@@ -77,12 +82,30 @@ def parse_web_query(text: str | None) -> dict:
     return {"terms": terms, "groups": [g for g in groups if any(g.values())]}
 
 
-def query_spec(text: str, stem: Stemmer) -> Column:
-    """One query as a constant; the words' stems are folded when the query is planned."""
+class WebQuery(NamedTuple):
+    """One parsed query text, its words' lexemes and the starts their words have in common."""
+
+    groups: list[dict]
+    lexemes: list[str]
+    starts: list[str]
+
+    def spec(self) -> Column:
+        groups = F.from_json(F.lit(json.dumps(self.groups)), SPEC["groups"].dataType)
+        return F.struct(self.terms().alias("terms"), groups.alias("groups"))
+
+    def terms(self) -> Column:
+        return F.array(*map(F.lit, self.lexemes)).cast("array<string>")
+
+
+def web_query(text: str, stem: str) -> WebQuery:
+    """Parses one query text; its few words are stemmed on the spot, so that searches see constants."""
     parsed = parse_web_query(text)
-    terms = F.array(*[lexeme(word, stem) for word in parsed["terms"]]).cast("array<string>")
-    groups = F.from_json(F.lit(json.dumps(parsed["groups"])), SPEC["groups"].dataType)
-    return F.struct(terms.alias("terms"), groups.alias("groups"))
+    terms = ", ".join(map(quoted, parsed["terms"]))
+    both = f"named_struct('lexeme', q, 'start', replace({common_start('q')}, 'ё', 'е'))"
+    row = SparkSession.active().sql(
+        f"SELECT transform(CAST(array({terms}) AS array<string>), w -> {let_sql('q', stemmer(stem)('w'), both)}) AS t"
+    ).first()
+    return WebQuery(parsed["groups"], [t.lexeme for t in row.t], [t.start for t in row.t])
 
 
 def query_specs(queries: DataFrame, stem: Stemmer) -> DataFrame:
@@ -114,10 +137,21 @@ def build_postings(items: DataFrame, stem: str = "snowball") -> DataFrame:
 
 
 def occurrences(title: Column, body: Column, terms: Column, stem: Stemmer) -> Column:
-    """Query-word occurrences of one item, in position order, straight from its text."""
-    located = (
-        f"filter(transform(concat(t, {words_sql('p.body')}), (w, i) -> named_struct('pos', i + 1, 'lexeme', {stem('w')}, "
-        f"'weight', if(i < size(t), {WEIGHTS['A']}D, {WEIGHTS['B']}D))), x -> array_contains(p.terms, x.lexeme))")
+    """Query-word occurrences of one item, in position order, straight from its text.
+
+    Only words that begin like a query word are stemmed.
+    """
+    numbered = (
+        f"transform(concat(t, {words_sql('p.body')}), (w, i) -> named_struct('pos', i + 1, 'word', w, "
+        f"'weight', if(i < size(t), {WEIGHTS['A']}D, {WEIGHTS['B']}D)))"
+    )
+    alike = f"filter({numbered}, x -> exists(starts, s -> startswith(replace(x.word, 'ё', 'е'), s)))"
+    lexemes = (
+        f"transform({alike}, x -> named_struct('pos', x.pos, 'lexeme', {stem('x.word')}, 'weight', x.weight, "
+        "'word', x.word))"
+    )
+    kept = f"filter({lexemes}, x -> array_contains(p.terms, x.lexeme) AND NOT {is_stop_word_sql('x.word')})"
+    located = let_sql("starts", f"transform(p.terms, q -> replace({common_start('q')}, 'ё', 'е'))", kept)
     return bind(let_sql("t", words_sql("p.title"), located), title=title, body=body, terms=terms)
 
 
@@ -181,24 +215,15 @@ def _score_if_matching(occ: Column, spec: Column) -> Column:
     return F.explode(bind(f"if({MATCH_SQL}, array({RANK_SQL}), NULL)", occ=occ, q=spec)).alias("text_score")
 
 
-def _may_match(text: str, stem: str) -> Column:
-    """Cheap necessary condition: the text holds the unchanging start of every needed word."""
-    to_lexeme = stemmer(stem)
-    parsed = parse_web_query(text)
-    title, body = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("content_text", F.lit("")))
-
-    def mentions(word: str) -> Column:
-        start = lexeme(word, to_lexeme)
-        if stem == "snowball":
-            # Suffix rules that rewrite a word touch its last two letters at most.
-            start = F.substring(start, F.lit(1), F.greatest(F.length(start) - 2, F.lit(1)))
-        return title.contains(start) | body.contains(start)
-
+def _may_match(query: WebQuery) -> Column:
+    """Cheap necessary condition: the text holds the common start of every needed word."""
+    title, body = [
+        F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("ё"), F.lit("е")) for c in ("title", "content_text")]
     condition = F.lit(False)
-    for group in parsed["groups"]:
+    for group in query.groups:
         every = F.lit(True)
         for i in group["need"]:
-            every = every & mentions(parsed["terms"][i])
+            every = every & (title.contains(query.starts[i]) | body.contains(query.starts[i]))
         condition = condition | every
     return condition
 
@@ -210,10 +235,9 @@ def _ranked(matches: DataFrame, k: int) -> DataFrame:
 
 def text_matches(items: DataFrame, text: str, stem: str = "snowball") -> DataFrame:
     """``(id, text_score)`` of every item that satisfies the query; no shuffle."""
-    to_lexeme = stemmer(stem)
-    spec = query_spec(text, to_lexeme)
-    occ = occurrences(F.col("title"), F.col("content_text"), spec["terms"], to_lexeme)
-    return items.where(_may_match(text, stem)).select("id", _score_if_matching(occ, spec))
+    query = web_query(text, stem)
+    occ = occurrences(F.col("title"), F.col("content_text"), query.terms(), stemmer(stem))
+    return items.where(_may_match(query)).select("id", _score_if_matching(occ, query.spec()))
 
 
 def text_candidates(items: DataFrame, text: str, k: int = CANDIDATES, stem: str = "snowball") -> DataFrame:
@@ -237,51 +261,72 @@ def text_candidates_from_postings(
 
     The shuffle is on the item id, so a lexeme found in a third of all items spreads over all tasks.
     """
-    parsed = parse_web_query(text)
-    if any(not g["need"] for g in parsed["groups"]):
+    query = web_query(text, stem)
+    if any(not g["need"] for g in query.groups):
         raise ValueError("an alternative without a needed word must scan the items")
-    to_lexeme = stemmer(stem)
-    spec = query_spec(text, to_lexeme)
-    wanted = [lexeme(w, to_lexeme) for w in parsed["terms"]]
     matches = (
-        postings.where(F.col("lexeme").isin(*wanted) if wanted else F.lit(False))
+        postings.where(F.col("lexeme").isin(*query.lexemes) if query.lexemes else F.lit(False))
         .groupBy("id").agg(_occurrence_list())
-        .select("id", _score_if_matching(F.col("occ"), spec))
+        .select("id", _score_if_matching(F.col("occ"), query.spec()))
     )
     return _ranked(matches, k)
 
 
+def _anchors(specs: DataFrame) -> DataFrame:
+    """``(query_id, lexeme)``: per alternative its longest needed lexeme, which every match must hold."""
+    missing = "raise_error('an alternative without a needed word must scan the items')"
+    longest = ("array_max(transform(g.need, i -> named_struct('n', length(get(spec.terms, i)), "
+               "'w', get(spec.terms, i)))).w")
+    each = f"array_distinct(transform(spec.groups, g -> if(size(g.need) > 0, {longest}, {missing})))"
+    return specs.select("query_id", F.explode(F.expr(each)).alias("lexeme"))
+
+
 def text_matches_many(postings: DataFrame, queries: DataFrame, stem: str = "snowball") -> DataFrame:
-    """``(query_id, id, text_score)`` for a table of queries ``(query_id, text)``.
+    """``(query_id, id, text_score)`` for a table of queries ``(query_id, text)``, from stored postings.
 
-    Every alternative names one anchor, its longest needed lexeme; only items holding an anchor become
-    (query, item) pairs, and only their query words are gathered. No item is paired with a query it cannot match.
+    Only items holding an anchor of a query are paired with it, and only postings of query words are read and
+    moved, by item id.
     """
     specs = query_specs(queries, stemmer(stem)).where(F.size("spec.groups") > 0)
-
-    def anchor(spec: Column, group: Column) -> Column:
-        needed = F.transform(group["need"], lambda i: F.get(spec["terms"], i))
-        longest = F.array_max(F.transform(needed, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-        return F.when(F.size(needed) > 0, longest).otherwise(
-            F.raise_error(F.lit("an alternative without a needed word must scan the items")).cast("string"))
-
-    anchors = specs.select("query_id", F.explode(
-        F.array_distinct(F.transform("spec.groups", lambda g: anchor(F.col("spec"), g)))).alias("lexeme"))
+    anchors = broadcast_if_small(_anchors(specs), _LEXEME_BYTES)
     terms = specs.select("query_id", F.explode(F.array_distinct("spec.terms")).alias("lexeme"))
-    pairs = (
-        postings.select("id", "lexeme").join(anchors, "lexeme").select("query_id", "id").distinct()
-    )
-    wanted = pairs.join(terms, "query_id")
+    asked = broadcast_if_small(terms.select("lexeme").distinct(), _LEXEME_BYTES)
+    used = postings.join(asked, "lexeme", "left_semi")
+    pairs = used.select("id", "lexeme").join(anchors, "lexeme").select("query_id", "id").distinct()
     return (
-        postings.join(wanted, ["id", "lexeme"])
+        used.join(pairs.join(terms, "query_id"), ["id", "lexeme"])
         .groupBy("query_id", "id").agg(_occurrence_list())
         .join(specs, "query_id")
         .select("query_id", "id", _score_if_matching(F.col("occ"), F.col("spec")))
     )
 
 
+def text_matches_table(items: DataFrame, queries: DataFrame, stem: str = "snowball") -> DataFrame:
+    """As :func:`text_matches_many` by scan of the items.
+
+    A first scan finds which items hold an anchor of which query; those pairs are few, so they are stored and,
+    when their count allows, sent to the second scan, which reads the words of the paired items only.
+    """
+    to_lexeme = stemmer(stem)
+    specs = query_specs(queries, to_lexeme).where(F.size("spec.groups") > 0)
+    anchors = broadcast_if_small(_anchors(specs), _LEXEME_BYTES)
+    vocabulary = items.select("id", F.explode(F.array_distinct(
+        F.concat(words(F.col("title")), words(F.col("content_text"))))).alias("word"))
+    pairs = cut_lineage(
+        vocabulary.select("id", F.expr(to_lexeme("word")).alias("lexeme")).join(anchors, "lexeme")
+        .select("query_id", "id").distinct())
+    occ = occurrences(F.col("title"), F.col("content_text"), F.col("spec.terms"), to_lexeme)
+    return (
+        items.select("id", "title", "content_text").join(broadcast_if_small(pairs, _LEXEME_BYTES), "id")
+        .join(specs, "query_id")
+        .select("query_id", "id", _score_if_matching(occ, F.col("spec")))
+    )
+
+
 def text_candidates_many(
-    postings: DataFrame, queries: DataFrame, k: int = CANDIDATES, stem: str = "snowball",
+    source: DataFrame, queries: DataFrame, k: int = CANDIDATES, stem: str = "snowball",
 ) -> DataFrame:
+    """The ``k`` best matches per query; ``source`` is a postings table or the items themselves."""
+    matches = text_matches_many if "lexeme" in source.columns else text_matches_table
     order = [F.col("text_score").desc_nulls_last(), F.col("id").asc()]
-    return top_k_per_group(text_matches_many(postings, queries, stem), k, ["query_id"], order)
+    return top_k_per_group(matches(source, queries, stem), k, ["query_id"], order)

@@ -53,11 +53,11 @@ def hybrid_search(
     order = [F.col("rrf_score").desc(), F.col("id").asc()]
     best = top_k(fuse(near, matching, ["id"]).select("id", "rrf_score"), limit, order)
     small = broadcast_if_small(best, _SCORE_ROW_BYTES, known_rows=min(limit, 2 * candidates))
-    return _result(items, small).orderBy(F.col("rrf_score").desc(), F.col("content_id").asc())
+    return top_k(_result(items, small), limit, [F.col("rrf_score").desc(), F.col("content_id").asc()])
 
 
 def hybrid_search_many(
-    items: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT, *, postings: DataFrame,
+    items: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT, *, postings: DataFrame | None = None,
     dim: int = VECTOR_DIM, embed: Callable[[Column], Column] | None = None, stem: str = "snowball",
     candidates: int = CANDIDATES,
 ) -> DataFrame:
@@ -66,7 +66,7 @@ def hybrid_search_many(
     if embed is not None:
         vector = F.coalesce(embed(F.col("text")), vector)
     near = vector_candidates_many(items, queries.select("query_id", vector.alias("vector")), candidates)
-    matching = text_candidates_many(postings, queries, candidates, stem)
+    matching = text_candidates_many(items if postings is None else postings, queries, candidates, stem)
     order = [F.col("rrf_score").desc(), F.col("id").asc()]
     best = top_k_per_group(
         fuse(near, matching, ["query_id", "id"]).select("query_id", "id", "rrf_score"), limit, ["query_id"], order)

@@ -23,3 +23,12 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, known_rows: int | None = N
     bound = min(MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES // max(1, row_bytes))
     rows = row_count_up_to(df, bound) if known_rows is None else known_rows
     return F.broadcast(df) if rows <= bound else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer splits than there are cores, dealt out to all cores.
+
+    For work that is heavy per row (text). An input with enough splits is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

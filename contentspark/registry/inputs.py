@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from contentspark.bindings import document_items, table
 from contentspark.functions.events import encode_event
 from contentspark.functions.text import words
+from contentspark.plans.sizing import spread
 
 NOW = "2024-01-20 00:00:00"
 
@@ -56,7 +57,7 @@ def feed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         "<?xml version=\"1.0\"?><feed><title>All</title>")
     tail = F.when(kind == 0, "</channel></rss>").otherwise("</feed>")
     content = F.concat(head, items, tail).cast("binary")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "source", F.col("source").alias("source_id"), content.alias("content"), F.length(content).cast("long").alias("length"),
         now().alias("ingest_ts"), F.lit(200).alias("status"), F.concat(F.lit("/landing/"), doc).alias("path"),
     )

@@ -147,6 +147,17 @@ ORACLES["text_top50_postings"] = ORACLES["text_top50_either_not"]
 ORACLES["text_top50_phrase"] = f"""WITH {DOCS}, {POSTINGS}, {text_rank_sql(
     [[ANAT]], "id IN (SELECT id FROM post WHERE lexeme = 'anat')")} {RANKED_OUT}"""
 
+
+
+def adjacent(first: str, second: str) -> str:
+    return (f"(SELECT a.id FROM post a JOIN post b ON a.id = b.id AND b.pos = a.pos + 1 "
+            f"WHERE a.lexeme = '{first}' AND b.lexeme = '{second}')")
+
+
+ORACLES["text_top50_two_word_phrase"] = f"""WITH {DOCS}, {POSTINGS}, {text_rank_sql(
+    [['eriner', 'thanea']], f"id IN {adjacent('eriner', 'thanea')} AND id NOT IN {adjacent('de', 'la')}").replace(
+    "lexeme IN ('eriner', 'thanea')", "lexeme IN ('eriner', 'thanea', 'de', 'la')")} {RANKED_OUT}"""
+
 ORACLES["postings"] = f"WITH {DOCS}, {POSTINGS} SELECT id, lexeme, CAST(pos AS INTEGER) AS pos, weight FROM post"
 
 QUERY_TERMS = rf"""qt AS (SELECT DISTINCT item_id AS query_id, {light_sql('word')} AS lexeme FROM (
@@ -171,6 +182,8 @@ qranked AS (SELECT query_id, id, text_score, row_number() OVER (PARTITION BY que
 ORACLES["text_top50_table"] = f"""WITH {DOCS}, {POSTINGS}, {QUERY_TERMS}
 SELECT query_id, id, text_score, CAST(text_rank AS INTEGER) AS text_rank FROM qranked"""
 
+ORACLES["text_top50_table_scan"] = ORACLES["text_top50_table"]
+
 ORACLES["hybrid_search_table"] = rf"""WITH {ITEMS}, {POSTINGS}, {QUERY_TERMS},
 qs AS (SELECT item_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda w: w <> 'or'), ' ') AS text
   FROM benchmark),

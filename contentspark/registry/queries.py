@@ -31,6 +31,7 @@ from contentspark.operators.vectorsearch import has_vector, query_vector, vector
 from contentspark.plans.feed import feed_rows, unread, unread_feed
 from contentspark.plans.ingest import new_outbox_rows
 from contentspark.plans.search import hybrid_search, hybrid_search_many
+from contentspark.plans.sizing import spread
 from contentspark.registry.inputs import feed_payloads, now, queries_from_benchmark, topic_records
 from contentspark.sources.payloads import accepted_status, with_source, with_url_safety
 from contentspark.sources.tables import with_item_defaults
@@ -67,9 +68,7 @@ def hybrid_search_one(spark, sf):
 @query
 def hybrid_search_table(spark, sf):
     items = content_items(spark, sf)
-    found = hybrid_search_many(
-        items, queries_from_benchmark(spark, sf), postings=build_postings(document_items(spark, sf), STEM), dim=DIM,
-        stem=STEM)
+    found = hybrid_search_many(items, queries_from_benchmark(spark, sf), dim=DIM, stem=STEM)
     return found.select("query_id", "content_id", "title", "url", "rrf_score")
 
 
@@ -114,6 +113,11 @@ def text_top50_phrase(spark, sf):
     return _text(spark, sf, "\"anat with by\"")
 
 
+@query
+def text_top50_two_word_phrase(spark, sf):
+    return _text(spark, sf, "\"eriner thanea\" -\"de la\"")
+
+
 @query
 def text_top50_postings(spark, sf):
     postings = build_postings(document_items(spark, sf), STEM)
@@ -128,6 +132,12 @@ def text_top50_table(spark, sf):
     return found.select("query_id", "id", "text_score", F.col("rank").alias("text_rank"))
 
 
+@query
+def text_top50_table_scan(spark, sf):
+    found = text_candidates_many(document_items(spark, sf), queries_from_benchmark(spark, sf), stem=STEM)
+    return found.select("query_id", "id", "text_score", F.col("rank").alias("text_rank"))
+
+
 @query
 def postings(spark, sf):
     return build_postings(document_items(spark, sf), STEM)
@@ -152,7 +162,7 @@ def unit_vectors(spark, sf):
 
 @query
 def hash_vectors(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(hash_vector(F.col("text"), DIM)).alias("i", "x")) \
+    return spread(table(spark, sf, "documents")).select("doc_id", F.posexplode(hash_vector(F.col("text"), DIM)).alias("i", "x")) \
         .select("doc_id", "i", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
@@ -245,7 +255,7 @@ def resolved_url_safety(spark, sf):
 
 @query
 def cleaned_pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", clean_html(F.col("html")).alias("text"))
+    return spread(table(spark, sf, "pages")).select("page_id", clean_html(F.col("html")).alias("text"))
 
 
 @query

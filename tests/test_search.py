@@ -73,6 +73,8 @@ def test_query_table_agrees_with_single_queries(four, spark):
                                     "query_id int, text string")
     postings = build_postings(four, "light")
     many = hybrid_search_many(four, queries, 10, postings=postings, stem="light").collect()
+    scanned = hybrid_search_many(four, queries, 10, stem="light").collect()
+    assert sorted(map(tuple, many)) == sorted(map(tuple, scanned))
     for query_id, text in ((1, "Spring Boot"), (2, "kubernetes"), (3, "пасту or docker"), (4, "the")):
         single = hybrid_search(four, text, 10, stem="light").collect()
         ours = sorted(((r.rrf_score, r.content_id) for r in many if r.query_id == query_id), key=lambda x: (-x[0], x[1]))
@@ -155,7 +157,8 @@ def test_postings_and_scan_agree(animals, spark):
         stored = {(r.id, r.text_score) for r in text_candidates_from_postings(postings, query, stem="none").collect()}
         queries = spark.createDataFrame([("q", query)], "query_id string, text string")
         many = {(r.id, r.text_score) for r in text_candidates_many(postings, queries, stem="none").collect()}
-        assert scan == stored == many
+        scanned = {(r.id, r.text_score) for r in text_candidates_many(animals, queries, stem="none").collect()}
+        assert scan == stored == many == scanned
     with pytest.raises(ValueError):
         text_candidates_from_postings(postings, "-red", stem="none")
 
@@ -229,3 +232,13 @@ def test_top_k_per_group_with_one_huge_group(spark):
     for r in rows.collect():
         groups.setdefault(r.k, []).append((r.v, r.id))
     assert got == {(k, n): x for k, g in groups.items() for n, x in enumerate(sorted(g)[:5], 1)}
+
+
+def test_stop_word_with_the_stem_of_a_query_word(spark):
+    items = spark.createDataFrame([(1, "heres", "her her heres"), (2, "", "her")], "id int, title string, content_text string")
+    queries = spark.createDataFrame([(0, "heres")], "query_id int, text string")
+    postings = build_postings(items, "light")
+    expected = {(1, 1.4)}
+    assert {tuple(r) for r in text_matches(items, "heres", "light").collect()} == expected
+    for source in (items, postings):
+        assert {(r.id, r.text_score) for r in text_candidates_many(source, queries, stem="light").collect()} == expected
