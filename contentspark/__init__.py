@@ -1,3 +1,10 @@
 """Content-feed data work as Spark DataFrames: ingest, outbox, enrichment, search and feeds."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few Python functions that run in tasks travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

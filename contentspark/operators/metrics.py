@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contentspark.session import cut_lineage
+
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
 MAX_ERROR_RATE = 0.001
 # Allowed p95 and p99 in milliseconds per endpoint.
@@ -40,25 +42,55 @@ def quantile_name(q: float) -> str:
     return f"p{q * 100:g}".replace(".", "_")
 
 
-def latency_quantiles(
-    log: DataFrame, keys: Sequence[Column | str], value: str, quantiles: Sequence[float] = QUANTILES,
-    accuracy: int | None = None,
-) -> DataFrame:
-    """Interpolated quantiles per group; with ``accuracy`` a bounded-memory sketch.
+def exact_quantiles(log: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float]) -> DataFrame:
+    """Interpolated quantiles per group, as one column per quantile; a group may be larger than any task.
 
-    The exact form keeps a group's distinct values in one task. For groups of unbounded variety use the sketch,
-    or :func:`histogram_quantiles`.
+    Values are counted, dealt out by range, and ranked inside their range from the number of rows in the ranges
+    before it, so a group is spread over as many tasks as its values need. The ranges are stored once because
+    they are drawn from a sample.
     """
+    counts = log.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    ranged = cut_lineage(counts.repartitionByRange(*keys, "__v").withColumn("__range", F.spark_partition_id()))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*keys, "__range").agg(F.sum("__n").alias("__size")).select(
+        *keys, "__range", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"),
+        F.sum("__size").over(group).alias("__total"))
+    inside = Window.partitionBy(*keys, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranged.join(offsets, [*keys, "__range"]).withColumn(
+        "__end", F.col("__before") + F.sum("__n").over(inside))
+
+    def at(position: Column) -> Column:
+        here = (position < F.col("__end")) & (position >= F.col("__end") - F.col("__n"))
+        return F.max(F.when(here, F.col("__v")))
+
+    def position(q: float) -> Column:
+        return F.lit(q) * (F.col("__total") - 1)
+
+    found = ranked.groupBy(*keys).agg(F.first("__total").alias("__total"), *[
+        end for i, q in enumerate(quantiles)
+        for end in (at(F.floor(position(q))).alias(f"__lo{i}"), at(F.ceil(position(q))).alias(f"__hi{i}"))])
+    return found.select(*keys, *[
+        (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (position(q) - F.floor(position(q))))
+        .alias(quantile_name(q)) for i, q in enumerate(quantiles)])
+
+
+def latency_quantiles(
+    log: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float] = QUANTILES, accuracy: int | None = None,
+) -> DataFrame:
+    """Quantiles per group: exact and interpolated, or with ``accuracy`` a sketch from a single pass."""
+    if accuracy is None:
+        return exact_quantiles(log, keys, value, quantiles)
     points = F.array(*[F.lit(q) for q in quantiles])
-    estimate = F.percentile(value, points) if accuracy is None else F.percentile_approx(value, points, accuracy)
-    return log.groupBy(*keys).agg(estimate.alias("q")).select(
-        *[k if isinstance(k, str) else F.col("window_start") for k in keys],
-        *[F.col("q")[i].alias(quantile_name(q)) for i, q in enumerate(quantiles)],
-    )
+    return log.groupBy(*keys).agg(F.percentile_approx(value, points, accuracy).alias("q")).select(
+        *keys, *[F.col("q")[i].alias(quantile_name(q)) for i, q in enumerate(quantiles)])
 
 
-def latency_quantiles_per_minute(log: DataFrame, value: str, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
-    return latency_quantiles(log, [_minute(F.col("ts"))], value, quantiles)
+def latency_quantiles_per_minute(
+    log: DataFrame, value: str, quantiles: Sequence[float] = QUANTILES, accuracy: int | None = None,
+) -> DataFrame:
+    return latency_quantiles(
+        log.withColumn("window_start", _minute(F.col("ts"))), ["window_start"], value, quantiles, accuracy)
 
 
 def histogram_quantiles(
@@ -91,12 +123,9 @@ def service_levels(
     max_error_rate: float = MAX_ERROR_RATE, accuracy: int | None = None,
 ) -> DataFrame:
     """Per key: error rate, p95, p99 and whether each keeps its limit."""
-    points = F.array(F.lit(0.95), F.lit(0.99))
-    q = F.percentile(value, points) if accuracy is None else F.percentile_approx(value, points, accuracy)
-    measured = log.groupBy(key).agg(
-        (F.count_if(failed) / F.count("*")).alias("error_rate"), q.alias("q"),
-    ).select(key, "error_rate", F.col("q")[0].alias("p95"), F.col("q")[1].alias("p99"))
+    errors = log.groupBy(key).agg((F.count_if(failed) / F.count("*")).alias("error_rate"))
+    measured = errors.join(latency_quantiles(log, [key], value, (0.95, 0.99), accuracy), key, "left")
     return measured.select(
-        "*", (F.col("error_rate") < max_error_rate).alias("errors_ok"),
+        key, "error_rate", "p95", "p99", (F.col("error_rate") < max_error_rate).alias("errors_ok"),
         (F.col("p95") < p95_ms).alias("p95_ok"), (F.col("p99") < p99_ms).alias("p99_ok"),
     )

@@ -79,3 +79,19 @@ def test_counts(spark):
     rows = spark.createDataFrame([("a",), ("a",), ("b",)], "source_id string")
     assert {tuple(r) for r in metrics.ingested_per_source(rows).collect()} == {("a", 2), ("b", 1), (None, 3)}
     assert metrics.row_counts(rows, a=F.col("source_id") == "a").first().a == 2
+
+
+@pytest.mark.parametrize("partitions", ["1", "8"])
+def test_exact_quantiles_of_one_huge_group(spark, partitions):
+    rng = np.random.default_rng(5)
+    values = {"hot": rng.normal(size=3000).round(2), "cold": rng.normal(size=7), "one": np.array([3.5]), "same": np.ones(50)}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("hot", None)], "k string, v double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.k: r[1:] for r in metrics.latency_quantiles(rows, ["k"], "v", (0.0, 0.5, 0.9, 0.99, 1.0)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert set(got) == set(values)
+    for k, vs in values.items():
+        assert got[k] == pytest.approx(tuple(np.quantile(vs, [0.0, 0.5, 0.9, 0.99, 1.0])))

@@ -213,3 +213,18 @@ def test_workers_never_share_a_row(spark):
         claimed, box = claim_batch(box, now(), limit=8)
         seen += [r.id for r in claimed.collect()]
     assert len(seen) == len(set(seen)) == 20
+
+
+def test_task_functions_need_no_package_on_executors(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from contentspark.operators.textsearch import parse_web_query
+
+    (tmp_path / "f.bin").write_bytes(cloudpickle.dumps((parse_web_query, BreakerRules(), next_state)))
+    code = ("import pickle; f, rules, step = pickle.load(open('f.bin', 'rb')); "
+            "assert f('a b')['groups'][0]['need'] == [0], f('a b'); assert step(rules, 'closed', [], 0, 1, True)[0]")
+    code = code.replace("'a b'", "'cat dog'").replace("[0], f", "[0, 1], f")
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
