@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -27,13 +25,15 @@ def build_session(app_name: str = "contentspark", master: str | None = None, **c
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named (tests)."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; where it names none, a folder in the warehouse.
+
+    The warehouse is where this session's tables are stored, so every executor reaches it.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="contentspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return root
 
 

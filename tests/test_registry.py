@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from contentspark.registry.oracles import ORACLES
+from contentspark.registry.queries import QUERIES
 from tools.compare import TABLES, rows_of
 
 
@@ -16,13 +18,14 @@ def db(small):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, small, db, name):
-    df = entry.queries()[name](spark, small)
-    cursor = db.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, small)
+    cursor = db.execute(ORACLES[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, cursor.fetchall())
