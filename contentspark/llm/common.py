@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +29,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def worker_state(name: str, make: Callable[[], object]) -> object:
+    """Something a Python worker keeps from task to task, such as a tokenizer with the words it has met."""
+    held = sys.modules.setdefault("contentspark_worker_state", types.ModuleType("contentspark_worker_state")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def in_fold(doc_id: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the id's decimal text leaves this remainder; a null id is in no fold."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))

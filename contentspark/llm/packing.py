@@ -9,7 +9,6 @@ copies and repeated ids spread evenly and a group stays small at every size.
 from __future__ import annotations
 
 import re
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,52 +16,92 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contentspark.llm.common import worker_state
+
 SEQUENCE = 4096
 END_ID = 2
 GROUP_DOCUMENTS = 2048
 
-_CACHE_WORDS = 400_000
-_CACHE_LETTERS = 64
-# Characters that some white-space rules split at and others do not, and special tokens: such texts are encoded whole.
-_ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]|<\\|")
-
-
-@cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+_KNOWN_WORDS = 900_000
+_KEPT_LETTERS = 64
+# Characters that some white-space rules split at and others do not, a letter whose lower case depends on its
+# neighbours, and special tokens: such texts are encoded whole.
+_ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff\u03a3\u0130]|<\\|")
+# Texts of nothing but Latin letters, digits, plain white space and marks: there words and runs of marks are tokenised
+# apart. An apostrophe may belong to either, so texts with one are cut at white space only.
+_OTHER = re.compile(r"[^ \t\n\r\x0b\x0ca-zA-Z0-9À-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]|<\||[!-&(-/:-@\[-`{-~]{2}")
+_ALIEN = re.compile(r"[^ \t\n\r\x0b\x0ca-zA-Z0-9À-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]|<\|")
+_MARKS = re.compile(r"[!-&(-/:-@\[-`{-~]+")
+_SINGLE = [chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]
+_BATCH_LETTERS = 1 << 20
 
 
 class TextEncoder:
-    """Ids as little-endian unsigned 32-bit bytes. The tokenizer drops white space and never joins words across it,
-    so the ids of a word are kept and looked up again."""
+    """Ids as little-endian unsigned 32-bit bytes. The tokenizer lower-cases, drops white space and never joins words
+    across it, so the ids of words are kept and looked up again."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
     def _fresh(self, pieces: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
+        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in encoded]
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return self._fresh([text])[0]
-        words = text.split()
-        known = self.known
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        long = {}
-        if missing:
-            if len(known) > _CACHE_WORDS:
-                known.clear()
-                missing = list(dict.fromkeys(words))
-            for word, ids in zip(missing, self._fresh(missing)):
-                (known if len(word) <= _CACHE_LETTERS else long)[word] = ids
-        if long:
-            return b"".join([known[w] if w in known else long[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+    @staticmethod
+    def _words(text: str) -> list[str] | None:
+        """Parts of a text that are tokenised alone; None if it has to be encoded whole."""
+        odd = _OTHER.search(text)
+        if odd is None:
+            text = text.lower()
+            for mark in _SINGLE:
+                if mark in text:
+                    text = text.replace(mark, f" {mark} ")
+            return text.split()
+        if len(odd[0]) == 2 and odd[0] != "<|" and not _ALIEN.search(text):
+            return _MARKS.sub(r" \g<0> ", text.lower()).split()
+        return None if _ODD.search(text) else text.lower().split()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of texts, a few at a time: words not met before are encoded together."""
+        known, rows, missing = self.known, [], set()
+        for text in texts:
+            words = self._words(text) if text else []
+            ids = None if words is None else list(map(known.get, words))
+            if ids is not None and None in ids:
+                gaps = [i for i, x in enumerate(ids) if x is None]
+                names = [words[i] for i in gaps]
+                missing.update(names)
+                rows.append((ids, gaps, names))
+            else:
+                rows.append((ids, (), ()))
+        missing = list(missing)
+        found = dict(zip(missing, self._fresh(missing))) if missing else {}
+        if len(known) + len(found) > _KNOWN_WORDS:
+            known.clear()
+        known.update((w, ids) for w, ids in found.items() if len(w) <= _KEPT_LETTERS)
+        out = []
+        for text, (ids, gaps, names) in zip(texts, rows):
+            if ids is None:
+                out.append(self._fresh([text])[0])
+                continue
+            for i, name in zip(gaps, names):
+                ids[i] = found[name]
+            out.append(b"".join(ids))
+        return out
+
+
+def _few(column):
+    """(texts) of an Arrow column, about a million letters at a time."""
+    texts, letters = [], 0
+    for text in column:
+        texts.append(text.as_py())
+        letters += len(texts[-1] or "")
+        if letters > _BATCH_LETTERS:
+            yield texts
+            texts, letters = [], 0
+    yield texts
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -107,27 +146,26 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     end = np.asarray([end_id], "<u4").tobytes()
 
     def tokenised(batches):
-        encode = TextEncoder(tokenizer_path)
+        encoder = worker_state(f"packing {tokenizer_path}", lambda: TextEncoder(tokenizer_path))
         context = TaskContext.get()
         task, at = (context.partitionId() if context else 0), 0
         for batch in batches:
-            out = {"doc_id": [], "start": [], "ids": [], "doc_tokens": [], "grp": []}
-            held = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
-                for start in range(0, len(ids), piece_bytes):
-                    at += 1
-                    out["doc_id"].append(doc_id)
-                    out["start"].append(start // 4)
-                    out["ids"].append(ids[start: start + piece_bytes])
-                    out["doc_tokens"].append(len(ids) // 4)
-                    # A fixed mix of task and place: random-like, yet the same when a task runs again.
-                    out["grp"].append(((task * 0x9E3779B1 + at) * 0x85EBCA6B >> 7) % groups)
-                held += len(ids)
-                if held > 1 << 24:
-                    yield _batch(out)
-                    out, held = {name: [] for name in out}, 0
-            yield _batch(out)
+            done = 0
+            for texts in _few(batch.column(1)):
+                out = {"doc_id": [], "start": [], "ids": [], "doc_tokens": [], "grp": []}
+                doc_ids = batch.column(0).slice(done, len(texts)).to_pylist()
+                done += len(texts)
+                for doc_id, ids in zip(doc_ids, encoder.encode(texts)):
+                    ids += end
+                    for start in range(0, len(ids), piece_bytes):
+                        at += 1
+                        out["doc_id"].append(doc_id)
+                        out["start"].append(start // 4)
+                        out["ids"].append(ids[start: start + piece_bytes])
+                        out["doc_tokens"].append(len(ids) // 4)
+                        # A fixed mix of task and place: random-like, yet the same when a task runs again.
+                        out["grp"].append(((task * 0x9E3779B1 + at) * 0x85EBCA6B >> 7) % groups)
+                yield _batch(out)
 
     def _batch(out):
         kinds = {"doc_id": pa.int64(), "start": pa.int64(), "ids": pa.binary(), "doc_tokens": pa.int64(), "grp": pa.int32()}

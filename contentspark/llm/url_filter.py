@@ -107,7 +107,10 @@ def judge_urls(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, ur
     edges = link_edges(pages, url) if edges is None else edges.select("a", "b")
     parts = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = parts.withColumns({"rule": rule, "verdict": verdict, "__address": F.when(rule.isNull(), address_of(F.col(url)))})
+    judged = parts.withColumns({"rule": rule, "verdict": verdict,
+        # Rows that need no alias get one of many keys that match nothing, so that they do not meet in one task.
+        "__address": F.coalesce(F.when(rule.isNull(), address_of(F.col(url))),
+                                F.concat(F.lit(" "), F.pmod(F.xxhash64(url), F.lit(65536)).cast("string")))})
     aliases = blocked_aliases(edges, rules).select(F.col("address").alias("__address"), F.lit("block").alias("__by_alias"))
     return judged.join(aliases, "__address", "left").withColumn(
         "verdict", F.coalesce("verdict", "__by_alias", F.lit("allow"))).drop("__address", "__by_alias")
