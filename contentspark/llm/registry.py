@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentspark.llm import htmltext, langid, packing, topk, toxicity, url_filter
+from contentspark.llm import htmltext, langid, ngram_join, packing, topk, toxicity, url_filter
 from contentspark.llm.common import in_fold, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -36,6 +36,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_tokens", "sequence_id", "offset")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.exact_topk(vectors, vectors.where("vec_id % 100 = 0"))
@@ -52,6 +56,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_html": op6_html,
     "op4_packing": op4_packing,
+    "op8_ngram_join": op8_ngram_join,
     "op9_topk": op9_topk,
     "op10_url_filter": op10_url_filter,
 }
