@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentspark.llm import htmltext, langid, ngram_join, packing, topk, toxicity, url_filter
-from contentspark.llm.common import in_fold, table
+from contentspark.llm import htmltext, langid, ngram_join, packing, passages, topk, toxicity, url_filter
+from contentspark.llm.common import in_fold, stored, table
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -36,6 +36,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_tokens", "sequence_id", "offset")
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passages.located(docs, stored(passages.find_passages(docs)))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_html": op6_html,
     "op4_packing": op4_packing,
+    "op7_passages": op7_passages,
     "op8_ngram_join": op8_ngram_join,
     "op9_topk": op9_topk,
     "op10_url_filter": op10_url_filter,
