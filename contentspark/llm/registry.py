@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentspark.llm import decontaminate, htmltext, langid, ngram_join, packing, passages, topk, toxicity, url_filter
+from contentspark.llm import decontaminate, htmltext, langid, ngram_join, packing, passages, token_edits, topk, toxicity, url_filter
 from contentspark.llm.common import in_fold, stored, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -29,6 +29,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_edits.recount_cleaned(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("place")
 
@@ -62,6 +66,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
     "op5_language": op5_language,
