@@ -22,6 +22,8 @@ UNKNOWN = "und"
 DIMENSIONS = 4096
 #: Training rows per language, chosen by hash of the id.
 SAMPLE_PER_LANGUAGE = 1000
+#: Texts below this score are in no language that was learned; short ones of a learned language reach more.
+LEAST_SCORE = 0.3
 
 #: Families of languages by ISO 639-1 code; a language not named here is a family of its own. Fixed values.
 FAMILIES = {
@@ -193,3 +195,10 @@ def identify(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANG
 
     schema = StructType(list(docs.schema.fields)).add(pred, "string").add(score, "double")
     return docs.mapInArrow(predicted, schema)
+
+
+def keep_identified(docs: DataFrame, learn: Column, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows of documents whose language is identified: not `und`, and with at least this score."""
+    names = docs.columns
+    found = identify(docs.select(*names), learn, pred="__lang", score="__score")
+    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least_score)).select(*names)

@@ -216,3 +216,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, numerator: int = 4, denominator
     return signed.select("doc_id", "cls").join(facts, "cls", "left").select(
         "doc_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of documents (doc_id, text, ...) without near duplicates: of every class the smallest id stays.
+
+    Where ids are missing or repeat, rows take their place for an id. Texts without words have no duplicates and stay.
+    """
+    rows, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if rows == ids:
+        stay = near_duplicates(docs, **options).where("doc_id = class_id").select("doc_id")
+        return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    placed = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    stay = near_duplicates(placed, id_col="__row", **options).where("doc_id = class_id").select(F.col("doc_id").alias("__row"))
+    return placed.join(stay, "__row", "left_semi").select(*docs.columns)

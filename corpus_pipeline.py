@@ -5,10 +5,47 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from contentspark.llm import decontaminate, langid, ngram_join, packing, passages
+from contentspark.llm.common import in_fold, stored, table
+from contentspark.llm.registry import TOKENIZERS
 from contentspark.session import checkpoint_root
 
-STAGES = []
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned; null, empty and letterless texts and strange languages go."""
+    return langid.keep_identified(docs, ~in_fold(F.col("doc_id"), 4, 2))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    return ngram_join.keep_one(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document holds; only documents with nothing else go."""
+    found = stored(passages.find_passages(docs))
+    return passages.cut_passages(docs, found)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, packed into sequences."""
+    return packing.pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", cut_repeated_passages),
+    ("decontamination", drop_benchmark_leaks),
+    ("packing", pack_sequences),
+]
 
 #: SQL cannot express the trained language classifier or the fuzzy passages; the tests compare with plain Python.
 ORACLE_SQL = None
