@@ -18,7 +18,7 @@ def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("id"), F.col("source").alias("source_id"),
         F.col("doc_id").cast("string").alias("external_id"),
-        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 512).alias("title"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("text").alias("content_text"), (F.col("doc_id") % 3 == 0).alias("read"),
     )

@@ -17,7 +17,7 @@ _CORRUPT = "_corrupt"
 
 
 def iso_local(ts: Column) -> Column:
-    """``2025-08-15T10:00:00``, with a fraction only where there is one; no zone is involved."""
+    """``2025-03-19T21:05:00``, with a fraction only where there is one; no zone is involved."""
     return F.replace(ts.cast("timestamp_ntz").cast("string"), F.lit(" "), F.lit("T"))
 
 

@@ -20,24 +20,24 @@ def model_embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]])
     """A column function from a model loader.
 
     ``load`` runs once per Python worker and returns a function from texts to vectors. A batch the model
-    fails on is tried text by text; a text it fails on gets NULL.
+    fails on is halved until the texts it fails on stand alone; these get NULL. Want of memory fails the task.
     """
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
 
-        def one(text: str) -> list[float] | None:
+        def vectors_of(texts: list[str]) -> list[list[float] | None]:
             try:
-                return model([text])[0]
+                return list(model(texts))
+            except MemoryError:
+                raise
             except Exception:
-                return None
+                half = len(texts) // 2
+                return vectors_of(texts[:half]) + vectors_of(texts[half:]) if half else [None] * len(texts)
 
         for texts in batches:
-            try:
-                vectors = model(texts.tolist())
-            except Exception:
-                vectors = [one(text) for text in texts]
-            yield pd.Series(list(vectors), index=texts.index, dtype=object)
+            vectors = vectors_of(texts.tolist())
+            yield pd.Series(vectors, index=texts.index, dtype=object)
 
     return embed
 

@@ -11,8 +11,6 @@ from contentspark.session import cut_lineage
 
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
 MAX_ERROR_RATE = 0.001
-# Allowed p95 and p99 in milliseconds per endpoint.
-SLA_MS = {"feed": (40.0, 100.0), "search": (150.0, 300.0)}
 
 
 def _minute(ts: Column) -> Column:
@@ -47,17 +45,18 @@ def exact_quantiles(log: DataFrame, keys: Sequence[str], value: str, quantiles:
 
     Values are counted, dealt out by range, and ranked inside their range from the number of rows in the ranges
     before it, so a group is spread over as many tasks as its values need. The ranges are stored once because
-    they are drawn from a sample.
+    they are drawn from a sample. A NULL key is a group like any other; a group of NULL values has NULL quantiles.
     """
-    counts = log.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    counts = log.groupBy(*keys, F.col(value).alias("__v")).agg(F.count(value).alias("__n"))
     ranged = cut_lineage(counts.repartitionByRange(*keys, "__v").withColumn("__range", F.spark_partition_id()))
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy(*keys, "__range").agg(F.sum("__n").alias("__size")).select(
-        *keys, "__range", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"),
-        F.sum("__size").over(group).alias("__total"))
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"),
+        F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"), F.sum("__size").over(group).alias("__total"))
     inside = Window.partitionBy(*keys, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranged.join(offsets, [*keys, "__range"]).withColumn(
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    ranked = ranged.join(offsets, [F.col("__range") == F.col("__r"), *same]).withColumn(
         "__end", F.col("__before") + F.sum("__n").over(inside))
 
     def at(position: Column) -> Column:
@@ -124,7 +123,8 @@ def service_levels(
 ) -> DataFrame:
     """Per key: error rate, p95, p99 and whether each keeps its limit."""
     errors = log.groupBy(key).agg((F.count_if(failed) / F.count("*")).alias("error_rate"))
-    measured = errors.join(latency_quantiles(log, [key], value, (0.95, 0.99), accuracy), key, "left")
+    quantiles = latency_quantiles(log, [key], value, (0.95, 0.99), accuracy).withColumnRenamed(key, "__key")
+    measured = errors.join(quantiles, F.col(key).eqNullSafe(F.col("__key")), "left")
     return measured.select(
         key, "error_rate", "p95", "p99", (F.col("error_rate") < max_error_rate).alias("errors_ok"),
         (F.col("p95") < p95_ms).alias("p95_ok"), (F.col("p99") < p99_ms).alias("p99_ok"),

@@ -259,25 +259,45 @@ def text_candidates_from_postings(
 ) -> DataFrame:
     """As :func:`text_candidates`, reading only the query's lexemes from a stored postings table.
 
-    The shuffle is on the item id, so a lexeme found in a third of all items spreads over all tasks.
+    The shuffle is on the item id, so a lexeme found in a third of all items spreads over all tasks. An alternative
+    that only denies words is met by items without postings of the query, so their ids are read as well; an item
+    without any word has no postings and is found by scan alone.
     """
     query = web_query(text, stem)
-    if any(not g["need"] for g in query.groups):
-        raise ValueError("an alternative without a needed word must scan the items")
     matches = (
         postings.where(F.col("lexeme").isin(*query.lexemes) if query.lexemes else F.lit(False))
         .groupBy("id").agg(_occurrence_list())
-        .select("id", _score_if_matching(F.col("occ"), query.spec()))
     )
-    return _ranked(matches, k)
+    if any(not g["need"] for g in query.groups):
+        matches = postings.select("id").distinct().join(matches, "id", "left")
+    return _ranked(matches.select("id", _score_if_matching(_or_none(F.col("occ")), query.spec())), k)
+
+
+def _or_none(occ: Column) -> Column:
+    """No occurrences for an item that holds none."""
+    return F.coalesce(occ, F.expr("CAST(array() AS array<struct<pos:int,lexeme:string,weight:double>>)"))
+
+
+_OPEN = "exists(spec.groups, g -> size(g.need) = 0)"
+
+
+def _split_open(specs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Queries whose alternatives all need a word, and those that items without any query word may meet (None if none)."""
+    open_specs = specs.where(_OPEN)
+    return specs.where(f"NOT {_OPEN}"), None if open_specs.isEmpty() else open_specs
+
+
+def _asked_of_all(rows: DataFrame, open_specs: DataFrame) -> DataFrame:
+    """Rows with every open query's query_id and spec; the queries reach the scan as one array, without a join."""
+    asked = open_specs.agg(F.collect_list(F.struct("query_id", "spec"))).scalar()
+    return rows.withColumn("__asked", F.explode(asked)).select("*", "__asked.query_id", "__asked.spec").drop("__asked")
 
 
 def _anchors(specs: DataFrame) -> DataFrame:
     """``(query_id, lexeme)``: per alternative its longest needed lexeme, which every match must hold."""
-    missing = "raise_error('an alternative without a needed word must scan the items')"
     longest = ("array_max(transform(g.need, i -> named_struct('n', length(get(spec.terms, i)), "
                "'w', get(spec.terms, i)))).w")
-    each = f"array_distinct(transform(spec.groups, g -> if(size(g.need) > 0, {longest}, {missing})))"
+    each = f"array_distinct(transform(spec.groups, g -> {longest}))"
     return specs.select("query_id", F.explode(F.expr(each)).alias("lexeme"))
 
 
@@ -285,42 +305,50 @@ def text_matches_many(postings: DataFrame, queries: DataFrame, stem: str = "snow
     """``(query_id, id, text_score)`` for a table of queries ``(query_id, text)``, from stored postings.
 
     Only items holding an anchor of a query are paired with it, and only postings of query words are read and
-    moved, by item id.
+    moved, by item id. A query with an alternative that only denies words is asked of every item with postings.
     """
-    specs = query_specs(queries, stemmer(stem)).where(F.size("spec.groups") > 0)
+    specs, open_specs = _split_open(query_specs(queries, stemmer(stem)).where(F.size("spec.groups") > 0))
     anchors = broadcast_if_small(_anchors(specs), _LEXEME_BYTES)
     terms = specs.select("query_id", F.explode(F.array_distinct("spec.terms")).alias("lexeme"))
     asked = broadcast_if_small(terms.select("lexeme").distinct(), _LEXEME_BYTES)
     used = postings.join(asked, "lexeme", "left_semi")
     pairs = used.select("id", "lexeme").join(anchors, "lexeme").select("query_id", "id").distinct()
-    return (
+    found = (
         used.join(pairs.join(terms, "query_id"), ["id", "lexeme"])
         .groupBy("query_id", "id").agg(_occurrence_list())
         .join(specs, "query_id")
         .select("query_id", "id", _score_if_matching(F.col("occ"), F.col("spec")))
     )
+    if open_specs is None:
+        return found
+    words_asked = broadcast_if_small(
+        open_specs.select(F.explode("spec.terms").alias("lexeme")).distinct(), _LEXEME_BYTES)
+    held = postings.join(words_asked, "lexeme", "left_semi").groupBy("id").agg(_occurrence_list())
+    every = _asked_of_all(postings.select("id").distinct().join(held, "id", "left"), open_specs)
+    own = F.filter(_or_none(F.col("occ")), lambda x: F.array_contains(F.col("spec.terms"), x["lexeme"]))
+    return found.unionByName(every.select("query_id", "id", _score_if_matching(own, F.col("spec"))))
 
 
 def text_matches_table(items: DataFrame, queries: DataFrame, stem: str = "snowball") -> DataFrame:
     """As :func:`text_matches_many` by scan of the items.
 
     A first scan finds which items hold an anchor of which query; those pairs are few, so they are stored and,
-    when their count allows, sent to the second scan, which reads the words of the paired items only.
+    when their count allows, sent to the second scan, which reads the words of the paired items only. A query with an
+    alternative that only denies words is asked of every item in one more scan.
     """
     to_lexeme = stemmer(stem)
-    specs = query_specs(queries, to_lexeme).where(F.size("spec.groups") > 0)
+    specs, open_specs = _split_open(query_specs(queries, to_lexeme).where(F.size("spec.groups") > 0))
     anchors = broadcast_if_small(_anchors(specs), _LEXEME_BYTES)
     vocabulary = items.select("id", F.explode(F.array_distinct(
         F.concat(words(F.col("title")), words(F.col("content_text"))))).alias("word"))
     pairs = cut_lineage(
         vocabulary.select("id", F.expr(to_lexeme("word")).alias("lexeme")).join(anchors, "lexeme")
         .select("query_id", "id").distinct())
+    texts = items.select("id", "title", "content_text")
     occ = occurrences(F.col("title"), F.col("content_text"), F.col("spec.terms"), to_lexeme)
-    return (
-        items.select("id", "title", "content_text").join(broadcast_if_small(pairs, _LEXEME_BYTES), "id")
-        .join(specs, "query_id")
-        .select("query_id", "id", _score_if_matching(occ, F.col("spec")))
-    )
+    scored = ("query_id", "id", _score_if_matching(occ, F.col("spec")))
+    found = texts.join(broadcast_if_small(pairs, _LEXEME_BYTES), "id").join(specs, "query_id").select(*scored)
+    return found if open_specs is None else found.unionByName(_asked_of_all(texts, open_specs).select(*scored))
 
 
 def text_candidates_many(

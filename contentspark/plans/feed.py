@@ -24,13 +24,16 @@ def feed_rows(items: DataFrame) -> DataFrame:
 
 
 def unread_feed(items: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The ``limit`` newest unread items.
+    """The ``limit`` newest unread items, undated ones last.
 
-    The cut-off time comes from a first look at three narrow columns. As a scalar subquery it reaches the scan
-    as a pushed filter, so the text columns are read only where row groups can hold a row of the answer.
+    The last place of the answer comes from a first look at three narrow columns. As scalar subqueries its time and,
+    where undated rows are needed, its id reach the scan as filters, so the text columns are read only where row groups
+    can hold a row of the answer.
     """
     order = [F.col("published_at").desc_nulls_last(), F.col("id").asc()]
     open_items = items.where(unread(F.col("read")))
     newest = top_k(open_items.select("published_at", "id"), limit, order)
-    cutoff = newest.agg(F.min("published_at")).scalar()
-    return top_k(feed_rows(open_items.where(F.col("published_at") >= cutoff)), limit, order)
+    oldest = newest.agg(F.min("published_at")).scalar()
+    last_undated = newest.where(F.col("published_at").isNull()).agg(F.max("id")).scalar()
+    wanted = (F.col("published_at") >= oldest) | (F.col("published_at").isNull() & (F.col("id") <= last_undated))
+    return top_k(feed_rows(open_items.where(wanted)), limit, order)

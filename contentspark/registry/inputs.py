@@ -41,10 +41,10 @@ def feed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("<item><title><![CDATA["), line, F.lit("]]></title><link>"), link, F.lit("</link>"),
             F.when(i % 2 == 0, F.concat(F.lit("<guid>g-"), number, F.lit("</guid>"))).otherwise(F.lit("<guid> </guid>")),
             F.lit("<description>&lt;b&gt;"), escaped, F.lit("&lt;/b&gt;</description>"),
-            F.lit("<pubDate>Fri, 15 Aug 2025 10:00:00 +0300</pubDate></item>\n"))
+            F.lit("<pubDate>Wed, 19 Mar 2025 21:05:00 +0300</pubDate></item>\n"))
         atom = F.concat(
             F.lit("<entry><title>"), escaped, F.lit("</title><link rel=\"alternate\" href=\""), link,
-            F.lit("\"/><id>urn:"), number, F.lit("</id><updated>2025-11-20T14:30:00Z</updated><summary>"),
+            F.lit("\"/><id>urn:"), number, F.lit("</id><updated>2024-05-02T06:15:00Z</updated><summary>"),
             escaped, F.lit("</summary></entry>\n"))
         video = F.concat(
             F.lit("<entry><yt:videoId>v"), number, F.lit("</yt:videoId><title>"), escaped,

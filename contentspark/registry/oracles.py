@@ -12,7 +12,7 @@ DIM = 64
 
 DOCS = """docs AS (
   SELECT doc_id AS id, source AS source_id, CAST(doc_id AS VARCHAR) AS external_id,
-         substr(split_part(text, chr(10), 1), 1, 512) AS title,
+         split_part(text, chr(10), 1) AS title,
          concat('https://', source, '.example.org/', CAST(doc_id AS VARCHAR)) AS url,
          text AS content_text, (doc_id % 3 = 0) AS read
   FROM documents)"""
@@ -318,7 +318,7 @@ feed AS (SELECT source AS source_id, CASE kind WHEN 0 THEN 'rss' ELSE 'atom' END
   CASE WHEN kind = 0 AND (n - 1) % 2 = 0 THEN concat('g-', number) WHEN kind = 0 THEN concat('https://feed.example.org/', number)
        WHEN kind = 1 THEN concat('urn:', number) ELSE concat('v', number) END AS external_id,
   t AS title, concat('https://feed.example.org/', number) AS url, t AS content_text,
-  CASE kind WHEN 0 THEN TIMESTAMP '2025-08-15 10:00:00' WHEN 1 THEN TIMESTAMP '2025-11-20 14:30:00'
+  CASE kind WHEN 0 THEN TIMESTAMP '2025-03-19 21:05:00' WHEN 1 THEN TIMESTAMP '2024-05-02 06:15:00'
        ELSE TIMESTAMP '2024-01-20 00:00:00' END AS published_at FROM clean)"""
 
 ORACLES["feed_items"] = f"WITH {FEED_LINES} SELECT * FROM feed"

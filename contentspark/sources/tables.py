@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from contentspark.functions.ids import random_uuid
 from contentspark.schemas import CONTENT_ITEM
 
-_BATCHED = T.StructType([*CONTENT_ITEM.fields, T.StructField("batch_id", T.LongType())])
+_BATCHED = T.StructType([*CONTENT_ITEM.fields, T.StructField("run", T.IntegerType()), T.StructField("batch_id", T.LongType())])
 
 
 def _folder(spark: SparkSession, path: str):
@@ -35,7 +35,7 @@ def delete_folder(spark: SparkSession, path: str) -> None:
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Content items with the micro-batch that wrote them; empty before the first write."""
+    """Content items with the run and micro-batch that wrote them; empty before the first write."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], _BATCHED)
     return spark.read.schema(_BATCHED).parquet(path)
@@ -63,11 +63,11 @@ def with_item_defaults(rows: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def append_items(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Writes one batch by source. Writing a batch again replaces it; big sources are split, small ones packed."""
+def append_items(rows: DataFrame, path: str, run: int, batch_id: int) -> None:
+    """Writes one batch of a run by source. Writing a batch again replaces it alone; big sources are split, small ones packed."""
     (
         rows.hint("rebalance", F.col("source_id")).write.mode("overwrite")
-        .partitionBy("source_id").parquet(f"{path}/batch_id={batch_id}")
+        .partitionBy("source_id").parquet(f"{path}/run={run}/batch_id={batch_id}")
     )
 
 

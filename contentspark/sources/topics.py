@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from contentspark.schemas import TOPIC_RECORD
 
 TOPIC = "content-discovered"
-GROUP = "core-enrichment-group"
 DEAD_LETTER_SUFFIX = ".DLT"
 PRODUCER_OPTIONS = {"kafka.acks": "all", "kafka.enable.idempotence": "true", "kafka.retries": "10"}
 
 
-def kafka_options(servers: str, topic: str = TOPIC, group: str = GROUP) -> dict[str, str]:
+def kafka_options(servers: str, group: str, topic: str = TOPIC) -> dict[str, str]:
     return {
         "kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest",
         "groupIdPrefix": group, "failOnDataLoss": "true",
@@ -24,12 +23,12 @@ def kafka_options(servers: str, topic: str = TOPIC, group: str = GROUP) -> dict[
 
 def read_topic(
     spark: SparkSession, source: str, fmt: str = "kafka", topic: str = TOPIC, streaming: bool = True,
-    options: Mapping[str, str] | None = None,
+    options: Mapping[str, str] | None = None, group: str = "",
 ) -> DataFrame:
-    """Topic records from brokers (``source`` names the servers) or from a folder of record files."""
+    """Topic records from brokers (``source`` names the servers, ``group`` the consumers) or from a folder of record files."""
     reader = spark.readStream if streaming else spark.read
     if fmt == "kafka":
-        raw = reader.format("kafka").options(**{**kafka_options(source, topic), **(options or {})}).load()
+        raw = reader.format("kafka").options(**{**kafka_options(source, group, topic), **(options or {})}).load()
         return raw.select(
             F.col("key").cast("string"), F.col("value").cast("string"),
             "topic", "partition", "offset", "timestamp")

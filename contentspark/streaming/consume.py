@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,8 +15,7 @@ from contentspark.operators.enrich import Embedder, enrich
 from contentspark.operators.outbox import insert_if_absent
 from contentspark.operators.policies import MAX_RETRIES, retry_decision
 from contentspark.plans.schedule import scheduled
-from contentspark.session import checkpoint_root
-from contentspark.sources.tables import append_items, read_items, with_item_defaults
+from contentspark.sources.tables import append_items, child_names, path_exists, read_items, with_item_defaults
 from contentspark.sources.topics import dead_letter_rows
 
 ITEM_KEY = ("source_id", "external_id")
@@ -46,11 +46,12 @@ def _violating(rows: DataFrame, violations: Column, columns: list[str]) -> tuple
 
 def consume_batch(
     records: DataFrame, existing: DataFrame, now: Column, embed: Embedder | None = None, dim: int | None = None,
-    new_rows_bound: int | None = None,
+    new_rows_bound: int | None = None, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> Consumed:
     """One batch of topic records as new items and dead letters.
 
-    The event carries no body, so the title is the text. Only rows that are new are embedded.
+    The event carries no body, so the title is the text. Only rows that are new are embedded. Both results come from the
+    enriched rows; ``keep`` may persist or store these, so that the model sees every row once.
     """
     events, undecodable = split_records(records.select("key", "value", "topic", "partition", "offset"))
     columns = undecodable.columns[:-2]
@@ -59,7 +60,7 @@ def consume_batch(
     valid, invalid = _violating(rows, content_violations(), columns)
     fresh = insert_if_absent(
         valid, existing, ITEM_KEY, [F.col("partition").asc(), F.col("offset").asc()], new_rows_bound)
-    enriched = enrich(fresh, embed)
+    enriched = keep(enrich(fresh, embed))
     dead = undecodable.unionByName(invalid)
     if embed is not None and dim is not None:
         enriched, misfit = _violating(enriched, constraint_violations({}, (), "embedding", dim), columns)
@@ -73,39 +74,63 @@ def route_failures(records: DataFrame, failures: str = "failures", max_retries:
     return records.where(decision == "retry"), records.where(decision == "dead_letter")
 
 
-def drop_recent_repeats(events: DataFrame, delay: str, time_column: str = "timestamp") -> DataFrame:
-    """Cheap pre-filter with bounded state; repeats further apart are left to the insert itself."""
+def drop_recent_repeats(events: DataFrame, delay: str) -> DataFrame:
+    """Cheap pre-filter with bounded state; repeats further apart are left to the insert itself.
+
+    The state ages by arrival, not by the events' own times, so an event that comes late is not taken for an old one.
+    """
     return (
-        events.withColumn("__event_time", F.col(time_column).cast("timestamp"))
-        .withWatermark("__event_time", delay)
-        .dropDuplicatesWithinWatermark(list(ITEM_KEY)).drop("__event_time")
+        events.withColumn("__seen", F.current_timestamp()).withWatermark("__seen", delay)
+        .dropDuplicatesWithinWatermark(list(ITEM_KEY)).drop("__seen")
     )
 
 
+def run_number(spark: SparkSession, checkpoint: str, *outputs: str) -> int:
+    """The number under which a consumer with this checkpoint stores its batches.
+
+    A checkpoint keeps the number it was given first. A new one gets a number that no output holds yet, because its
+    batches are counted from zero again and must not replace those of an earlier run.
+    """
+    marker = f"{checkpoint}/contentspark-run"
+    if path_exists(spark, f"{marker}/_SUCCESS"):
+        return spark.read.schema("run int").json(marker).first()["run"]
+    taken = [int(n[4:]) for path in outputs for n in child_names(spark, path) if n.startswith("run=")]
+    run = max(taken, default=0) + 1
+    spark.range(1).select(F.lit(run).alias("run")).write.mode("overwrite").json(marker)
+    return run
+
+
 def start_consumer(
-    records: DataFrame, items_path: str, dead_letter_path: str, *, embed: Embedder | None = None,
-    dim: int | None = None, now: Column | None = None, checkpoint: str | None = None,
-    every_seconds: float | None = None,
+    records: DataFrame, items_path: str, dead_letter_path: str, checkpoint: str, *, embed: Embedder | None = None,
+    dim: int | None = None, now: Column | None = None, every_seconds: float | None = None,
 ) -> StreamingQuery:
     """Runs :func:`consume_batch` on a stream of records into two folders.
 
-    Both sinks are keyed by the batch number and compared with earlier batches only, so a batch that is
-    repeated after a failure replaces its own output and nothing is stored twice.
+    Both sinks are keyed by run (see :func:`run_number`) and batch number, and a batch is compared with everything but
+    itself and its followers, so a batch that is repeated after a failure replaces its own output alone and nothing is
+    stored twice. One consumer writes to a pair of folders at a time.
     """
     spark = records.sparkSession
     clock = F.current_timestamp() if now is None else now
+    run = run_number(spark, checkpoint, items_path, dead_letter_path)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        kept = [batch.persist()]
+
+        def keep(rows: DataFrame) -> DataFrame:
+            kept.append(rows.persist())
+            return kept[-1]
+
         try:
             size = batch.count()
-            existing = read_items(batch.sparkSession, items_path).where(F.col("batch_id") < batch_id)
-            result = consume_batch(batch, existing, clock, embed, dim, new_rows_bound=size)
-            append_items(result.items, items_path, batch_id)
-            result.dead_letters.write.mode("overwrite").parquet(f"{dead_letter_path}/batch_id={batch_id}")
+            stored = read_items(batch.sparkSession, items_path)
+            existing = stored.where((F.col("run") != run) | (F.col("batch_id") < batch_id))
+            result = consume_batch(batch, existing, clock, embed, dim, new_rows_bound=size, keep=keep)
+            append_items(result.items, items_path, run, batch_id)
+            result.dead_letters.write.mode("overwrite").parquet(f"{dead_letter_path}/run={run}/batch_id={batch_id}")
         finally:
-            batch.unpersist()
+            for rows in kept:
+                rows.unpersist()
 
-    folder = checkpoint or f"{checkpoint_root(spark)}/consumer"
-    writer = records.writeStream.foreachBatch(handle).option("checkpointLocation", folder)
+    writer = records.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return scheduled(writer, every_seconds).start()

@@ -95,3 +95,15 @@ def test_exact_quantiles_of_one_huge_group(spark, partitions):
     assert set(got) == set(values)
     for k, vs in values.items():
         assert got[k] == pytest.approx(tuple(np.quantile(vs, [0.0, 0.5, 0.9, 0.99, 1.0])))
+
+
+def test_quantiles_keep_null_groups_and_null_values(spark):
+    from contentspark.operators.metrics import latency_quantiles, service_levels
+
+    rows = [("a", 1.0), ("a", 3.0), (None, 5.0), (None, None), ("empty", None)]
+    log = spark.createDataFrame(rows, "g string, v double")
+    want = {"a": 2.0, None: 5.0, "empty": None}
+    assert {r.g: r.p50 for r in latency_quantiles(log, ["g"], "v", (0.5,)).collect()} == want
+    assert set(r.g for r in latency_quantiles(log, ["g"], "v", (0.5,), accuracy=100).collect()) == set(want)
+    levels = {r.g: r.p95 for r in service_levels(log, "g", "v", F.lit(False), F.lit(9.0), F.lit(9.0)).collect()}
+    assert levels == {"a": 2.9, None: 5.0, "empty": None}

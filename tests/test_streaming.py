@@ -28,7 +28,7 @@ def records(spark, *values, start=0):
         [(None, v, "content-discovered", 0, start + i, NOW) for i, v in enumerate(values)], RECORD)
 
 
-FIRST = (event("1", "one"), "{invalid-json-payload-poison-pill", event("1", "one again"), event("2", "x" * 513),
+FIRST = (event("1", "one"), "[neither, an: event", event("1", "one again"), event("2", "x" * 513),
          event("3", "three", source=None), event("4", "four", publishedAt="2025-01-01T00:00:00"))
 SECOND = (event("1", "one late"), event("5", "five"))
 
@@ -85,10 +85,37 @@ def test_repeated_batch_replaces_its_output(spark, folders):
     for _ in range(2):
         existing = read_items(spark, folders["itemsA"]).where("batch_id < 0")
         again = consume_batch(records(spark, *FIRST), existing, now())
-        append_items(again.items, folders["itemsA"], 0)
+        append_items(again.items, folders["itemsA"], 1, 0)
     assert read_items(spark, folders["itemsA"]).count() == first.items.count() == 2
 
 
+def test_new_checkpoint_keeps_what_is_stored(spark, folders):
+    write_topic(records(spark, *FIRST).coalesce(1), folders["in"], fmt="parquet")
+    run_stream(spark, folders, "A")
+    write_topic(records(spark, *SECOND, start=len(FIRST)).coalesce(1), folders["in"], fmt="parquet")
+    folders["ckptA"] += "-other"
+    run_stream(spark, folders, "A")
+    rows = [(r.external_id, r.title) for r in read_items(spark, folders["itemsA"]).collect()]
+    assert sorted(rows) == [("1", "one"), ("4", "four"), ("5", "five")]
+    assert {r.run for r in read_items(spark, folders["itemsA"]).collect()} == {1, 2}
+    assert spark.read.parquet(folders["deadA"]).count() == 6
+
+
+def test_model_sees_every_row_once(spark, folders):
+    seen = spark.sparkContext.accumulator(0)
+
+    def load():
+        def embed(texts):
+            seen.add(len(texts))
+            return [[1.0, 0.0] for _ in texts]
+
+        return embed
+
+    write_topic(records(spark, event("1", "one"), event("2", "two")).coalesce(1), folders["in"], fmt="parquet")
+    run_stream(spark, folders, "A", embed=model_embedder(load), dim=2)
+    assert seen.value == 2 and read_items(spark, folders["itemsA"]).count() == 2
+
+
 def constant_model():
     def embed(texts):
         if any("bad" in t for t in texts):
@@ -151,10 +178,10 @@ def test_payload_files(spark, tmp_path):
 
 
 def test_registry(spark):
-    registry = source_registry(spark, {"spring": "https://s/", "github": "https://g/"})
+    registry = source_registry(spark, {"quay": "https://s/", "mole": "https://g/"})
     payloads = spark.createDataFrame([("https://s/", 1), ("https://other/", 2)], "url string, n int")
-    assert [(r.source_id, r.n) for r in with_source(payloads, registry).collect()] == [("spring", 1)]
-    assert source_registry(spark, {"spring": "https://s/"}, enabled=False).count() == 0
+    assert [(r.source_id, r.n) for r in with_source(payloads, registry).collect()] == [("quay", 1)]
+    assert source_registry(spark, {"quay": "https://s/"}, enabled=False).count() == 0
 
 
 def memory_stream(spark, frame, folder, query, name, mode):
@@ -176,6 +203,13 @@ def test_recent_repeats(spark, folders):
                                   "source_id string, external_id string, timestamp timestamp_ntz")
     rows = memory_stream(spark, frame, folders["in"], lambda s: drop_recent_repeats(s, "1 hour"), "recent", "append")
     assert sorted(r.external_id for r in rows) == ["1", "2"]
+    # Rows first seen long after newer ones stay.
+    for i, at in enumerate((NOW, datetime(2001, 1, 1), datetime(2035, 1, 1), datetime(1990, 1, 1))):
+        spark.createDataFrame([("t", str(i), at)], frame.schema).coalesce(1).write.mode("append").parquet(folders["in"] + "2")
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folders["in"] + "2")
+    drop_recent_repeats(stream, "1 second").writeStream.format("memory").queryName("late").trigger(
+        availableNow=True).start().awaitTermination(120)
+    assert spark.table("late").count() == 4
 
 
 def test_breaker_rules():
