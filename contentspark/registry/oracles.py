@@ -100,6 +100,10 @@ ORACLES["unread_feed_newest"] = f"""WITH {ITEMS}
 SELECT id, source_id, external_id, title, url, content_text AS clean_content, published_at
 FROM items WHERE NOT read ORDER BY published_at DESC, id LIMIT 20"""
 
+ORACLES["unread_feed_undated"] = f"""WITH {ITEMS}
+SELECT id, source_id, external_id, title, url, content_text AS clean_content,
+  CASE WHEN id % 5 = 0 THEN published_at END AS published_at FROM items WHERE NOT read"""
+
 ORACLES["content_scan"] = f"""WITH {ITEMS}
 SELECT id, source_id, external_id, title, url, content_text AS clean_content, published_at FROM items"""
 
@@ -158,6 +162,20 @@ ORACLES["text_top50_two_word_phrase"] = f"""WITH {DOCS}, {POSTINGS}, {text_rank_
     [['eriner', 'thanea']], f"id IN {adjacent('eriner', 'thanea')} AND id NOT IN {adjacent('de', 'la')}").replace(
     "lexeme IN ('eriner', 'thanea')", "lexeme IN ('eriner', 'thanea', 'de', 'la')")} {RANKED_OUT}"""
 
+ORACLES["text_top50_deny_only"] = f"""WITH {DOCS}, {POSTINGS},
+asked(query_id) AS (VALUES (1), (2), (3)),
+{text_rank_sql([['ananbl']], _has('ananbl'))},
+word AS (SELECT id, text_score FROM ranked),
+words AS (SELECT DISTINCT id, lexeme FROM post),
+denied AS (SELECT 1 AS query_id, id, 0.0::DOUBLE AS text_score FROM docs
+    WHERE id NOT IN (SELECT id FROM words WHERE lexeme IN ('{ANAT}', '{ATED}'))),
+either AS (SELECT 3 AS query_id, d.id, coalesce(w.text_score, 0.0::DOUBLE) AS text_score FROM docs d
+    LEFT JOIN tot w ON w.id = d.id
+    WHERE w.id IS NOT NULL OR d.id NOT IN (SELECT id FROM words WHERE lexeme = '{ANAT}')),
+every_one AS (SELECT * FROM denied UNION ALL SELECT * FROM either UNION ALL SELECT 2, id, text_score FROM word),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY text_score DESC, id) AS r FROM every_one)
+SELECT query_id, id, text_score, CAST(r AS INTEGER) AS text_rank FROM placed WHERE r <= 50"""
+
 ORACLES["postings"] = f"WITH {DOCS}, {POSTINGS} SELECT id, lexeme, CAST(pos AS INTEGER) AS pos, weight FROM post"
 
 QUERY_TERMS = rf"""qt AS (SELECT DISTINCT item_id AS query_id, {light_sql('word')} AS lexeme FROM (
@@ -402,8 +420,9 @@ FROM c JOIN hv ON hv.key = c.k"""
 
 # Policies
 
-ORACLES["rate_limited_calls"] = """SELECT CAST(user_id AS VARCHAR) AS domain, event_id AS call_id,
-  row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY event_id) <= 5 AS admitted FROM events"""
+ORACLES["rate_limited_calls"] = """WITH bursts AS (
+  SELECT CAST(user_id AS VARCHAR) AS domain, ts, event_id * 8 + unnest(range(0, event_id % 8 + 1)) AS call_id FROM events)
+SELECT domain, call_id, row_number() OVER (PARTITION BY domain, date_trunc('second', ts) ORDER BY call_id) <= 5 AS admitted FROM bursts"""
 ORACLES["breaker_signal"] = """WITH c AS (SELECT CAST(user_id AS VARCHAR) AS domain, event_id AS call_id,
   count(*) OVER w AS window_calls, count(*) FILTER (WHERE event_type = 'error') OVER w AS window_failures
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
@@ -426,6 +445,9 @@ ORACLES["request_rates"] = """SELECT date_trunc('minute', ts) AS window_start, r
 ORACLES["max_per_minute"] = """SELECT date_trunc('minute', ts) AS window_start, max(value) AS max_value FROM events GROUP BY 1"""
 _Q = ", ".join(f"round(quantile_cont(value, {q}), 6) AS {n}" for q, n in ((0.5, "p50"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99")))
 ORACLES["latency_quantiles_by_endpoint"] = f"SELECT event_type AS endpoint, {_Q} FROM events GROUP BY 1"
+ORACLES["latency_quantiles_null_group"] = f"""SELECT endpoint, {_Q} FROM (
+  SELECT CASE WHEN event_type <> 'click' THEN event_type END AS endpoint, CASE WHEN event_type = 'signup' THEN NULL ELSE value END AS value
+  FROM events) GROUP BY 1"""
 ORACLES["latency_quantiles_by_minute"] = f"SELECT date_trunc('minute', ts) AS window_start, {_Q} FROM events GROUP BY 1"
 
 

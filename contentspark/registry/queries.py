@@ -55,6 +55,14 @@ def unread_feed_newest(spark, sf):
     return unread_feed(content_items(spark, sf))
 
 
+@query
+def unread_feed_undated(spark, sf):
+    """A feed longer than the number of dated rows: items of even sources have no date."""
+    undated = F.when(F.col("id") % 5 == 0, F.col("published_at"))
+    items = content_items(spark, sf).withColumn("published_at", undated)
+    return unread_feed(items, limit=items.count())
+
+
 @query
 def content_scan(spark, sf):
     return feed_rows(content_items(spark, sf))
@@ -132,6 +140,14 @@ def text_top50_table(spark, sf):
     return found.select("query_id", "id", "text_score", F.col("rank").alias("text_rank"))
 
 
+@query
+def text_top50_deny_only(spark, sf):
+    """Queries that deny words stand beside one that needs a word."""
+    asked = spark.createDataFrame([(1, "-anat -ated"), (2, "ananble"), (3, "ananble or -anat")], "query_id int, text string")
+    found = text_candidates_many(document_items(spark, sf), asked, stem=STEM)
+    return found.select("query_id", "id", "text_score", F.col("rank").alias("text_rank"))
+
+
 @query
 def text_top50_table_scan(spark, sf):
     found = text_candidates_many(document_items(spark, sf), queries_from_benchmark(spark, sf), stem=STEM)
@@ -464,9 +480,9 @@ def query_vectors(spark, sf):
 
 @query
 def rate_limited_calls(spark, sf):
-    minute_as_second = F.date_trunc("day", "ts")
-    log = calls(spark, sf).withColumn("ts", minute_as_second)
-    return rate_limit(log).select("domain", "call_id", "admitted")
+    """Every call arrives as a burst within its own second, so that seconds overflow."""
+    log = calls(spark, sf).withColumn("burst", F.explode(F.sequence(F.lit(0), F.col("call_id") % 8)))
+    return rate_limit(log.withColumn("call_id", F.col("call_id") * 8 + F.col("burst"))).select("domain", "call_id", "admitted")
 
 
 @query
@@ -533,6 +549,16 @@ def latency_quantiles_by_minute(spark, sf):
     return q.select("window_start", *[F.round(c, 6).alias(c) for c in q.columns[1:]])
 
 
+@query
+def latency_quantiles_null_group(spark, sf):
+    """A NULL key is a group, and a group of NULL values has NULL quantiles."""
+    kind = F.col("endpoint")
+    log = calls(spark, sf).withColumns({
+        "endpoint": F.when(kind != "click", kind), "latency_ms": F.when(~F.coalesce(kind == "signup", F.lit(False)), F.col("latency_ms"))})
+    q = metrics.latency_quantiles(log, ["endpoint"], "latency_ms")
+    return q.select("endpoint", *[F.round(c, 6).alias(c) for c in q.columns[1:]])
+
+
 @query
 def histogram_quantiles_by_endpoint(spark, sf):
     q = metrics.histogram_quantiles(
