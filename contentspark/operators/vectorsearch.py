@@ -15,8 +15,11 @@ from contentspark.operators.ranking import top_k, top_k_per_group, with_rank
 from contentspark.plans.sizing import row_count_up_to
 
 CANDIDATES = 50
-QUERY_BLOCK_BYTES = 64 * 1024 * 1024
-ROWS_PER_BLOCK = 2048
+# Queries and items that meet in one task, and item rows multiplied at once: a task holds a distance array of
+# ROWS_PER_BLOCK x BAND_QUERIES numbers (16 MiB) and its two sides, whatever the tables' sizes.
+BAND_QUERIES = 4096
+SHARD_ROWS = 16384
+ROWS_PER_BLOCK = 512
 
 
 def has_vector(embedding: Column) -> Column:
@@ -98,36 +101,43 @@ def _block_kernel(
 def vector_candidates_many(items: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """``(query_id, id, distance, rank)`` of the ``k`` nearest items of every query ``(query_id, vector)``.
 
-    Item blocks are multiplied with a block of query vectors inside the scan tasks, which keep ``k`` rows per
-    query; pairs beyond those never leave a task. Queries that do not fit one block take another pass.
+    Up to ``BAND_QUERIES`` queries go to the scan tasks, which multiply them with item blocks and keep ``k`` rows per
+    query. More are dealt into bands and the items into shards; a task has one of each. The plan is the same for any
+    number of queries, and pairs beyond the ``k`` per query never leave a task.
     """
-    spark = items.sparkSession
     from pyspark.sql.pandas.types import to_arrow_schema
 
     queries = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
+    scan = items.where(has_vector(F.col("embedding"))).select("id", "embedding")
     out = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("id", items.schema["id"].dataType),
         T.StructField("distance", T.DoubleType()),
     ])
-    first = queries.select(F.size("vector").alias("n")).first()
-    if first is None:
-        return spark.createDataFrame([], T.StructType([*out.fields, T.StructField("rank", T.IntegerType())]))
-    block_rows = max(1, QUERY_BLOCK_BYTES // (8 * first["n"]))
-    passes = 1
-    if row_count_up_to(queries, block_rows) > block_rows:
-        passes = -(-2 * queries.count() // block_rows)
-    scan = items.where(has_vector(F.col("embedding"))).select("id", "embedding")
-    found = None
-    for number in range(passes):
-        block = queries if passes == 1 else queries.where(
-            F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number)
-        rows = block.toArrow()
-        if rows.num_rows == 0:
-            continue
+    schema = to_arrow_schema(out)
+
+    def kernel_of(rows: pa.Table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         matrix = np.stack([np.asarray(v, dtype=np.float64) for v in rows.column("vector").to_pylist()])
-        kernel = _block_kernel(rows.column("query_id").to_pylist(), matrix, k, to_arrow_schema(out))
-        near = scan.mapInArrow(kernel, out)
-        found = near if found is None else found.unionByName(near)
+        return _block_kernel(rows.column("query_id").to_pylist(), matrix, k, schema)
+
+    if row_count_up_to(queries, BAND_QUERIES) <= BAND_QUERIES:
+        rows = queries.toArrow()
+        if rows.num_rows == 0:
+            return items.sparkSession.createDataFrame([], T.StructType([*out.fields, T.StructField("rank", T.IntegerType())]))
+        found = scan.mapInArrow(kernel_of(rows), out)
+    else:
+        bands, shards = -(-queries.count() // BAND_QUERIES), max(1, -(-scan.count() // SHARD_ROWS))
+
+        def dealt(df: DataFrame, own: str, parts: int, other: str, copies: int) -> DataFrame:
+            place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+            return df.withColumn(own, place).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+
+        def tile(asked, stored):
+            if not asked.num_rows or not stored.num_rows:
+                return schema.empty_table()
+            return pa.Table.from_batches(kernel_of(asked)(iter(stored.select(["id", "embedding"]).to_batches())), schema)
+
+        found = dealt(queries, "__band", bands, "__shard", shards).groupBy("__band", "__shard").cogroup(
+            dealt(scan, "__shard", shards, "__band", bands).groupBy("__band", "__shard")).applyInArrow(tile, out)
     order = [F.col("distance").asc_nulls_last(), F.col("id").asc()]
     return top_k_per_group(found, k, ["query_id"], order)

@@ -184,13 +184,14 @@ def test_vector_table_against_brute_force(spark):
     assert not [r for r in got if r.query_id == "none"]
 
 
-def test_vector_table_in_several_passes(spark, monkeypatch):
+def test_vector_table_in_bands_and_shards(spark, monkeypatch):
     from contentspark.operators import vectorsearch
 
     items = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id long, embedding array<float>")
     queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "query_id int, vector array<float>")
     whole = {tuple(r) for r in vector_candidates_many(items, queries, 3).collect()}
-    monkeypatch.setattr(vectorsearch, "QUERY_BLOCK_BYTES", 48)
+    monkeypatch.setattr(vectorsearch, "BAND_QUERIES", 4)
+    monkeypatch.setattr(vectorsearch, "SHARD_ROWS", 7)
     assert {tuple(r) for r in vector_candidates_many(items, queries, 3).collect()} == whole
     assert len(whole) == 27
 
