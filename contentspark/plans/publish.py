@@ -1,26 +1,29 @@
-"""Outbox table to topic, and clearing the outbox.
+"""Outbox folder to topic, and clearing the outbox.
 
-The pending part of an outbox is a small snapshot that every round rewrites; processed rows move once to folders
-by day, where clearing drops whole days. No round rewrites history.
+An outbox is a log: rows are appended once, and every change of a row (claimed, processed, failed) is appended as an
+event, so a round writes as much as it publishes. A row's state is its events folded together. Compaction starts a new
+generation with the pending rows and moves processed ones into folders by day; clearing moves a cut-off time and drops
+days that lie wholly before it. Nothing is written anew in place, so a crash at any point leaves a readable outbox.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from contentspark.operators.outbox import (
-    BATCH_SIZE, LEASE_MS, RETENTION_MS, apply_outcomes, claim_batch, is_expired,
-)
+from contentspark.operators.outbox import BATCH_SIZE, LEASE_MS, RETENTION_MS, claim_batch
 from contentspark.schemas import OUTBOX_EVENT
-from contentspark.sources.tables import child_names, delete_folder, path_exists, read_snapshot, write_snapshot
+from contentspark.sources.tables import child_names, delete_folder, path_exists
 from contentspark.sources.topics import topic_rows
 
-_CLAIMED = T.StructType([*OUTBOX_EVENT.fields, T.StructField("claimed", T.BooleanType())])
+#: Rounds in a generation after which publishing compacts it.
+COMPACT_ROUNDS = 100
+_EVENT = "id string, kind string, at timestamp_ntz, locked_until timestamp_ntz, error string"
+_MOST_HALVINGS = 32
 
 
 def _moment(spark: SparkSession, now: Column) -> datetime:
@@ -28,82 +31,158 @@ def _moment(spark: SparkSession, now: Column) -> datetime:
     return spark.range(1).select(now.cast("timestamp_ntz")).first()[0]
 
 
+def _generation(spark: SparkSession, path: str) -> int:
+    """The newest generation whose first rows are complete; 0 before the first compaction."""
+    numbers = [int(n[2:]) for n in child_names(spark, path) if n.startswith("g=")]
+    return max((n for n in numbers if path_exists(spark, f"{path}/g={n}/base/_SUCCESS")), default=0)
+
+
+def _read(spark: SparkSession, schema, path: str) -> DataFrame:
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def fold_events(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Outbox rows in the state that their events ``(id, kind, at, locked_until, error)`` have brought them to."""
+    def last(value: str, kind: str) -> Column:
+        return F.max_by(value, F.when(F.col("kind") == kind, F.col("at")))
+
+    folded = events.groupBy("id").agg(
+        F.max(F.when(F.col("kind") == "processed", F.col("at"))).alias("__processed"),
+        F.count_if(F.col("kind") == "failed").cast("int").alias("__failed"),
+        last("error", "failed").alias("__error"), last("locked_until", "claimed").alias("__locked"))
+    return rows.join(folded, "id", "left").withColumns({
+        "processed_at": F.coalesce("processed_at", "__processed"),
+        "retry_count": F.col("retry_count") + F.coalesce("__failed", F.lit(0)),
+        "error_message": F.coalesce("__error", "error_message"),
+        "locked_until": F.coalesce("__locked", "locked_until"),
+    }).select(*OUTBOX_EVENT.fieldNames())
+
+
+def _state(spark: SparkSession, path: str, generation: int) -> DataFrame:
+    """Rows of the current generation in their present state."""
+    folder = f"{path}/g={generation}"
+    rows = _read(spark, OUTBOX_EVENT, f"{folder}/base").unionByName(_read(spark, OUTBOX_EVENT, f"{folder}/new"))
+    return fold_events(rows, _read(spark, _EVENT, f"{folder}/events"))
+
+
+def _cut(spark: SparkSession, path: str) -> datetime | None:
+    """Rows processed before this time are cleared."""
+    if not path_exists(spark, f"{path}/cuts"):
+        return None
+    return spark.read.schema("cut timestamp_ntz").parquet(f"{path}/cuts").agg(F.max("cut")).first()[0]
+
+
+def _moved(spark: SparkSession, path: str, generation: int) -> DataFrame:
+    """Processed rows that compactions up to this generation have moved; an unfinished one's do not count yet."""
+    folders = [f"{path}/done/{day}/{g}" for day in child_names(spark, f"{path}/done")
+               for g in child_names(spark, f"{path}/done/{day}") if int(g) < generation]
+    rows = spark.read.schema(OUTBOX_EVENT).parquet(*folders) if folders else spark.createDataFrame([], OUTBOX_EVENT)
+    cut = _cut(spark, path)
+    return rows if cut is None else rows.where(F.col("processed_at") >= F.lit(cut))
+
+
 def read_pending(spark: SparkSession, path: str) -> DataFrame:
-    return read_snapshot(spark, f"{path}/pending", OUTBOX_EVENT)
+    return _state(spark, path, _generation(spark, path)).where(F.col("processed_at").isNull())
 
 
 def read_done(spark: SparkSession, path: str) -> DataFrame:
-    if not path_exists(spark, f"{path}/done"):
-        return spark.createDataFrame([], OUTBOX_EVENT)
-    return spark.read.schema(OUTBOX_EVENT).option("recursiveFileLookup", "true").parquet(f"{path}/done")
+    generation = _generation(spark, path)
+    now_done = _state(spark, path, generation).where(F.col("processed_at").isNotNull())
+    return now_done.unionByName(_moved(spark, path, generation))
 
 
 def read_outbox(spark: SparkSession, path: str) -> DataFrame:
     """All outbox rows: pending ones, and processed ones not cleared yet."""
-    return read_pending(spark, path).unionByName(read_done(spark, path))
+    generation = _generation(spark, path)
+    return _state(spark, path, generation).unionByName(_moved(spark, path, generation))
+
+
+def append_outbox(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Adds new rows."""
+    rows.select(*OUTBOX_EVENT.fieldNames()).write.parquet(f"{path}/g={_generation(spark, path)}/new/{uuid.uuid4().hex}")
 
 
-def append_outbox(spark: SparkSession, path: str, rows: DataFrame) -> int:
-    """Adds new rows to the pending part."""
-    both = read_pending(spark, path).unionByName(rows.select(*OUTBOX_EVENT.fieldNames()))
-    return write_snapshot(both, f"{path}/pending")
+def _send(rows: DataFrame, send: Callable[[DataFrame], None], depth: int = 0) -> list[tuple[DataFrame, str | None]]:
+    """Sends rows; those of a failing batch in halves, until the rows at fault stand alone. (rows, error) of each part."""
+    try:
+        send(topic_rows(rows))
+        return [(rows, None)]
+    except Exception as failure:
+        if depth >= _MOST_HALVINGS or rows.limit(2).count() < 2:
+            return [(rows, str(failure))]
+        side = F.pmod(F.xxhash64("id", F.lit(depth)), F.lit(2))
+        halves = [rows.where(side == s) for s in (0, 1)]
+        return [part for half in halves if not half.isEmpty() for part in _send(half, send, depth + 1)]
 
 
 def publish_outbox(
     spark: SparkSession, path: str, send: Callable[[DataFrame], None], now: Column,
-    limit: int = BATCH_SIZE, lease_ms: int = LEASE_MS,
+    limit: int = BATCH_SIZE, lease_ms: int = LEASE_MS, compact_rounds: int = COMPACT_ROUNDS,
 ) -> int:
-    """Claims the oldest pending rows, sends them as ``(key, value)``, stores the outcome; rows published.
+    """Claims the oldest pending rows, sends them as ``(key, value)``, stores each row's outcome; rows published.
 
-    The lease is stored before anything is sent. A crash after sending and before storing sends again.
+    The lease is stored before anything is sent. A crash after sending and before storing sends again. One publisher
+    works on an outbox at a time.
     """
-    pending_path = f"{path}/pending"
+    generation = _generation(spark, path)
+    if len(child_names(spark, f"{path}/g={generation}/events")) > 2 * compact_rounds:
+        generation = compact_outbox(spark, path)
     at = _moment(spark, now)
-    pending = read_pending(spark, path)
-    claimed, leased = claim_batch(pending, F.lit(at), limit, lease_ms)
-    flagged = leased.join(claimed.select("id", F.lit(True).alias("claimed")), "id", "left")
-    version = write_snapshot(flagged, pending_path)
-    stored = spark.read.schema(_CLAIMED).parquet(f"{pending_path}/v={version}")
-    mine = stored.where("claimed")
-    count = mine.count()
-    if count == 0:
+    events = f"{path}/g={generation}/events/{uuid.uuid4().hex}"
+    claimed, _ = claim_batch(_state(spark, path, generation), F.lit(at), limit, lease_ms)
+    until = at + timedelta(milliseconds=lease_ms)
+
+    def store(rows: DataFrame, folder: str) -> None:
+        rows.select("id", "kind", F.lit(at).alias("at"), "locked_until", "error").write.parquet(folder)
+
+    none = F.lit(None)
+    store(claimed.select("id", F.lit("claimed").alias("kind"), F.lit(until).alias("locked_until"), none.cast("string").alias("error")),
+          f"{events}-claimed")
+    # What was stored, not what would be chosen now.
+    ids = spark.read.schema(_EVENT).parquet(f"{events}-claimed").select("id")
+    mine = _state(spark, path, generation).join(F.broadcast(ids) if limit <= BATCH_SIZE else ids, "id", "left_semi").select(
+        "id", "aggregate_id", "payload")
+    if ids.isEmpty():
         return 0
-    ok, error = True, None
-    try:
-        send(topic_rows(mine))
-    except Exception as failure:
-        ok, error = False, str(failure)
-    outcomes = mine.select("id", F.lit(ok).alias("ok"), F.lit(error).cast("string").alias("error"))
-    state = apply_outcomes(stored.drop("claimed"), outcomes, F.lit(at), outcome_rows=count)
-    if ok:
-        done = state.where(F.col("processed_at").isNotNull())
-        done.write.mode("overwrite").parquet(f"{path}/done/{at.date()}/{version}")
-    write_snapshot(state.where(F.col("processed_at").isNull()), pending_path)
-    return count if ok else 0
+    outcomes = None
+    for rows, error in _send(mine, send):
+        kind = "processed" if error is None else "failed"
+        part = rows.select("id", F.lit(kind).alias("kind"), none.cast("timestamp_ntz").alias("locked_until"),
+                           F.lit(error).cast("string").alias("error"))
+        outcomes = part if outcomes is None else outcomes.unionByName(part)
+    store(outcomes, f"{events}-sent")
+    return spark.read.schema(_EVENT).parquet(f"{events}-sent").where("kind = 'processed'").count()
+
+
+def compact_outbox(spark: SparkSession, path: str) -> int:
+    """Starts a new generation with the pending rows; processed ones go to folders by day. Its number.
+
+    The new generation counts once it is complete; only then does the old one go. A repeated compaction replaces
+    what an interrupted one has left.
+    """
+    old = _generation(spark, path)
+    state = _state(spark, path, old)
+    done = state.where(F.col("processed_at").isNotNull())
+    for (day,) in done.select(F.to_date("processed_at")).distinct().collect():
+        done.where(F.to_date("processed_at") == F.lit(day)).write.mode("overwrite").parquet(f"{path}/done/{day}/{old}")
+    state.where(F.col("processed_at").isNull()).write.mode("overwrite").parquet(f"{path}/g={old + 1}/base")
+    delete_folder(spark, f"{path}/g={old}")
+    return old + 1
 
 
 def purge_outbox(spark: SparkSession, path: str, now: Column, age_ms: int = RETENTION_MS) -> int:
-    """Removes rows processed longer ago than ``age_ms``; the number removed.
+    """Clears rows processed longer ago than ``age_ms``; the number cleared.
 
-    Days before the boundary day go as a whole. The boundary day's kept rows are written anew before its old
-    folders go; a crash in between leaves them twice until the next run.
+    The rows are gone once the cut-off time is stored; folders of days wholly before it are deleted.
     """
-    at = _moment(spark, now)
-    boundary = (at - timedelta(milliseconds=age_ms)).date()
-    removed = 0
+    cut = _moment(spark, now) - timedelta(milliseconds=age_ms)
+    generation = compact_outbox(spark, path)
+    gone = _moved(spark, path, generation).where(F.col("processed_at") < F.lit(cut)).count()
+    if gone:
+        spark.range(1).select(F.lit(cut).alias("cut")).write.mode("append").parquet(f"{path}/cuts")
     for day in child_names(spark, f"{path}/done"):
-        if date.fromisoformat(day) > boundary:
-            continue
-        folder = f"{path}/done/{day}"
-        rounds = child_names(spark, folder)
-        rows = spark.read.schema(OUTBOX_EVENT).parquet(*[f"{folder}/{r}" for r in rounds])
-        expired = is_expired(F.lit(at), age_ms)
-        gone = rows.where(expired).count()
-        if date.fromisoformat(day) < boundary:
-            delete_folder(spark, folder)
-        elif gone:
-            rows.where(~expired).write.mode("overwrite").parquet(f"{folder}/{max(map(int, rounds)) + 1}")
-            for name in rounds:
-                delete_folder(spark, f"{folder}/{name}")
-        removed += gone
-    return removed
+        if date.fromisoformat(day) < cut.date():
+            delete_folder(spark, f"{path}/done/{day}")
+    return gone

@@ -69,27 +69,3 @@ def append_items(rows: DataFrame, path: str, run: int, batch_id: int) -> None:
         rows.hint("rebalance", F.col("source_id")).write.mode("overwrite")
         .partitionBy("source_id").parquet(f"{path}/run={run}/batch_id={batch_id}")
     )
-
-
-def snapshot_versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions whose write was completed, oldest first."""
-    fs, folder = _folder(spark, path)
-    if not fs.exists(folder):
-        return []
-    complete = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")) or []
-    return sorted(int(s.getPath().getParent().getName()[2:]) for s in complete)
-
-
-def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    versions = snapshot_versions(spark, path)
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/v={versions[-1]}")
-
-
-def write_snapshot(rows: DataFrame, path: str) -> int:
-    """A new version next to the old ones; readers switch when it is complete."""
-    versions = snapshot_versions(rows.sparkSession, path)
-    version = versions[-1] + 1 if versions else 1
-    rows.write.mode("overwrite").parquet(f"{path}/v={version}")
-    return version

@@ -9,7 +9,7 @@ from contentspark.operators.outbox import (
     apply_outcomes, claim_batch, first_per_key, insert_if_absent, is_pending, mark_failed, mark_processed, purge_processed,
 )
 from contentspark.plans.ingest import ingest_feeds
-from contentspark.plans.publish import append_outbox, publish_outbox, purge_outbox, read_done, read_outbox, read_pending
+from contentspark.plans.publish import append_outbox, compact_outbox, publish_outbox, purge_outbox, read_done, read_outbox, read_pending
 from contentspark.schemas import OUTBOX_EVENT
 
 NOW = datetime(2025, 6, 1, 12)
@@ -116,7 +116,7 @@ def test_publish_and_purge_on_files(spark, folder):
     assert publish_outbox(spark, folder, broken, now()) == 0
     assert {(r.retry_count, r.error_message, r.processed_at) for r in read_pending(spark, folder).collect()} == {
         (1, "Kafka broker unreachable", None)}
-    assert publish_outbox(spark, folder, sent.append, now()) == 0
+    assert publish_outbox(spark, folder, sent.append, now(), compact_rounds=0) == 0
     later = NOW + timedelta(hours=13)
     assert publish_outbox(spark, folder, lambda rows: rows.collect(), F.lit(later)) == 2
     assert read_pending(spark, folder).count() == 0
@@ -128,6 +128,44 @@ def test_publish_and_purge_on_files(spark, folder):
     assert read_outbox(spark, folder).count() == 0
 
 
+def test_one_bad_row_fails_alone_and_rounds_only_append(spark, folder):
+    import os
+
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet")}
+
+    append_outbox(spark, folder, outbox(spark, *[{"id": str(i), "created_at": NOW} for i in range(9)]))
+    delivered = []
+
+    def send(rows):
+        keys = [r.key for r in rows.collect()]
+        if "a4" in keys:
+            raise RuntimeError("too long")
+        delivered.extend(keys)
+
+    before = files()
+    assert publish_outbox(spark, folder, send, now(), limit=6) == 5
+    assert before <= files()
+    assert sorted(delivered) == ["a0", "a1", "a2", "a3", "a5"]
+    assert {(r.id, r.retry_count) for r in read_pending(spark, folder).collect()} == {("4", 1), ("6", 0), ("7", 0), ("8", 0)}
+    assert publish_outbox(spark, folder, send, now()) == 3
+    state = {tuple(r) for r in read_outbox(spark, folder).collect()}
+    compact_outbox(spark, folder)
+    assert {tuple(r) for r in read_outbox(spark, folder).collect()} == state and len(state) == 9
+
+
+def test_interrupted_compaction_leaves_no_duplicate(spark, folder):
+    append_outbox(spark, folder, outbox(spark, *[{"id": str(i), "created_at": NOW} for i in range(4)]))
+    publish_outbox(spark, folder, lambda rows: rows.collect(), now(), limit=2)
+    state = sorted(tuple(r) for r in read_outbox(spark, folder).collect())
+    # Stopped after the processed rows were moved, before the new generation was complete.
+    done = read_done(spark, folder)
+    done.write.parquet(f"{folder}/done/{NOW.date()}/0")
+    assert sorted(tuple(r) for r in read_outbox(spark, folder).collect()) == state
+    compact_outbox(spark, folder)
+    assert sorted(tuple(r) for r in read_outbox(spark, folder).collect()) == state
+
+
 def test_polling_a_feed_again_adds_nothing(spark, folder):
     payloads = spark.createDataFrame(
         [("blog", len(ATOM), bytearray(ATOM.encode()), NOW), ("broken", 3, bytearray(b"<<<"), NOW)],
