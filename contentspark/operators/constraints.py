@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentspark.schemas import CONTENT_LIMITS, CONTENT_REQUIRED
+from contentspark.schemas import CONTENT_LIMITS, CONTENT_REQUIRED, OUTBOX_LIMITS, OUTBOX_REQUIRED
 
 
 def constraint_violations(
@@ -28,6 +28,10 @@ def content_violations(dim: int | None = None, vector: str | None = None) -> Col
     return constraint_violations(CONTENT_LIMITS, CONTENT_REQUIRED, vector, dim)
 
 
+def outbox_violations() -> Column:
+    return constraint_violations(OUTBOX_LIMITS, OUTBOX_REQUIRED)
+
+
 def split_by_violations(rows: DataFrame, violations: Column) -> tuple[DataFrame, DataFrame]:
     """Valid rows, and rejected rows with their ``violations``."""
     checked = rows.withColumn("violations", violations)

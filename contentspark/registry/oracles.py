@@ -468,3 +468,16 @@ ORACLES["service_levels"] = """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS dom
   count(*) FILTER (WHERE event_type = 'error') / CAST(count(*) AS DOUBLE) AS e,
   quantile_cont(value, 0.95) AS a, quantile_cont(value, 0.99) AS b FROM events GROUP BY 1)
 SELECT domain, round(e, 9) AS error_rate, round(a, 6) AS p95, round(b, 6) AS p99, e < 0.2 AS errors_ok, a < 40 AS p95_ok, b < 100 AS p99_ok FROM s"""
+
+ORACLES["outbox_log_state"] = """SELECT event_id AS id,
+  CASE WHEN event_id % 3 <> 0 AND event_type = 'purchase' THEN CAST(ts AS TIMESTAMP) + INTERVAL 3 SECOND END AS processed_at,
+  CASE WHEN event_id % 3 <> 0 AND event_type = 'click' THEN 2 ELSE 0 END AS retry_count,
+  CASE WHEN event_id % 3 <> 0 AND event_type = 'click' THEN 'second' END AS error_message,
+  CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_type = 'click' THEN CAST(ts AS TIMESTAMP) + INTERVAL 70 SECOND
+       ELSE CAST(ts AS TIMESTAMP) + INTERVAL 30 SECOND END AS locked_until FROM events"""
+
+ORACLES["outbox_constraint_check"] = """SELECT event_id AS id, concat_ws('; ',
+  CASE WHEN event_id % 11 = 0 THEN 'payload is null' END,
+  CASE WHEN event_id % 70 > 64 THEN 'aggregate_type longer than 64' END) AS violations FROM events"""
+ORACLES["rejected_payloads"] = """SELECT page_id, CASE WHEN strlen(coalesce(html, '')) > 3000 THEN 'too long' ELSE 'empty' END AS reason
+FROM pages WHERE strlen(coalesce(html, '')) > 3000 OR strlen(coalesce(html, '')) = 0"""

@@ -16,7 +16,7 @@ from contentspark.functions.ids import aggregate_key, feed_key, query_key, shift
 from contentspark.functions.urls import is_safe_url, url_domain
 from contentspark.functions.vectors import hash_vector, l2_normalize, vector_literal
 from contentspark.operators import metrics
-from contentspark.operators.constraints import constraint_violations
+from contentspark.operators.constraints import constraint_violations, outbox_violations
 from contentspark.operators.enrich import enrich, model_embedder
 from contentspark.operators.extract import extract_feed_items, size_fits
 from contentspark.operators.outbox import (
@@ -30,6 +30,8 @@ from contentspark.operators.textsearch import (
 from contentspark.operators.vectorsearch import has_vector, query_vector, vector_candidates, vector_candidates_many
 from contentspark.plans.feed import feed_rows, unread, unread_feed
 from contentspark.plans.ingest import new_outbox_rows
+from contentspark.plans.ingest import rejected_payloads as ingest_rejects
+from contentspark.plans.publish import fold_events
 from contentspark.plans.search import hybrid_search, hybrid_search_many
 from contentspark.plans.sizing import spread
 from contentspark.registry.inputs import feed_payloads, now, queries_from_benchmark, topic_records
@@ -301,6 +303,20 @@ def constraint_check(spark, sf):
     return rows.select("id", F.array_join(found, "; ").alias("violations"))
 
 
+@query
+def outbox_constraint_check(spark, sf):
+    rows = outbox_events(spark, sf).withColumns({
+        "aggregate_type": F.repeat(F.lit("t"), (F.col("id") % 70).cast("int")),
+        "payload": F.when(F.col("id") % 11 != 0, F.lit("{}"))})
+    return rows.select("id", F.array_join(outbox_violations(), "; ").alias("violations"))
+
+
+@query
+def rejected_payloads(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("length"))
+    return ingest_rejects(pages, 3000).select("page_id", "reason")
+
+
 @query
 def payload_size_guard(spark, sf):
     size = F.octet_length("html")
@@ -388,6 +404,31 @@ def _outcomes(claimed):
     return claimed.select("id", ok.alias("ok"), F.when(~ok, F.lit("timeout")).alias("error"))
 
 
+@query
+def outbox_log_state(spark, sf):
+    """Rows in the state that a log of claims, outcomes and repeated failures has brought them to."""
+    kind, ts = F.col("event_type"), F.col("ts")
+
+    def event(name, at, until=None, error=None):
+        return F.struct(
+            F.lit(name).alias("kind"), at.alias("at"), (F.lit(None).cast("timestamp_ntz") if until is None else until).alias("locked_until"),
+            F.lit(error).cast("string").alias("error"))
+
+    def later(seconds):
+        return shift_millis(ts, 1000 * seconds)
+
+    log = F.when(kind == "click", F.array(
+        event("claimed", ts, later(30)), event("failed", later(1), error="first"), event("claimed", later(40), later(70)),
+        event("failed", later(41), error="second"))).when(
+        kind == "purchase", F.array(event("claimed", ts, later(30)), event("processed", later(2)), event("processed", later(3)))).otherwise(
+        F.array(event("claimed", ts, later(30))))
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")).select(
+        F.col("event_id").alias("id"), F.explode(log).alias("e")).select("id", "e.*").where("id % 3 <> 0")
+    rows = outbox_events(spark, sf).withColumns({
+        "processed_at": F.lit(None).cast("timestamp_ntz"), "locked_until": F.lit(None).cast("timestamp_ntz")})
+    return fold_events(rows, events).select("id", "processed_at", "retry_count", "error_message", "locked_until")
+
+
 @query
 def published_state(spark, sf):
     claimed, leased = claim_batch(outbox_events(spark, sf), now(), limit=200)

@@ -28,7 +28,7 @@ def source_registry(spark: SparkSession, sources: Mapping[str, str], enabled: bo
 def scan_payload_files(
     spark: SparkSession, path: str, glob: str = "*", max_bytes: int = MAX_PAYLOAD_BYTES, streaming: bool = False,
 ) -> DataFrame:
-    """``(path, length, content, ingest_ts)`` of landed files; too long ones are not even read."""
+    """``(path, length, content, ingest_ts)`` of landed files; too long ones are not even read (see :func:`too_long_files`)."""
     reader = spark.readStream if streaming else spark.read
     reader = reader.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
     if streaming:
@@ -37,6 +37,13 @@ def scan_payload_files(
         "path", "length", "content", F.col("modificationTime").cast("timestamp_ntz").alias("ingest_ts"))
 
 
+def too_long_files(spark: SparkSession, path: str, glob: str = "*", max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame:
+    """``(path, length, ingest_ts)`` of the files that :func:`scan_payload_files` leaves out; their content is not read."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    return reader.load(path).where(F.col("length") > max_bytes).select(
+        "path", "length", F.col("modificationTime").cast("timestamp_ntz").alias("ingest_ts"))
+
+
 def scan_payload_table(payloads: DataFrame) -> DataFrame:
     """Payload rows with a fetch status: the complete answers."""
     return payloads.where(accepted_status(F.col("status")))
