@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from contentspark.session import checkpoint_root, cut_lineage
 
 
+#: Where the public tokenizers' files are on every executor.
+TOKENIZERS = "/opt/tokenizers"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

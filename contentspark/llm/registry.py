@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentspark.llm import decontaminate, htmltext, langid, ngram_join, packing, passages, token_edits, topk, toxicity, url_filter
-from contentspark.llm.common import in_fold, stored, table
-
-TOKENIZERS = "/opt/tokenizers"
+from contentspark.llm.common import TOKENIZERS, in_fold, stored, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentspark.llm import decontaminate, langid, ngram_join, packing, passages
-from contentspark.llm.common import in_fold, stored, table
-from contentspark.llm.registry import TOKENIZERS
+from contentspark.llm.common import TOKENIZERS, in_fold, stored, table
 from contentspark.session import checkpoint_root
 
 
