@@ -201,7 +201,7 @@ def test_event_round_trip(spark):
 
 
 def test_decode_flags_bad_records(spark):
-    values = ["{invalid-json-payload-poison-pill", "[]", "null", None, '{"timestamp":"zz"}', '{"publishedAt":"x"}',
+    values = ["[neither, an: event", "[]", "null", None, '{"timestamp":"zz"}', '{"publishedAt":"x"}',
               '{"eventId":"e","timestamp":"2025-08-15T10:00","other":1}']
     errors = column(spark, values, lambda c: decode_event(c)["error"])
     assert [e is not None for e in errors] == [True] * 6 + [False]
