@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentspark.llm.common import gram_hashes, mixed, stored, text_tag, word_hashes
+from contentspark.llm.common import gram_hashes, stored, text_tag, word_hashes
 
 K, WINDOW = 7, 10
 MIN_WORDS = 50
@@ -28,24 +28,26 @@ _NO_ID = 2**63 - 1
 _CUT = 10
 
 
-def minimizers(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of the smallest k-mer of every window; the n-th repeat of a k-mer has a hash of its own."""
+def minimizers(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, positions, turns) of the smallest k-mer of every window.
+
+    The turn counts the occurrences of a k-mer in these words from 0; one that overlaps the occurrence before has -turn.
+    """
     grams = gram_hashes(words, k)
     if not len(grams):
-        return grams, np.zeros(0, np.int64)
+        return grams, np.zeros(0, np.int64), np.zeros(0, np.int32)
     width = min(window, len(grams))
     views = np.lib.stride_tricks.sliding_window_view(grams, width)
     at = np.unique(views.argmin(1) + np.arange(len(views)))
     hashes = grams[at]
     order = np.lexsort((at, hashes))
     same = np.append(False, hashes[order][1:] == hashes[order][:-1])
-    if same.any():
-        index = np.arange(len(order))
-        start = np.maximum.accumulate(np.where(same, 0, index))
-        repeat = np.empty(len(order), np.uint64)
-        repeat[order] = index - start
-        hashes = np.where(repeat > 0, mixed(hashes + repeat * np.uint64(0x9E3779B97F4A7C15)), hashes)
-    return hashes, at
+    index = np.arange(len(order))
+    turn = index - np.maximum.accumulate(np.where(same, 0, index))
+    close = np.append(False, np.diff(at[order]) < k) & same
+    turns = np.empty(len(order), np.int32)
+    turns[order] = np.where(close, -turn, turn)
+    return hashes, at, turns
 
 
 def _seeded(k: int, window: int, min_words: int):
@@ -56,15 +58,17 @@ def _seeded(k: int, window: int, min_words: int):
                 texts = part.column(1).to_pylist()
                 words, offsets = word_hashes(texts)
                 seeds, ids, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                turns = [np.zeros(0, np.int32)]
                 for doc_id, text, a, b in zip(part.column(0).to_pylist(), texts, offsets, offsets[1:]):
                     if b - a >= min_words:
-                        h, at = minimizers(words[a:b], k, window)
+                        h, at, turn = minimizers(words[a:b], k, window)
                         seeds.append(h)
+                        turns.append(turn)
                         ids.append(np.full(len(h), _NO_ID if doc_id is None else doc_id))
                         places.append((text_tag(text) << 32) + at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(seeds).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places))],
-                    names=["seed", "doc", "place"])
+                    [pa.array(np.concatenate(seeds).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places)),
+                     pa.array(np.concatenate(turns))], names=["seed", "doc", "place", "turn"])
 
     return run
 
@@ -300,17 +304,27 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float
     with smaller ids, each piece of at least ten words with at least this share of words in common and in order.
     of_doc_id and its span are those of the longest piece, of_doc_ids all sources. A whole copy is one passage. Any exact run of
     k + window - 1 words has an anchor; where a longer copy of a run is not in the first document that holds its k-mers, the
-    passage may end up to k + window words before that copy does; repeats inside one document alone do not count. Null and empty texts have no
+    passage may end up to k + window words before that copy does; repeats inside one document alone do not count. Every copy
+    of a passage in a later document counts, however many the first one holds; only a run of a period under k words (one word over
+    and over) counts no longer than the first document's own. Null and empty texts have no
     passage; rows with the same id and text are one document; other texts of one id, or without id, are documents of
     their own, told apart by `tag`. Documents without id come last and have doc 2^63 - 1.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    seeds = texts.mapInArrow(_seeded(k, window, min_words), "seed long, doc long, place long")
-    least = seeds.groupBy("seed").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1").select("seed", "first")
+    seeds = texts.mapInArrow(_seeded(k, window, min_words), "seed long, doc long, place long, turn int")
+    least = seeds.where("turn = 0").groupBy("seed").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1").select("seed", "first")
     shared = stored(seeds.join(least, "seed"))
-    centers = shared.where("doc = first").groupBy("seed").agg(F.min("place").alias("of_place"))
     tag, of_tag = F.shiftright("place", 32), F.shiftright("of_place", 32)
-    anchors = shared.join(centers, "seed").where((F.col("doc") != F.col("first")) | (tag != of_tag)).groupBy("doc", tag.alias("tag")).agg(
+    centers = shared.where("doc = first AND turn = 0").groupBy("seed").agg(F.min("place").alias("of_place"))
+    # Most k-mers occur once in a document. Others meet the occurrence of their turn, or the first one where there are fewer.
+    turns = shared.where("doc = first AND turn <> 0").groupBy("seed", F.abs("turn").alias("nth"), tag.alias("of_tag")).agg(
+        F.min("place").alias("turn_place"))
+    again = shared.where("turn <> 0").join(centers, "seed").withColumns({"nth": F.abs("turn"), "of_tag": of_tag}).join(
+        turns, ["seed", "nth", "of_tag"], "left").withColumn(
+        "of_place", F.coalesce("turn_place", F.when(F.col("turn") > 0, F.col("of_place"))))
+    met = shared.where("turn = 0").join(centers, "seed").select("doc", "first", "place", "of_place").unionByName(
+        again.where("of_place is not null").select("doc", "first", "place", "of_place"))
+    anchors = met.where((F.col("doc") != F.col("first")) | (tag != of_tag)).groupBy("doc", tag.alias("tag")).agg(
         F.collect_set(F.struct(F.col("first").alias("of"), "of_place", "place")).alias("anchors"))
     chains = stored(anchors.mapInArrow(
         _chained(k), "doc long, tag long, chain int, side int, of_doc long, of_tag long, lo int, len int, parts array<int>"))

@@ -77,6 +77,23 @@ def test_planted(spark):
             assert lcs(mine, other) >= 0.8 * max(len(mine), len(other))
 
 
+def test_every_copy_counts(spark):
+    """A later document may hold a passage more often than the first one, also inside a longer passage."""
+    rng = random.Random(12)
+    shared, around = text(rng, 80), [text(rng, 70), text(rng, 70)]
+    own = [text(rng, 30) for _ in range(12)]
+    rows = [(1, own[0] + shared + own[1]), (2, own[2] + shared + own[3] + shared + own[4] + shared), (3, shared + shared + own[5]),
+            (4, own[6] + around[0] + shared + around[1]), (5, own[7] + shared + own[8] + around[0] + shared + around[1] + own[9])]
+    rows = [(d, " ".join(w)) for d, w in rows] + [(5, " ".join(shared + own[10] + shared))]
+    got, want = {}, repeats(rows[:-1])
+    for r in passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault((r.doc, r.tag), set()).update(range(r.start_word, r.end_word))
+    for doc, words in rows[:-1]:
+        found = got.get((doc, passages.text_tag(words)), set())
+        assert len(found ^ want.get(doc, set())) <= 2, doc
+    assert len(got[5, passages.text_tag(rows[-1][1])]) in range(160, 163)
+
+
 def lcs(x, y):
     row = [0] * (len(y) + 1)
     for a in x:
