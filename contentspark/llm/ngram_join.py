@@ -173,8 +173,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, numerator: int = 4, denominator
     numerator / denominator; copies are linked too. class_id is the smallest doc_id of the connected component, n_links
     the number of other rows linked with this one. Texts of fewer than n words are one gram; null texts and texts
     without words are linked to nothing and keep their own id. Repeated rows are rows; a class without any id has a
-    null class_id. A pair right at the threshold is missed with chance 1 - recall, a more similar one with less. Sets
-    are told apart by 64-bit hashes.
+    null class_id. A pair right at the threshold is missed with chance 1 - recall, a more similar one with less. Candidate
+    components of up to `together` classes compare all their pairs, so there such a pair is found if other pairs connect it;
+    n_links and, rarely, class_id of the same texts may differ when a component outgrows that. Sets are told apart by 64-bit
+    hashes.
     """
     bands, rows = banding(numerator / denominator, recall)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
