@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentspark.llm import decontaminate, htmltext, langid, ngram_join, packing, passages, token_edits, topk, toxicity, url_filter
+from contentspark.llm import decontaminate, htmltext, langid, ngram_join, packing, passages, periodic_runs, token_edits, topk, toxicity, url_filter
 from contentspark.llm.common import TOKENIZERS, in_fold, stored, table
 
 
@@ -62,6 +62,33 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages.select("page_id", "url"), edges).select("page_id", "host", "path", "rule", "verdict")
 
 
+_BLANKS = " \t\n\x0b\f\r"
+
+
+def _planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents the words from one place on repeat the first few of them."""
+    bare = F.btrim(F.coalesce("text", F.lit("")), F.lit(_BLANKS))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", h.alias("h"), F.when((h % 10 == 0) & (bare != ""), F.split(bare, "[ \\t-\\r]+")).alias("words"))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    placed = chosen.withColumn("n", n).withColumn("a", (g % F.col("n")).cast("int")).withColumn(
+        "p", F.expr("cast(1 + floor((n - a) / (3 + floor(h / 10) % 8)) as int)"))
+    repeated = F.expr("""array_join(concat(slice(words, 1, a),
+        slice(flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)), ' ')""")
+    return placed.select("doc_id", F.when(F.col("words").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each document; a null id is in no tenth, a null or empty text has no words and no runs."""
+    found = periodic_runs.repeated_runs(_planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col(f"strongest.{x}").alias(x) for x in ("start", "length", "period")),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -73,6 +100,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_topk": op9_topk,
     "op10_url_filter": op10_url_filter,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _TOPK_SQL = """
