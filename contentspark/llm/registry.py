@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentspark.llm import decontaminate, htmltext, langid, ngram_join, packing, passages, periodic_runs, token_edits, topk, toxicity, url_filter
+from contentspark.llm import decontaminate, htmltext, langid, ngram_join, packing, passages, periodic_runs, prefix_trie, token_edits, topk, toxicity, url_filter
 from contentspark.llm.common import TOKENIZERS, in_fold, stored, table
 
 
@@ -62,6 +62,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages.select("page_id", "url"), edges).select("page_id", "host", "path", "rule", "verdict")
 
 
+def _rebuilt(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turns): each conversation begins with the first turns of the one its id falls back to."""
+    lists = prefix_trie.turn_lists(conversations)
+    heads = lists.where("conv_id % 5 = 0").select(F.col("conv_id").alias("head_id"), F.slice("turns", 1, 8).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    joined = lists.withColumn("h", h).join(heads, F.expr("conv_id - conv_id % 5 = head_id"), "left")
+    return joined.select("conv_id", F.expr(
+        "concat(coalesce(slice(head, 1, h), array()), slice(turns, h + 1, greatest(size(turns) - h, 0)))").alias("turns"))
+
+
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations; rows without conv_id are left out, an empty table has no node."""
+    nodes = prefix_trie.prefix_trie(_rebuilt(table(spark, sf_dir, "conversations")))
+    return nodes.withColumnRenamed("saved", "saved_tokens").withColumnRenamed("ends", "ends_sha256")
+
+
 _BLANKS = " \t\n\x0b\f\r"
 
 
@@ -100,6 +116,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_topk": op9_topk,
     "op10_url_filter": op10_url_filter,
+    "op11_conversation_trie": op11_conversation_trie,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -170,4 +187,43 @@ SELECT a.page_id, coalesce(a.host, '') AS host, coalesce(a.path, '') AS path, d.
 FROM address a LEFT JOIN decided d ON d.host = a.host AND d.path = a.path LEFT JOIN alias x ON x.node = a.node
 """
 
-ORACLES = {"op9_topk": _TOPK_SQL, "op10_url_filter": _URL_SQL}
+_TRIE_SQL = """
+WITH ordered AS (
+  SELECT conv_id, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS symbol,
+         octet_length(encode(coalesce(text, ''))) AS weight,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM ordered)
+), rebuilt AS (
+  SELECT i.conv_id, o.place, o.symbol, o.weight FROM ids i JOIN ordered o ON o.conv_id = i.conv_id - i.conv_id % 5 AND o.place <= i.h
+  UNION ALL
+  SELECT i.conv_id, 100 + o.place, o.symbol, o.weight FROM ids i JOIN ordered o ON o.conv_id = i.conv_id AND o.place > i.h
+), paths AS (
+  SELECT conv_id, weight, row_number() OVER w AS depth, md5(string_agg(symbol, '') OVER w) AS node
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM ids
+), places AS (
+  SELECT conv_id, depth, node, weight, lag(node) OVER v AS parent, lead(node) OVER v IS NULL AS ends
+  FROM paths WINDOW v AS (PARTITION BY conv_id ORDER BY depth)
+), nodes AS (
+  SELECT node, min(depth) AS depth, min(parent) AS parent, min(conv_id) AS least, count(*) AS n, any_value(weight) AS weight,
+         sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM places GROUP BY node
+), families AS (
+  SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), sums AS (
+  SELECT p.node, sum((y.n - 1) * y.weight) AS saved, count(*) FILTER (WHERE f.node IS NULL) AS n_leaves
+  FROM nodes y JOIN places p ON p.conv_id = y.least AND p.depth <= y.depth LEFT JOIN families f ON f.node = y.node
+  GROUP BY p.node
+)
+SELECT x.least AS conv_id, x.depth, u.least AS parent_conv_id, x.n AS n_convs, coalesce(f.n_children, 0) AS n_children,
+       s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM nodes x JOIN sums s ON s.node = x.node LEFT JOIN nodes u ON u.node = x.parent LEFT JOIN families f ON f.node = x.node
+"""
+
+ORACLES = {"op9_topk": _TOPK_SQL, "op10_url_filter": _URL_SQL, "op11_conversation_trie": _TRIE_SQL}
