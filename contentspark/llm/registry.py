@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentspark.llm import decontaminate, htmltext, langid, ngram_join, packing, passages, periodic_runs, prefix_trie, token_edits, topk, toxicity, url_filter
+from contentspark.llm import decontaminate, htmltext, langid, ngram_join, packing, passages, periodic_runs, prefix_trie, token_edits, topk, toxicity, url_filter, weighted_sampling
 from contentspark.llm.common import TOKENIZERS, in_fold, stored, table
 
 
@@ -78,6 +78,11 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.withColumnRenamed("saved", "saved_tokens").withColumnRenamed("ends", "ends_sha256")
 
 
+def op12_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text; null texts are empty, null ids come last, repeated rows are answered each."""
+    return weighted_sampling.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 _BLANKS = " \t\n\x0b\f\r"
 
 
@@ -117,6 +122,7 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_url_filter": op10_url_filter,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_weighted_fingerprints": op12_weighted_fingerprints,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
