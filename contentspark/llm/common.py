@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import uuid
@@ -9,6 +10,8 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,26 +36,49 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def worker_state(name: str, make: Callable[[], object]) -> object:
-    """Something a Python worker keeps from task to task, such as a tokenizer with the words it has met."""
+def _of_this_stage() -> dict:
+    """What a Python worker keeps from task to task of one stage; it goes when the worker meets another stage."""
     held = sys.modules.setdefault("contentspark_worker_state", types.ModuleType("contentspark_worker_state")).__dict__
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if held.get("stage") != stage:
+        held.clear()
+        held["stage"] = stage
+    return held
+
+
+def worker_state(name: str, make: Callable[[], object]) -> object:
+    """Something a Python worker keeps until its stage ends, such as a tokenizer with the words it has met."""
+    held = _of_this_stage()
     if name not in held:
         held[name] = make()
     return held[name]
 
 
+#: Bytes of text, and rows, that are worked on at once unless one text is larger.
+FEW_BYTES, FEW_ROWS = 1 << 20, 256
+
+
+def few(batches, column: int, most_bytes: int = FEW_BYTES, most_rows: int = FEW_ROWS):
+    """Slices of Arrow batches with about so many bytes of text in a column; at least one row each."""
+    _of_this_stage()
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total = np.append(0, np.cumsum(sizes))
+        at = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(total, total[at] + most_bytes, "right")) - 1
+            end = min(max(end, at + 1), at + most_rows, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def in_fold(doc_id: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the id's decimal text leaves this remainder; a null id is in no fold."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-# Word hashes. A text is lower-cased and split at white space. Polynomial prefix sums over the bytes of a whole batch
-# give every word its 64-bit hash without a Python step per word; all arithmetic wraps at 2^64.
-
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_PIECE = 1 << 22
-
+# Words of UTF-8 bytes and their hashes, worked out on slices of fixed size whatever the length of a text or a word.
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finalising mix of 64-bit values, so that every bit depends on every bit."""
@@ -63,47 +89,89 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-_KNOWN: dict = {}
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """base^0 ... base^(n-1), kept between calls up to twice the usual piece."""
-    known = _KNOWN.get(base)
-    if known is None or len(known) < n:
-        known = np.full(max(n, 1 << 16), base, np.uint64)
-        known[0] = 1
-        known = np.multiply.accumulate(known)
-        if n <= 2 * _PIECE:
-            _KNOWN[base] = known
-    return known[:n]
-
-
-def _hash_joined(joined: bytes) -> np.ndarray:
-    data = np.frombuffer(joined, np.uint8)
-    ends = np.append(np.flatnonzero(data == 32), len(data))
-    starts = np.append(0, ends[:-1] + 1)
-    power = _powers(_BASE, len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-    inverse = _powers(_UNBASE, len(data) + 1)
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+_SLICE = 1 << 21
+_SHORT = 256
+_WORD_BYTE = np.ones(256, bool)
+_WORD_BYTE[[9, 10, 11, 12, 13, 32]] = False
+# White space that is not one of those six bytes.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _factors(places: np.ndarray) -> np.ndarray:
+    """A fixed random-like odd factor for each place in a word."""
+    return mixed((places.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+_FIRST_FACTORS = _factors(np.arange(_SHORT))
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word; words are cut at the space and the controls from tab to carriage return."""
+    kind = np.int32 if len(data) < 2**31 else np.int64
+    starts, ends, before = [], [], False
+    for at in range(0, len(data), _SLICE):
+        inside = _WORD_BYTE[data[at: at + _SLICE]]
+        earlier = np.append(before, inside[:-1])
+        starts.append((np.flatnonzero(inside & ~earlier) + at).astype(kind))
+        ends.append((np.flatnonzero(earlier & ~inside) + at).astype(kind))
+        before = bool(inside[-1])
+    if before:
+        ends.append(np.asarray([len(data)], kind))
+    return (np.concatenate(starts), np.concatenate(ends)) if starts else (np.zeros(0, kind), np.zeros(0, kind))
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: a sum over its bytes with a factor for each place, mixed."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, int(starts[i]) + _SLICE // 4)))
+        if int(ends[i]) - int(starts[i]) > _SLICE:
+            # One very long word, in pieces.
+            for at in range(int(starts[i]), int(ends[i]), _SLICE):
+                stop = min(at + _SLICE, int(ends[i]))
+                factors = _factors(np.arange(at, stop) - int(starts[i]))
+                out[i:i + 1] += ((data[at:stop].astype(np.uint64) + np.uint64(1)) * factors).sum(dtype=np.uint64, keepdims=True)
+            i += 1
+            continue
+        while j > i + 1 and int(ends[j - 1]) - int(starts[i]) > 2 * _SLICE:
+            j -= 1
+        lengths = (ends[i:j] - starts[i:j]).astype(np.int64)
+        firsts = np.append(0, np.cumsum(lengths)[:-1])
+        place = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
+        piece = data[int(starts[i]): int(ends[j - 1])]
+        piece = piece[_WORD_BYTE[piece]].astype(np.uint64) + np.uint64(1)
+        piece *= _FIRST_FACTORS[place] if lengths.max() <= _SHORT else _factors(place)
+        out[i:j] = np.add.reduceat(piece, firsts)
+        i = j
+    return mixed(out)
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order, and the offsets of the texts in them (one more than texts)."""
-    counts = np.zeros(len(texts) + 1, np.int64)
-    hashes, joined, size = [], [], 0
-    for i, text in enumerate(texts):
-        words = text.lower().split() if text else ()
-        counts[i + 1] = len(words)
-        if words:
-            joined.append(" ".join(words).encode("utf-8", "surrogatepass"))
-            size += len(joined[-1])
-            if size > _PIECE:
-                hashes.append(_hash_joined(b" ".join(joined)))
-                joined, size = [], 0
+    """Hashes of all words of all texts in order, and the offsets of the texts in them (one more than texts).
+
+    Words are lower-cased and cut at white space.
+    """
+    hashes, counts, joined, size = [], [0], [], 0
+
+    def put():
+        data = np.frombuffer(b"\n".join(joined), np.uint8)
+        starts, ends = word_spans(data)
+        hashes.append(hash_words(data, starts, ends))
+        limits = np.append(0, np.cumsum([len(t) + 1 for t in joined]))
+        counts.extend(np.diff(np.searchsorted(starts, limits)).tolist())
+
+    for text in texts:
+        text = (text or "").lower()
+        if not text.isascii() and _OTHER_SPACE.search(text) or text.isascii() and any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            text = _OTHER_SPACE.sub(" ", text)
+        joined.append(text.encode("utf-8", "surrogatepass"))
+        size += len(joined[-1])
+        if size > _SLICE:
+            put()
+            joined, size = [], 0
     if joined:
-        hashes.append(_hash_joined(b" ".join(joined)))
+        put()
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.cumsum(counts)
 
 

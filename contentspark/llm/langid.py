@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from contentspark.llm.common import mixed, stored
+from contentspark.llm.common import few, mixed, stored
 
 UNKNOWN = "und"
 DIMENSIONS = 4096
@@ -53,17 +53,26 @@ def _letters() -> np.ndarray:
     return out * np.arange(0x110000, dtype=np.uint32)
 
 
+_SLICE = 1 << 18
+
+
 def trigram_vector(text: str | None) -> np.ndarray | None:
-    """Unit vector of square-root trigram frequencies; None if the text has no letter."""
+    """Unit vector of square-root trigram frequencies; None if the text has no letter. Long texts are counted by slices."""
     if not text:
         return None
-    points = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
-    if not points.any():
+    text, letters = text.lower(), _letters()
+    total = np.zeros(DIMENSIONS, np.int64)
+    for at in range(0, len(text), _SLICE):
+        # With the neighbours of the slice's ends; outside the text there are spaces.
+        piece = text[max(0, at - 1): at + _SLICE + 1]
+        points = letters[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.uint64)
+        padded = np.concatenate(([0] * (at == 0), points, [0] * (at + _SLICE >= len(text)))).astype(np.uint64)
+        start, middle, end = padded[:-2], padded[1:-1], padded[2:]
+        codes = (start << np.uint64(42) | middle << np.uint64(21) | end)[middle > 0]
+        total += np.bincount((mixed(codes) >> np.uint64(20)).astype(np.int64) % DIMENSIONS, minlength=DIMENSIONS)
+    if not total.any():
         return None
-    padded = np.concatenate(([0], points, [0])).astype(np.uint64)
-    start, middle, end = padded[:-2], padded[1:-1], padded[2:]
-    codes = (start << np.uint64(42) | middle << np.uint64(21) | end)[middle > 0]
-    counts = np.sqrt(np.bincount((mixed(codes) >> np.uint64(20)).astype(np.int64) % DIMENSIONS, minlength=DIMENSIONS))
+    counts = np.sqrt(total)
     return (counts / np.linalg.norm(counts)).astype(np.float32)
 
 
@@ -88,8 +97,12 @@ def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 20) -
 def training_sample(docs: DataFrame, learn: Column, per_language: int) -> DataFrame:
     """(lang, text) of at most so many documents per language among the rows where `learn` holds."""
     order = F.xxhash64("doc_id", F.lit(17))
-    ids = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(
-        "lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")).alias("n"))
+    usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(
+        "lang", "doc_id").distinct()
+    # Of a common language about twice as many as wanted are let through by their hash; only these are put in order.
+    shares = usable.groupBy("lang").agg((F.lit(2.0 * per_language + 200) / F.count("*")).alias("share"))
+    few_ids = usable.join(F.broadcast(shares), "lang").where(F.pmod(order, F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    ids = few_ids.select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")).alias("n"))
     # At most per_language ids of each language: the one small side.
     chosen = F.broadcast(ids.where(F.col("n") <= per_language).select("lang", "doc_id").distinct())
     return docs.join(chosen, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
@@ -185,13 +198,11 @@ def identify(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANG
     kept = docs.columns
 
     def predicted(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = predict(model, part.column(kept.index("text")).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                    names=[*kept, pred, score])
+        for part in few(batches, kept.index("text")):
+            found = predict(model, part.column(kept.index("text")).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                names=[*kept, pred, score])
 
     schema = StructType(list(docs.schema.fields)).add(pred, "string").add(score, "double")
     return docs.mapInArrow(predicted, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentspark.llm.common import connected_components, gram_hashes, mixed, stored, word_hashes
+from contentspark.llm.common import connected_components, few, gram_hashes, mixed, stored, word_hashes
 
 #: Components of up to so many classes are verified in one task; blocks of larger buckets have half as many.
 TOGETHER = 1024
@@ -69,17 +69,15 @@ def _signer(bands: int, rows: int):
 def _signed(n: int, bands: int, rows: int):
     def run(batches):
         sign = _signer(bands, rows)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                words, offsets = word_hashes(part.column(1).to_pylist())
-                sets = [gram_set(words[a:b], n) for a, b in zip(offsets, offsets[1:])]
-                full = [i for i, s in enumerate(sets) if len(s)]
-                hashes = sign([sets[i] for i in full]).view(np.int64).tolist() if full else []
-                rows_of = dict(zip(full, hashes))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                     pa.array([rows_of.get(i) for i in range(len(sets))], pa.list_(pa.int64()))], names=["doc_id", "cls", "bands"])
+        for part in few(batches, 2, most_rows=64):
+            words, offsets = word_hashes(part.column(2).to_pylist())
+            sets = [gram_set(words[a:b], n) for a, b in zip(offsets, offsets[1:])]
+            full = [i for i, s in enumerate(sets) if len(s)]
+            hashes = sign([sets[i] for i in full]).view(np.int64).tolist() if full else []
+            rows_of = dict(zip(full, hashes))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
+                 pa.array([rows_of.get(i) for i in range(len(sets))], pa.list_(pa.int64()))], names=["doc_id", "tag", "cls", "bands"])
 
     return run
 
@@ -87,14 +85,12 @@ def _signed(n: int, bands: int, rows: int):
 def _resigned(n: int):
     """(cls, grams) of texts whose class is still the one asked for."""
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                words, offsets = word_hashes(part.column(1).to_pylist())
-                out = [(cls, s.tobytes()) for cls, a, b in zip(part.column(0).to_pylist(), offsets, offsets[1:])
-                       if class_of(s := gram_set(words[a:b], n)) == cls]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())],
-                                                 names=["cls", "grams"])
+        for part in few(batches, 1, most_rows=64):
+            words, offsets = word_hashes(part.column(1).to_pylist())
+            out = [(cls, s.tobytes()) for cls, a, b in zip(part.column(0).to_pylist(), offsets, offsets[1:])
+                   if class_of(s := gram_set(words[a:b], n)) == cls]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())],
+                                             names=["cls", "grams"])
 
     return run
 
@@ -150,8 +146,14 @@ def _verified(numerator: int, denominator: int):
         linked = denominator * common >= numerator * (sizes[:, None] + sizes[None, :] - common)
         np.fill_diagonal(linked, False)
         band, one, other = key[1].as_py(), key[2].as_py(), key[3].as_py()
-        if band >= 0:
-            bands = np.asarray(rows["bands"].to_pylist(), np.int64)
+        bands = np.asarray(rows["bands"].to_pylist(), np.int64)
+        if band < 0:
+            # As in the tiles of large components, only a pair that shares a band counts.
+            i, j = np.nonzero(linked)
+            for at in range(0, len(i), 1 << 16):
+                a, b = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
+                linked[a, b] = (bands[a] == bands[b]).any(1)
+        else:
             for earlier in range(band):
                 linked &= bands[:, earlier][:, None] != bands[:, earlier][None, :]
             if one != other:
@@ -173,16 +175,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, numerator: int = 4, denominator
     numerator / denominator; copies are linked too. class_id is the smallest doc_id of the connected component, n_links
     the number of other rows linked with this one. Texts of fewer than n words are one gram; null texts and texts
     without words are linked to nothing and keep their own id. Repeated rows are rows; a class without any id has a
-    null class_id. A pair right at the threshold is missed with chance 1 - recall, a more similar one with less. Candidate
-    components of up to `together` classes compare all their pairs, so there such a pair is found if other pairs connect it;
-    n_links and, rarely, class_id of the same texts may differ when a component outgrows that. Sets are told apart by 64-bit
-    hashes.
+    null class_id. A pair counts if it shares a band, whatever the size of its component; one right at the threshold is
+    missed with chance 1 - recall, a more similar one with less. Sets are told apart by 64-bit hashes.
     """
     bands, rows = banding(numerator / denominator, recall)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(texts.mapInArrow(_signed(n, bands, rows), "doc_id long, cls long, bands array<long>"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
+    signed = stored(texts.mapInArrow(_signed(n, bands, rows), "doc_id long, tag long, cls long, bands array<long>"))
+    # One row stands for a class: that of the smallest id, or of the smallest text hash where no row has an id.
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag"))
     classes = stored(signed.where("cls is not null").groupBy("cls").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+        F.count("*").alias("copies"), least.alias("one"), F.first("bands").alias("bands")).select(
+        "cls", "copies", F.col("one.doc_id").alias("rep"), F.col("one.tag").alias("rep_tag"), "bands"))
 
     # Candidate components: each class of a shared bucket with the bucket's smallest.
     entries = classes.select("cls", F.posexplode("bands").alias("band", "h"))
@@ -202,8 +205,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, numerator: int = 4, denominator
         "cls", F.col("h").alias("unit"), "band", F.least("block", "mate").alias("one"), F.greatest("block", "mate").alias("other"), "block")
     units = small.unionByName(large)
 
-    wanted = placed.join(classes, "cls").select("cls", "rep")
-    grams = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("cls", "text").mapInArrow(
+    wanted = placed.join(classes, "cls").select("cls", "rep", "rep_tag")
+    grams = texts.join(wanted, (texts["tag"] == wanted["rep_tag"]) & texts["doc_id"].eqNullSafe(wanted["rep"])).select("cls", "text").mapInArrow(
         _resigned(n), "cls long, grams binary").dropDuplicates(["cls"])
     payload = grams.join(classes.select("cls", "copies", "bands"), "cls")
     verified = stored(units.join(payload, "cls").groupBy("unit", "band", "one", "other").applyInArrow(

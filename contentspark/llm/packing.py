@@ -1,9 +1,10 @@
 """Packing token ids into sequences of fixed length: first-fit decreasing with a tournament tree of bin capacities.
 
 Tasks tokenise texts, close every document with an end id and cut it at multiples of the sequence length. Whole pieces
-are sequences of their own; the remainders of a randomised group of documents are packed together, groups
-independently of each other. Groups are chosen by the place of a document in the input, not by its id or text, so
-copies and repeated ids spread evenly and a group stays small at every size.
+are sequences of their own and travel a few together; the remainders of a randomised group of documents are packed
+together, groups independently of each other. Groups are chosen by the place of a document in the input, not by its id
+or text, so copies and repeated ids spread evenly, and there are so many that a group stays small in documents and in
+tokens at every size.
 """
 
 from __future__ import annotations
@@ -16,13 +17,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentspark.llm.common import worker_state
+from contentspark.llm.common import few, worker_state
 
 SEQUENCE = 4096
 END_ID = 2
+#: Rows and bytes of text whose remainders are packed together, and whole sequences that travel together.
 GROUP_DOCUMENTS = 2048
+GROUP_BYTES = 8 << 20
+_WHOLE = 64
 
-_KNOWN_WORDS = 900_000
+#: Bytes of words and ids that a worker keeps, in two generations: words not met for long go.
+_KNOWN_BYTES = 32 << 20
+_ENTRY_BYTES = 200
 _KEPT_LETTERS = 64
 # Characters that some white-space rules split at and others do not, a letter whose lower case depends on its
 # neighbours, and special tokens: such texts are encoded whole.
@@ -33,7 +39,6 @@ _OTHER = re.compile(r"[^ \t\n\r\x0b\x0ca-zA-Z0-9À-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]
 _ALIEN = re.compile(r"[^ \t\n\r\x0b\x0ca-zA-Z0-9À-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]|<\|")
 _MARKS = re.compile(r"[!-&(-/:-@\[-`{-~]+")
 _SINGLE = [chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]
-_BATCH_LETTERS = 1 << 20
 
 
 class TextEncoder:
@@ -43,7 +48,7 @@ class TextEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.before, self.bytes = Tokenizer.from_file(path), {}, {}, 0
 
     def _fresh(self, pieces: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -65,6 +70,8 @@ class TextEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of texts, a few at a time: words not met before are encoded together."""
+        if self.bytes > _KNOWN_BYTES // 2:
+            self.known, self.before, self.bytes = {}, self.known, 0
         known, rows, missing = self.known, [], set()
         for text in texts:
             words = self._words(text) if text else []
@@ -76,11 +83,12 @@ class TextEncoder:
                 rows.append((ids, gaps, names))
             else:
                 rows.append((ids, (), ()))
-        missing = list(missing)
-        found = dict(zip(missing, self._fresh(missing))) if missing else {}
-        if len(known) + len(found) > _KNOWN_WORDS:
-            known.clear()
-        known.update((w, ids) for w, ids in found.items() if len(w) <= _KEPT_LETTERS)
+        found = {w: ids for w in missing if (ids := self.before.get(w)) is not None}
+        fresh = [w for w in missing if w not in found]
+        found.update(zip(fresh, self._fresh(fresh)) if fresh else ())
+        kept = {w: ids for w, ids in found.items() if len(w) <= _KEPT_LETTERS}
+        known.update(kept)
+        self.bytes += sum(_ENTRY_BYTES + len(w) + len(ids) for w, ids in kept.items())
         out = []
         for text, (ids, gaps, names) in zip(texts, rows):
             if ids is None:
@@ -92,18 +100,6 @@ class TextEncoder:
         return out
 
 
-def _few(column):
-    """(texts) of an Arrow column, about a million letters at a time."""
-    texts, letters = [], 0
-    for text in column:
-        texts.append(text.as_py())
-        letters += len(texts[-1] or "")
-        if letters > _BATCH_LETTERS:
-            yield texts
-            texts, letters = [], 0
-    yield texts
-
-
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(bin, offset) of each item and the number of bins; lengths are between 1 and capacity.
 
@@ -131,7 +127,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets, used
 
 
-_PIECES = "doc_id long, start long, ids binary, doc_tokens long, grp int"
+_PIECES = "doc_id long, start long, ids binary, doc_tokens long, grp long"
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -141,34 +137,36 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     Null and empty texts are one end id. A null id stays null; rows with equal ids are packed each. An empty table
     gives no pieces.
     """
-    groups = max(1, -(-docs.count() // group_documents))
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col(text_col)))).first()
+    groups = max(1, -(-rows // group_documents), -(-(size or 0) // GROUP_BYTES))
     piece_bytes = 4 * sequence
     end = np.asarray([end_id], "<u4").tobytes()
 
     def tokenised(batches):
         encoder = worker_state(f"packing {tokenizer_path}", lambda: TextEncoder(tokenizer_path))
         context = TaskContext.get()
-        task, at = (context.partitionId() if context else 0), 0
-        for batch in batches:
-            done = 0
-            for texts in _few(batch.column(1)):
-                out = {"doc_id": [], "start": [], "ids": [], "doc_tokens": [], "grp": []}
-                doc_ids = batch.column(0).slice(done, len(texts)).to_pylist()
-                done += len(texts)
-                for doc_id, ids in zip(doc_ids, encoder.encode(texts)):
-                    ids += end
-                    for start in range(0, len(ids), piece_bytes):
-                        at += 1
-                        out["doc_id"].append(doc_id)
-                        out["start"].append(start // 4)
-                        out["ids"].append(ids[start: start + piece_bytes])
-                        out["doc_tokens"].append(len(ids) // 4)
+        task, at, whole = (context.partitionId() if context else 0), 0, 0
+        for part in few(batches, 1, most_rows=1 << 12):
+            out = {"doc_id": [], "start": [], "ids": [], "doc_tokens": [], "grp": []}
+            for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                ids += end
+                for start in range(0, len(ids), piece_bytes):
+                    at += 1
+                    piece = ids[start: start + piece_bytes]
+                    out["doc_id"].append(doc_id)
+                    out["start"].append(start // 4)
+                    out["ids"].append(piece)
+                    out["doc_tokens"].append(len(ids) // 4)
+                    if len(piece) == piece_bytes:
+                        out["grp"].append(-1 - (task << 20) - whole // _WHOLE)
+                        whole += 1
+                    else:
                         # A fixed mix of task and place: random-like, yet the same when a task runs again.
                         out["grp"].append(((task * 0x9E3779B1 + at) * 0x85EBCA6B >> 7) % groups)
-                yield _batch(out)
+            yield _batch(out)
 
     def _batch(out):
-        kinds = {"doc_id": pa.int64(), "start": pa.int64(), "ids": pa.binary(), "doc_tokens": pa.int64(), "grp": pa.int32()}
+        kinds = {"doc_id": pa.int64(), "start": pa.int64(), "ids": pa.binary(), "doc_tokens": pa.int64(), "grp": pa.int64()}
         return pa.RecordBatch.from_arrays([pa.array(v, kinds[n]) for n, v in out.items()], names=list(out))
 
     def packed(key, pieces):
@@ -179,7 +177,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         whole = np.flatnonzero(lengths == sequence)
         bins[whole] = used + np.arange(len(whole))
         return pieces.drop_columns(["grp"]).append_column(
-            "sequence_id", pa.array(bins + (key[0].as_py() << 32))).append_column("offset", pa.array(offsets))
+            "sequence_id", pa.array(bins + (key[0].as_py() << 21))).append_column("offset", pa.array(offsets))
 
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tokenised, _PIECES)
     return pieces.groupBy("grp").applyInArrow(

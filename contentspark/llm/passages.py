@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentspark.llm.common import gram_hashes, stored, text_tag, word_hashes
+from contentspark.llm.common import few, gram_hashes, stored, text_tag, word_hashes
 
 K, WINDOW = 7, 10
 MIN_WORDS = 50
@@ -52,23 +52,21 @@ def minimizers(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.
 
 def _seeded(k: int, window: int, min_words: int):
     def run(batches):
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                texts = part.column(1).to_pylist()
-                words, offsets = word_hashes(texts)
-                seeds, ids, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                turns = [np.zeros(0, np.int32)]
-                for doc_id, text, a, b in zip(part.column(0).to_pylist(), texts, offsets, offsets[1:]):
-                    if b - a >= min_words:
-                        h, at, turn = minimizers(words[a:b], k, window)
-                        seeds.append(h)
-                        turns.append(turn)
-                        ids.append(np.full(len(h), _NO_ID if doc_id is None else doc_id))
-                        places.append((text_tag(text) << 32) + at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(seeds).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places)),
-                     pa.array(np.concatenate(turns))], names=["seed", "doc", "place", "turn"])
+        for part in few(batches, 1):
+            texts = part.column(1).to_pylist()
+            words, offsets = word_hashes(texts)
+            seeds, ids, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            turns = [np.zeros(0, np.int32)]
+            for doc_id, text, a, b in zip(part.column(0).to_pylist(), texts, offsets, offsets[1:]):
+                if b - a >= min_words:
+                    h, at, turn = minimizers(words[a:b], k, window)
+                    seeds.append(h)
+                    turns.append(turn)
+                    ids.append(np.full(len(h), _NO_ID if doc_id is None else doc_id))
+                    places.append((text_tag(text) << 32) + at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(seeds).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places)),
+                 pa.array(np.concatenate(turns))], names=["seed", "doc", "place", "turn"])
 
     return run
 
@@ -76,17 +74,15 @@ def _seeded(k: int, window: int, min_words: int):
 def _worded(min_words: int):
     """(doc, tag, words): 32 bits of every word of the documents long enough."""
     def run(batches):
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                texts = part.column(1).to_pylist()
-                words, offsets = word_hashes(texts)
-                short = (words >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                rows = [(_NO_ID if d is None else d, text_tag(t), short[a:b])
-                        for d, t, a, b in zip(part.column(0).to_pylist(), texts, offsets, offsets[1:]) if b - a >= min_words]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                     pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["doc", "tag", "words"])
+        for part in few(batches, 1):
+            texts = part.column(1).to_pylist()
+            words, offsets = word_hashes(texts)
+            short = (words >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            rows = [(_NO_ID if d is None else d, text_tag(t), short[a:b])
+                    for d, t, a, b in zip(part.column(0).to_pylist(), texts, offsets, offsets[1:]) if b - a >= min_words]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                 pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["doc", "tag", "words"])
 
     return run
 

@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contentspark.llm.common import few, hash_words, word_spans
+
 MIN_WORDS = 24
 MIN_EXPONENT = 3
 SMALLEST_BLOCK = 8
 LARGEST_PATTERN = 1 << 16
-GROUP_BYTES = 1 << 20
 
 # A prime of the form k * 2^23 + 1 and a generator of its multiplicative group.
 PRIME = 998244353
@@ -39,7 +40,6 @@ _P = np.uint64(PRIME)
 # Numbers transformed together, in columns side by side so that the innermost loop is never short.
 _CHUNK = 1 << 16
 _COLUMNS = 8
-_SLICE = 1 << 21
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
@@ -241,66 +241,6 @@ def strongest(runs: list[tuple[int, int, int]]) -> tuple[int, int, int] | None:
     return best
 
 
-# Words of UTF-8 bytes. White space is the space and the five control characters from tab to carriage return.
-
-_WORD_BYTE = np.ones(256, bool)
-_WORD_BYTE[[9, 10, 11, 12, 13, 32]] = False
-_SHORT = 256
-
-
-def _multipliers(places: np.ndarray) -> np.ndarray:
-    """A fixed random-like odd factor for each place in a word."""
-    x = (places.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))) | np.uint64(1)
-
-
-_FACTORS = _multipliers(np.arange(_SHORT))
-
-
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last-but-one byte of every word."""
-    kind = np.int32 if len(data) < 2**31 else np.int64
-    starts, ends, before = [], [], False
-    for at in range(0, len(data), _SLICE):
-        inside = _WORD_BYTE[data[at: at + _SLICE]]
-        earlier = np.append(before, inside[:-1])
-        starts.append((np.flatnonzero(inside & ~earlier) + at).astype(kind))
-        ends.append((np.flatnonzero(earlier & ~inside) + at).astype(kind))
-        before = bool(inside[-1])
-    if before:
-        ends.append(np.asarray([len(data)], kind))
-    return (np.concatenate(starts), np.concatenate(ends)) if starts else (np.zeros(0, kind), np.zeros(0, kind))
-
-
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a sum over its bytes with a factor for each place, taken slice by slice."""
-    out = np.zeros(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(starts, int(starts[i]) + _SLICE // 4)))
-        if int(ends[i]) - int(starts[i]) > _SLICE:
-            # One very long word, in pieces.
-            for at in range(int(starts[i]), int(ends[i]), _SLICE):
-                stop = min(at + _SLICE, int(ends[i]))
-                factors = _multipliers(np.arange(at, stop) - int(starts[i]))
-                out[i:i + 1] += ((data[at:stop].astype(np.uint64) + np.uint64(1)) * factors).sum(dtype=np.uint64, keepdims=True)
-            i += 1
-            continue
-        while j > i + 1 and int(ends[j - 1]) - int(starts[i]) > 2 * _SLICE:
-            j -= 1
-        lengths = (ends[i:j] - starts[i:j]).astype(np.int64)
-        firsts = np.append(0, np.cumsum(lengths)[:-1])
-        place = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
-        piece = data[int(starts[i]): int(ends[j - 1])]
-        piece = piece[_WORD_BYTE[piece]].astype(np.uint64) + np.uint64(1)
-        piece *= _FACTORS[place] if lengths.max() <= _SHORT else _multipliers(place)
-        out[i:j] = np.add.reduceat(piece, firsts)
-        i = j
-    return out
-
-
 def _kept_text(data: bytes, starts: np.ndarray, ends: np.ndarray, runs: list[tuple[int, int, int]]) -> bytes:
     """The words joined by one space, without what repeats a run's first period."""
     n = len(starts)
@@ -319,19 +259,6 @@ def _kept_text(data: bytes, starts: np.ndarray, ends: np.ndarray, runs: list[tup
     return b" ".join(parts)
 
 
-def _groups(column: pa.Array):
-    """(first row, texts as bytes) of an Arrow column of texts, about a million bytes at a time."""
-    at, texts, size = 0, [], 0
-    for i, text in enumerate(column.cast(pa.binary())):
-        texts.append(text.as_py() or b"")
-        size += len(texts[-1])
-        if size > GROUP_BYTES:
-            yield at, texts
-            at, texts, size = i + 1, [], 0
-    if texts:
-        yield at, texts
-
-
 _RUN = "start: long, length: long, period: long"
 _RUN_TYPE = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
@@ -341,20 +268,20 @@ def _as_run(run):
 
 
 def _detect(batches):
-    for batch in batches:
-        for first, texts in _groups(batch.column(1)):
-            data = b"\n".join(texts)
-            view = np.frombuffer(data, np.uint8)
-            starts, ends = word_spans(view)
-            limits = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
-            bounds = np.searchsorted(starts, limits)
-            found = find_runs(hash_words(view, starts, ends), bounds)
-            collapsed = [_kept_text(data, starts[a:b], ends[a:b], runs) for a, b, runs in zip(bounds, bounds[1:], found)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(first, len(texts)), pa.array(np.diff(bounds), pa.int64()),
-                pa.array([[_as_run(r) for r in runs] for runs in found], pa.list_(_RUN_TYPE)),
-                pa.array([_as_run(strongest(runs)) for runs in found], _RUN_TYPE),
-                pa.array(collapsed, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "runs", "strongest", "collapsed"])
+    for part in few(batches, 1, most_rows=1 << 12):
+        texts = [t.as_py() or b"" for t in part.column(1).cast(pa.binary())]
+        data = b"\n".join(texts)
+        view = np.frombuffer(data, np.uint8)
+        starts, ends = word_spans(view)
+        limits = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
+        bounds = np.searchsorted(starts, limits)
+        found = find_runs(hash_words(view, starts, ends), bounds)
+        collapsed = [_kept_text(data, starts[a:b], ends[a:b], runs) for a, b, runs in zip(bounds, bounds[1:], found)]
+        yield pa.RecordBatch.from_arrays([
+            part.column(0), pa.array(np.diff(bounds), pa.int64()),
+            pa.array([[_as_run(r) for r in runs] for runs in found], pa.list_(_RUN_TYPE)),
+            pa.array([_as_run(strongest(runs)) for runs in found], _RUN_TYPE),
+            pa.array(collapsed, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "runs", "strongest", "collapsed"])
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from contentspark.llm.common import worker_state
+from contentspark.llm.common import few, worker_state
 
 #: The pattern that the vocabulary's pre-tokens follow. A fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens a leaf.
 LEAF = 32
-_KNOWN = 500_000
+#: Pre-tokens that a worker remembers, in two generations: those not met for long go.
+_KNOWN = 160_000
 _KEPT_LETTERS = 40
 #: Characters behind its end that the cut of a pre-token other than white space can depend on.
 _AHEAD = 3
@@ -40,6 +41,7 @@ class Counter:
         self.encoding = tiktoken.Encoding("counts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._pattern = regex.compile(PATTERN)
         self.known: dict[str, int] = {}
+        self.before: dict[str, int] = {}
 
     def pieces(self, text: str, at: int):
         """Pre-tokens from a boundary on, one by one: nothing is cut before it is asked for."""
@@ -52,9 +54,13 @@ class Counter:
         return self._count(piece) if n is None else n
 
     def _count(self, piece: str) -> int:
-        n = len(self.encoding.encode_ordinary(piece))
+        n = self.before.get(piece)
+        if n is None:
+            n = len(self.encoding.encode_ordinary(piece))
         if len(piece) <= _KEPT_LETTERS:
-            if len(self.known) >= _KNOWN:
+            if len(self.known) >= _KNOWN // 2:
+                # Callers hold on to the dictionary for a text, so it is emptied, not replaced.
+                self.before = dict(self.known)
                 self.known.clear()
             self.known[piece] = n
         return n
@@ -169,20 +175,28 @@ class Document:
 
 
 # What a cleaning step of a corpus changes: personal data and secrets are masked, a line that repeats the one before goes.
-_MASKED = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\+?\d[\d\- ()]{7,}\d|\b(?:token|key|secret|password)\s*[=:]\s*[\"']?[\w\-/+=]{8,}[\"']?", re.I)
+# An address begins where a run of its letters begins, and such runs are never tried again from their middle, so a text is
+# read in time proportional to its length.
+_MASKED = re.compile(
+    r"(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)+|\+?\d[\d\- ()]{7,}\d"
+    r"|\b(?:token|key|secret|password)\s*[=:]\s*[\"']?[\w\-/+=]{8,}[\"']?", re.I)
 
 
 def cleaning_edits(text: str) -> list[tuple[int, int, str]]:
     """(start, end, new text) of the changes to a text, from its end to its start, so that earlier places hold."""
-    found = [(m.start(), m.end(), "<masked>") for m in _MASKED.finditer(text)]
-    at, before = 0, None
+    gone, at, before = [], 0, None
     for line in text.split("\n"):
         if line == before and line:
-            found = [f for f in found if not (f[0] < at + len(line) and f[1] > at - 1)]
-            found.append((at - 1, at + len(line), ""))
+            gone.append((at - 1, at + len(line), ""))
         at, before = at + len(line) + 1, line
+    found, k = list(gone), 0
+    for m in _MASKED.finditer(text):
+        while k < len(gone) and gone[k][1] <= m.start():
+            k += 1
+        if k == len(gone) or m.end() <= gone[k][0]:
+            found.append((m.start(), m.end(), "<masked>"))
     found.sort(reverse=True)
-    return [f for i, f in enumerate(found) if i == 0 or f[1] <= found[i - 1][0]]
+    return found
 
 
 _STATE = (("leaf_chars", "array<int>"), ("leaf_tokens", "array<int>"), ("n_tokens", "long"))
@@ -204,11 +218,9 @@ def count_tokens(docs: DataFrame, ranks_path: str, text_col: str = "text") -> Da
 
     def counted(batches):
         counter = worker_state(f"counts {ranks_path}", lambda: Counter(ranks_path))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [None if t is None else Document(counter, t) for t in part.column(names.index(text_col)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, *_state(found)], names=[*names, *[n for n, _ in _STATE]])
+        for part in few(batches, names.index(text_col)):
+            found = [None if t is None else Document(counter, t) for t in part.column(names.index(text_col)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, *_state(found)], names=[*names, *[n for n, _ in _STATE]])
 
     schema = StructType(list(docs.schema.fields))
     return docs.mapInArrow(counted, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"{n} {t}" for n, t in _STATE]))
@@ -231,22 +243,20 @@ def apply_edits(counted: DataFrame, edits: DataFrame, ranks_path: str) -> DataFr
 
     def edited(batches):
         counter = worker_state(f"counts {ranks_path}", lambda: Counter(ranks_path))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found, changes = [], []
-                for text, chars, tokens, changed in zip(*(part.column(i).to_pylist() for i in (1, 2, 3, 4))):
-                    if text is None and not changed:
-                        found.append(None)
-                    else:
-                        found.append(Document(counter, text or "", chars or None, tokens or None))
-                        for e in changed or ():
-                            found[-1].edit(e["start"], e["end"], e["new"])
-                    changes.append(len(changed or ()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([d.text if d else None for d in found], pa.string()), *_state(found),
-                     pa.array(changes, pa.int32()), pa.array([d.reencoded if d else 0 for d in found], pa.int64())],
-                    names=["doc_id", "text", *[n for n, _ in _STATE], "edits", "reencoded"])
+        for part in few(batches, 1):
+            found, changes = [], []
+            for text, chars, tokens, changed in zip(*(part.column(i).to_pylist() for i in (1, 2, 3, 4))):
+                if text is None and not changed:
+                    found.append(None)
+                else:
+                    found.append(Document(counter, text or "", chars or None, tokens or None))
+                    for e in changed or ():
+                        found[-1].edit(e["start"], e["end"], e["new"])
+                changes.append(len(changed or ()))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([d.text if d else None for d in found], pa.string()), *_state(found),
+                 pa.array(changes, pa.int32()), pa.array([d.reencoded if d else 0 for d in found], pa.int64())],
+                names=["doc_id", "text", *[n for n, _ in _STATE], "edits", "reencoded"])
 
     return rows.mapInArrow(edited, "doc_id long, text string, " + ", ".join(f"{n} {t}" for n, t in _STATE) + ", edits int, reencoded long")
 

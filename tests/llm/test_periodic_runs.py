@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from contentspark.llm import periodic_runs, registry
+from contentspark.llm import common, periodic_runs, registry
 
 KIND = "doc_id long, text string, lang string, n_words long"
 
@@ -130,7 +130,7 @@ def test_blocks_beyond_the_largest_pattern(monkeypatch):
 def test_words_of_any_length():
     data = b"  " + b"x" * 5_000_000 + b" " + b"x" * 4_999_999 + b"\n" + b"x" * 5_000_000 + "\tä ".encode() + b"y" * 300
     view = np.frombuffer(data, np.uint8)
-    starts, ends = periodic_runs.word_spans(view)
+    starts, ends = common.word_spans(view)
     assert [data[a:b] for a, b in zip(starts, ends)] == data.split()
-    hashes = periodic_runs.hash_words(view, starts, ends)
+    hashes = common.hash_words(view, starts, ends)
     assert hashes[0] == hashes[2] and len(set(hashes.tolist())) == 4

@@ -80,3 +80,26 @@ def test_query_on_table(spark, small, counter):
             text = text[:a] + new + text[b:]
         assert (r.edits, r.n_tokens_after, r.n_chars_after) == (len(edits), plain(counter, text), len(text))
     assert any(r.edits for r in rows)
+
+
+def test_cleaning_takes_time_in_proportion():
+    """Texts of one long word, of repeated lines and of numbers without an end: twice the length, about twice the time."""
+    import time
+
+    for make in (lambda n: "x" * n, lambda n: "same line\n" * (n // 10), lambda n: "a@b" * (n // 3), lambda n: "1 (" + " " * n,
+                 lambda n: "mail me@you.net\n" * (n // 16)):
+        took = []
+        for n in (200_000, 400_000):
+            text = make(n)
+            start = time.perf_counter()
+            token_edits.cleaning_edits(text)
+            took.append(time.perf_counter() - start)
+        assert took[1] < 3.5 * took[0] + 0.5, (make(30), took)
+
+
+def test_cleaning_of_repeated_lines_and_masks():
+    text = "write me@you.net\nwrite me@you.net\nwrite me@you.net\nkey = abcdefgh1\n\n\ncall +49 30 1234567"
+    cleaned = text
+    for start, end, new in token_edits.cleaning_edits(text):
+        cleaned = cleaned[:start] + new + cleaned[end:]
+    assert cleaned == "write <masked>\n<masked>\n\n\ncall <masked>"

@@ -93,7 +93,7 @@ def test_query_against_brute_force(spark, tmp_path):
     expected.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2], r[4]))
     assert [(r[0], r[1], r[2]) for r in got] == [r[:3] for r in expected]
     # Two of 65536 hash values a sample may be the same by chance.
-    extra = [round(64 * (x - y)) for r, e in zip(got, expected) for x, y in zip(r[5:7], e[3:5])]
+    extra = [round(weighted_sampling.SAMPLES * (x - y)) for r, e in zip(got, expected) for x, y in zip(r[5:7], e[3:5])]
     assert set(extra) <= {0, 1} and sum(extra) <= 2
     prints = {}
     for (_, _, _, own, *_), r in zip(sorted(brute(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2])), got):
