@@ -1,28 +1,30 @@
 """Outbox folder to topic, and clearing the outbox.
 
-An outbox is a log: rows are appended once, and every change of a row (claimed, processed, failed) is appended as an
-event, so a round writes as much as it publishes. A row's state is its events folded together. Compaction starts a new
-generation with the pending rows and moves processed ones into folders by day; clearing moves a cut-off time and drops
-days that lie wholly before it. Nothing is written anew in place, so a crash at any point leaves a readable outbox.
+An outbox is a log of two tables partitioned by the day and batch of writing: rows are appended once, and every change of
+a row (claimed, processed, failed) is appended as an event. A row's state is its events folded together. Every append is
+a partition of its own, so writers do not meet. Clearing stores a cut-off time, from which on expired rows count no more,
+and then overwrites those partitions of days before the cut-off that hold such rows, and these partitions alone: what is
+being appended lies in the partitions of the present day.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import date, datetime, timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contentspark.operators.outbox import BATCH_SIZE, LEASE_MS, RETENTION_MS, claim_batch
 from contentspark.schemas import OUTBOX_EVENT
-from contentspark.sources.tables import child_names, delete_folder, path_exists
+from contentspark.sources.tables import delete_folder, path_exists
 from contentspark.sources.topics import topic_rows
 
-#: Rounds in a generation after which publishing compacts it.
-COMPACT_ROUNDS = 100
-_EVENT = "id string, kind string, at timestamp_ntz, locked_until timestamp_ntz, error string"
+_EVENT = T.StructType([
+    T.StructField("id", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("at", T.TimestampNTZType()),
+    T.StructField("locked_until", T.TimestampNTZType()), T.StructField("error", T.StringType())])
 _MOST_HALVINGS = 32
 
 
@@ -31,16 +33,19 @@ def _moment(spark: SparkSession, now: Column) -> datetime:
     return spark.range(1).select(now.cast("timestamp_ntz")).first()[0]
 
 
-def _generation(spark: SparkSession, path: str) -> int:
-    """The newest generation whose first rows are complete; 0 before the first compaction."""
-    numbers = [int(n[2:]) for n in child_names(spark, path) if n.startswith("g=")]
-    return max((n for n in numbers if path_exists(spark, f"{path}/g={n}/base/_SUCCESS")), default=0)
-
-
 def _read(spark: SparkSession, schema, path: str) -> DataFrame:
+    """A table of the log, with the ``day`` and ``batch`` of writing."""
+    kind = T.StructType([*schema.fields]).add("day", "date").add("batch", "string")
     if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+        return spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType) for f in kind]))
+    # A cleared partition keeps one row without an id.
+    return spark.read.schema(kind).option("basePath", path).parquet(path).where("id is not null")
+
+
+def _write(rows: DataFrame, path: str, at: datetime) -> str:
+    folder = f"{path}/day={at.date()}/batch={uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    return folder
 
 
 def fold_events(rows: DataFrame, events: DataFrame) -> DataFrame:
@@ -60,11 +65,9 @@ def fold_events(rows: DataFrame, events: DataFrame) -> DataFrame:
     }).select(*OUTBOX_EVENT.fieldNames())
 
 
-def _state(spark: SparkSession, path: str, generation: int) -> DataFrame:
-    """Rows of the current generation in their present state."""
-    folder = f"{path}/g={generation}"
-    rows = _read(spark, OUTBOX_EVENT, f"{folder}/base").unionByName(_read(spark, OUTBOX_EVENT, f"{folder}/new"))
-    return fold_events(rows, _read(spark, _EVENT, f"{folder}/events"))
+def _state(spark: SparkSession, path: str) -> DataFrame:
+    """All rows in their present state, cleared ones that are not overwritten yet included."""
+    return fold_events(_read(spark, OUTBOX_EVENT, f"{path}/rows"), _read(spark, _EVENT, f"{path}/events"))
 
 
 def _cut(spark: SparkSession, path: str) -> datetime | None:
@@ -74,34 +77,24 @@ def _cut(spark: SparkSession, path: str) -> datetime | None:
     return spark.read.schema("cut timestamp_ntz").parquet(f"{path}/cuts").agg(F.max("cut")).first()[0]
 
 
-def _moved(spark: SparkSession, path: str, generation: int) -> DataFrame:
-    """Processed rows that compactions up to this generation have moved; an unfinished one's do not count yet."""
-    folders = [f"{path}/done/{day}/{g}" for day in child_names(spark, f"{path}/done")
-               for g in child_names(spark, f"{path}/done/{day}") if int(g) < generation]
-    rows = spark.read.schema(OUTBOX_EVENT).parquet(*folders) if folders else spark.createDataFrame([], OUTBOX_EVENT)
-    cut = _cut(spark, path)
-    return rows if cut is None else rows.where(F.col("processed_at") >= F.lit(cut))
+def read_outbox(spark: SparkSession, path: str) -> DataFrame:
+    """All outbox rows: pending ones, and processed ones not cleared yet."""
+    state, cut = _state(spark, path), _cut(spark, path)
+    return state if cut is None else state.where(F.col("processed_at").isNull() | (F.col("processed_at") >= F.lit(cut)))
 
 
 def read_pending(spark: SparkSession, path: str) -> DataFrame:
-    return _state(spark, path, _generation(spark, path)).where(F.col("processed_at").isNull())
+    return _state(spark, path).where(F.col("processed_at").isNull())
 
 
 def read_done(spark: SparkSession, path: str) -> DataFrame:
-    generation = _generation(spark, path)
-    now_done = _state(spark, path, generation).where(F.col("processed_at").isNotNull())
-    return now_done.unionByName(_moved(spark, path, generation))
-
+    return read_outbox(spark, path).where(F.col("processed_at").isNotNull())
 
-def read_outbox(spark: SparkSession, path: str) -> DataFrame:
-    """All outbox rows: pending ones, and processed ones not cleared yet."""
-    generation = _generation(spark, path)
-    return _state(spark, path, generation).unionByName(_moved(spark, path, generation))
 
-
-def append_outbox(spark: SparkSession, path: str, rows: DataFrame) -> None:
-    """Adds new rows."""
-    rows.select(*OUTBOX_EVENT.fieldNames()).write.parquet(f"{path}/g={_generation(spark, path)}/new/{uuid.uuid4().hex}")
+def append_outbox(spark: SparkSession, path: str, rows: DataFrame, now: Column | None = None) -> None:
+    """Adds new rows; any number of writers may do so while others publish or clear."""
+    at = _moment(spark, F.current_timestamp() if now is None else now)
+    _write(rows.select(*OUTBOX_EVENT.fieldNames()), f"{path}/rows", at)
 
 
 def _send(rows: DataFrame, send: Callable[[DataFrame], None], depth: int = 0) -> list[tuple[DataFrame, str | None]]:
@@ -119,70 +112,68 @@ def _send(rows: DataFrame, send: Callable[[DataFrame], None], depth: int = 0) ->
 
 def publish_outbox(
     spark: SparkSession, path: str, send: Callable[[DataFrame], None], now: Column,
-    limit: int = BATCH_SIZE, lease_ms: int = LEASE_MS, compact_rounds: int = COMPACT_ROUNDS,
+    limit: int = BATCH_SIZE, lease_ms: int = LEASE_MS,
 ) -> int:
     """Claims the oldest pending rows, sends them as ``(key, value)``, stores each row's outcome; rows published.
 
     The lease is stored before anything is sent. A crash after sending and before storing sends again. One publisher
     works on an outbox at a time.
     """
-    generation = _generation(spark, path)
-    if len(child_names(spark, f"{path}/g={generation}/events")) > 2 * compact_rounds:
-        generation = compact_outbox(spark, path)
     at = _moment(spark, now)
-    events = f"{path}/g={generation}/events/{uuid.uuid4().hex}"
-    claimed, _ = claim_batch(_state(spark, path, generation), F.lit(at), limit, lease_ms)
+    state = _state(spark, path)
+    claimed, _ = claim_batch(state, F.lit(at), limit, lease_ms)
     until = at + timedelta(milliseconds=lease_ms)
+    none = F.lit(None)
 
-    def store(rows: DataFrame, folder: str) -> None:
-        rows.select("id", "kind", F.lit(at).alias("at"), "locked_until", "error").write.parquet(folder)
+    def store(rows: DataFrame) -> DataFrame:
+        folder = _write(rows.select("id", "kind", F.lit(at).alias("at"), "locked_until", "error"), f"{path}/events", at)
+        return spark.read.schema(_EVENT).parquet(folder)
 
-    none = F.lit(None)
-    store(claimed.select("id", F.lit("claimed").alias("kind"), F.lit(until).alias("locked_until"), none.cast("string").alias("error")),
-          f"{events}-claimed")
     # What was stored, not what would be chosen now.
-    ids = spark.read.schema(_EVENT).parquet(f"{events}-claimed").select("id")
-    mine = _state(spark, path, generation).join(F.broadcast(ids) if limit <= BATCH_SIZE else ids, "id", "left_semi").select(
-        "id", "aggregate_id", "payload")
+    ids = store(claimed.select(
+        "id", F.lit("claimed").alias("kind"), F.lit(until).alias("locked_until"), none.cast("string").alias("error"))).select("id")
     if ids.isEmpty():
         return 0
+    rows = _read(spark, OUTBOX_EVENT, f"{path}/rows")
+    mine = rows.join(F.broadcast(ids) if limit <= BATCH_SIZE else ids, "id", "left_semi").select("id", "aggregate_id", "payload")
     outcomes = None
-    for rows, error in _send(mine, send):
-        kind = "processed" if error is None else "failed"
-        part = rows.select("id", F.lit(kind).alias("kind"), none.cast("timestamp_ntz").alias("locked_until"),
-                           F.lit(error).cast("string").alias("error"))
-        outcomes = part if outcomes is None else outcomes.unionByName(part)
-    store(outcomes, f"{events}-sent")
-    return spark.read.schema(_EVENT).parquet(f"{events}-sent").where("kind = 'processed'").count()
-
+    for part, error in _send(mine, send):
+        told = part.select("id", F.lit("processed" if error is None else "failed").alias("kind"),
+                           none.cast("timestamp_ntz").alias("locked_until"), F.lit(error).cast("string").alias("error"))
+        outcomes = told if outcomes is None else outcomes.unionByName(told)
+    return store(outcomes).where("kind = 'processed'").count()
 
-def compact_outbox(spark: SparkSession, path: str) -> int:
-    """Starts a new generation with the pending rows; processed ones go to folders by day. Its number.
 
-    The new generation counts once it is complete; only then does the old one go. A repeated compaction replaces
-    what an interrupted one has left.
-    """
-    old = _generation(spark, path)
-    state = _state(spark, path, old)
-    done = state.where(F.col("processed_at").isNotNull())
-    for (day,) in done.select(F.to_date("processed_at")).distinct().collect():
-        done.where(F.to_date("processed_at") == F.lit(day)).write.mode("overwrite").parquet(f"{path}/done/{day}/{old}")
-    state.where(F.col("processed_at").isNull()).write.mode("overwrite").parquet(f"{path}/g={old + 1}/base")
-    delete_folder(spark, f"{path}/g={old}")
-    return old + 1
+def _overwrite(kept: DataFrame, touched: DataFrame, path: str) -> None:
+    """Replaces the touched partitions by the rows kept of them, and one row without an id each."""
+    names = [c for c in kept.columns if c not in ("day", "batch")]
+    kinds = {f.name: f.dataType for f in kept.schema}
+    marks = touched.select(*(F.lit(None).cast(kinds[n]).alias(n) for n in names), "day", "batch")
+    kept.join(touched, ["day", "batch"], "left_semi").select(marks.columns).unionByName(marks).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
 
 
 def purge_outbox(spark: SparkSession, path: str, now: Column, age_ms: int = RETENTION_MS) -> int:
     """Clears rows processed longer ago than ``age_ms``; the number cleared.
 
-    The rows are gone once the cut-off time is stored; folders of days wholly before it are deleted.
+    The rows are gone once the cut-off time is stored. Then the partitions written before the day of the cut-off lose
+    them and afterwards their events; a stop in between leaves events of no row, which count for nothing.
     """
     cut = _moment(spark, now) - timedelta(milliseconds=age_ms)
-    generation = compact_outbox(spark, path)
-    gone = _moved(spark, path, generation).where(F.col("processed_at") < F.lit(cut)).count()
+    gone = read_outbox(spark, path).where(F.col("processed_at") < F.lit(cut)).count()
     if gone:
         spark.range(1).select(F.lit(cut).alias("cut")).write.mode("append").parquet(f"{path}/cuts")
-    for day in child_names(spark, f"{path}/done"):
-        if date.fromisoformat(day) < cut.date():
-            delete_folder(spark, f"{path}/done/{day}")
+    earlier = F.col("day") < F.lit(cut.date())
+    rows, events = _read(spark, OUTBOX_EVENT, f"{path}/rows").where(earlier), _read(spark, _EVENT, f"{path}/events")
+    until = events.where(F.col("day") <= F.lit(cut.date()))
+    expired = fold_events(rows, until).where(F.col("processed_at") < F.lit(cut)).select("id")
+    work = f"{path}/work/{uuid.uuid4().hex}"
+    rows.join(expired, "id", "left_semi").select("id", "day", "batch").write.parquet(work)
+    old = spark.read.schema("id string, day date, batch string").parquet(work)
+    if not old.isEmpty():
+        _overwrite(rows.join(old.select("id"), "id", "left_anti"), old.select("day", "batch").distinct(), f"{path}/rows")
+        told = events.where(earlier)
+        of_old = told.join(old.select("id"), "id", "left_semi").select("day", "batch").distinct()
+        _overwrite(told.join(old.select("id"), "id", "left_anti"), of_old, f"{path}/events")
+    delete_folder(spark, work)
     return gone

@@ -401,6 +401,8 @@ SELECT key, CASE WHEN id % 10 = 0 THEN substr(whole, 1, CAST(floor(length(whole)
   'content-discovered.DLT' AS topic, CASE WHEN id % 10 = 0 THEN 'DecodingError' ELSE 'ConstraintError' END AS error_class,
   'content-discovered' AS source_topic, "partition" AS source_partition, "offset" AS source_offset
 FROM recs WHERE id % 10 = 0 OR {_LONG}"""
+ORACLES["consumed_items_keyed"] = ORACLES["consumed_items"]
+ORACLES["dead_letters_keyed"] = ORACLES["dead_letters"]
 ORACLES["inserted_items"] = f"""WITH {ITEMS}
 SELECT source_id, external_id, title, url, content_text, false AS read, published_at, {NOW} AS created_at, {NOW} AS updated_at FROM items"""
 ORACLES["enriched_without_model"] = f"""WITH {DOCS}

@@ -37,7 +37,9 @@ from contentspark.plans.sizing import spread
 from contentspark.registry.inputs import feed_payloads, now, queries_from_benchmark, topic_records
 from contentspark.sources.payloads import accepted_status, with_source, with_url_safety
 from contentspark.sources.tables import with_item_defaults
+from contentspark.sources.topics import dead_letter_rows
 from contentspark.streaming.consume import consume_batch
+from contentspark.streaming.keyed import checked_records, first_wins, split_outcomes, use_keyed_state
 
 DIM = 64
 STEM = "light"
@@ -478,6 +480,23 @@ def dead_letters(spark, sf):
         "key", "value", "topic", "error_class", "source_topic", "source_partition", "source_offset")
 
 
+def _keyed(spark, sf):
+    existing = document_items(use_keyed_state(spark), sf).where(F.col("id") % 4 == 1)
+    return split_outcomes(first_wins(checked_records(topic_records(spark, sf), now()), existing))
+
+
+@query
+def consumed_items_keyed(spark, sf):
+    return with_item_defaults(enrich(_keyed(spark, sf)[0]), now()).select(
+        "source_id", "external_id", "title", "url", "content_text", "read", "published_at", "created_at")
+
+
+@query
+def dead_letters_keyed(spark, sf):
+    return dead_letter_rows(_keyed(spark, sf)[2]).select(
+        "key", "value", "topic", "error_class", "source_topic", "source_partition", "source_offset")
+
+
 @query
 def inserted_items(spark, sf):
     rows = content_items(spark, sf)

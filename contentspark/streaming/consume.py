@@ -13,7 +13,6 @@ from contentspark.functions.events import decode_event
 from contentspark.operators.constraints import constraint_violations, content_violations
 from contentspark.operators.enrich import Embedder, enrich
 from contentspark.operators.outbox import insert_if_absent
-from contentspark.operators.policies import MAX_RETRIES, retry_decision
 from contentspark.plans.schedule import scheduled
 from contentspark.sources.tables import append_items, child_names, path_exists, read_items, with_item_defaults
 from contentspark.sources.topics import dead_letter_rows
@@ -35,7 +34,8 @@ def split_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def _violating(rows: DataFrame, violations: Column, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+def split_violating(rows: DataFrame, violations: Column, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Valid rows, and the others with ``columns``, ``error_class`` and ``error_message``."""
     checked = rows.withColumn("__violations", violations)
     valid = checked.where(F.size("__violations") == 0).drop("__violations")
     bad = checked.where(F.size("__violations") > 0).select(
@@ -57,23 +57,17 @@ def consume_batch(
     columns = undecodable.columns[:-2]
     rows = events.withColumn("content_text", F.col("title")).withColumn(
         "published_at", F.coalesce("published_at", now.cast("timestamp_ntz")))
-    valid, invalid = _violating(rows, content_violations(), columns)
+    valid, invalid = split_violating(rows, content_violations(), columns)
     fresh = insert_if_absent(
         valid, existing, ITEM_KEY, [F.col("partition").asc(), F.col("offset").asc()], new_rows_bound)
     enriched = keep(enrich(fresh, embed))
     dead = undecodable.unionByName(invalid)
     if embed is not None and dim is not None:
-        enriched, misfit = _violating(enriched, constraint_violations({}, (), "embedding", dim), columns)
+        enriched, misfit = split_violating(enriched, constraint_violations({}, (), "embedding", dim), columns)
         dead = dead.unionByName(misfit)
     return Consumed(with_item_defaults(enriched, now), dead_letter_rows(dead))
 
 
-def route_failures(records: DataFrame, failures: str = "failures", max_retries: int = MAX_RETRIES) -> tuple[DataFrame, DataFrame]:
-    """Records to try again, and records that have used up their retries."""
-    decision = retry_decision(F.col(failures), max_retries)
-    return records.where(decision == "retry"), records.where(decision == "dead_letter")
-
-
 def drop_recent_repeats(events: DataFrame, delay: str) -> DataFrame:
     """Cheap pre-filter with bounded state; repeats further apart are left to the insert itself.
 

@@ -9,7 +9,7 @@ from contentspark.operators.outbox import (
     apply_outcomes, claim_batch, first_per_key, insert_if_absent, is_pending, mark_failed, mark_processed, purge_processed,
 )
 from contentspark.plans.ingest import ingest_feeds
-from contentspark.plans.publish import append_outbox, compact_outbox, publish_outbox, purge_outbox, read_done, read_outbox, read_pending
+from contentspark.plans.publish import append_outbox, publish_outbox, purge_outbox, read_done, read_outbox, read_pending
 from contentspark.schemas import OUTBOX_EVENT
 
 NOW = datetime(2025, 6, 1, 12)
@@ -116,7 +116,7 @@ def test_publish_and_purge_on_files(spark, folder):
     assert publish_outbox(spark, folder, broken, now()) == 0
     assert {(r.retry_count, r.error_message, r.processed_at) for r in read_pending(spark, folder).collect()} == {
         (1, "Kafka broker unreachable", None)}
-    assert publish_outbox(spark, folder, sent.append, now(), compact_rounds=0) == 0
+    assert publish_outbox(spark, folder, sent.append, now()) == 0
     later = NOW + timedelta(hours=13)
     assert publish_outbox(spark, folder, lambda rows: rows.collect(), F.lit(later)) == 2
     assert read_pending(spark, folder).count() == 0
@@ -149,21 +149,83 @@ def test_one_bad_row_fails_alone_and_rounds_only_append(spark, folder):
     assert sorted(delivered) == ["a0", "a1", "a2", "a3", "a5"]
     assert {(r.id, r.retry_count) for r in read_pending(spark, folder).collect()} == {("4", 1), ("6", 0), ("7", 0), ("8", 0)}
     assert publish_outbox(spark, folder, send, now()) == 3
-    state = {tuple(r) for r in read_outbox(spark, folder).collect()}
-    compact_outbox(spark, folder)
-    assert {tuple(r) for r in read_outbox(spark, folder).collect()} == state and len(state) == 9
-
-
-def test_interrupted_compaction_leaves_no_duplicate(spark, folder):
-    append_outbox(spark, folder, outbox(spark, *[{"id": str(i), "created_at": NOW} for i in range(4)]))
-    publish_outbox(spark, folder, lambda rows: rows.collect(), now(), limit=2)
-    state = sorted(tuple(r) for r in read_outbox(spark, folder).collect())
-    # Stopped after the processed rows were moved, before the new generation was complete.
-    done = read_done(spark, folder)
-    done.write.parquet(f"{folder}/done/{NOW.date()}/0")
-    assert sorted(tuple(r) for r in read_outbox(spark, folder).collect()) == state
-    compact_outbox(spark, folder)
-    assert sorted(tuple(r) for r in read_outbox(spark, folder).collect()) == state
+    assert read_outbox(spark, folder).count() == 9
+
+
+def month(spark, folder):
+    """Four days of rows, published a day later each, the last one not."""
+    for day in range(4):
+        at = NOW + timedelta(days=day)
+        append_outbox(spark, folder, outbox(spark, *[{"id": f"{day}{i}", "created_at": at} for i in range(3)]), F.lit(at))
+        if day:
+            publish_outbox(spark, folder, lambda rows: rows.collect(), F.lit(at), limit=3)
+
+
+def stored_ids(spark, folder):
+    return {r.id for r in spark.read.parquet(f"{folder}/rows").where("id is not null").collect()}
+
+
+def test_clearing_overwrites_old_partitions_only(spark, folder):
+    import os
+
+    month(spark, folder)
+    files = {os.path.join(d, f) for d, _, names in os.walk(f"{folder}/rows") for f in names if f.endswith(".parquet")}
+    week_on = F.lit(NOW + timedelta(days=2, hours=1) + timedelta(days=7)).cast("timestamp_ntz")
+    assert purge_outbox(spark, folder, week_on) == 6
+    assert {r.id for r in read_outbox(spark, folder).collect()} == stored_ids(spark, folder) == {f"{d}{i}" for d in (2, 3) for i in range(3)}
+    after = {os.path.join(d, f) for d, _, names in os.walk(f"{folder}/rows") for f in names if f.endswith(".parquet")}
+    assert {f for f in files if "day=2025-06-03" in f or "day=2025-06-04" in f} == {f for f in files & after}
+    state = sorted((r.id, r.processed_at is None, r.retry_count) for r in read_outbox(spark, folder).collect())
+    assert purge_outbox(spark, folder, week_on) == 0
+    assert sorted((r.id, r.processed_at is None, r.retry_count) for r in read_outbox(spark, folder).collect()) == state
+
+
+def test_rows_appended_beside_clearing_stay(spark, folder, monkeypatch):
+    """Appends and publishing between what clearing reads and what it overwrites lose nothing."""
+    from contentspark.plans import publish
+
+    month(spark, folder)
+    plain, meanwhile = publish._overwrite, []
+
+    def beside(kept, touched, path):
+        at = NOW + timedelta(days=9, hours=len(meanwhile))
+        append_outbox(spark, folder, outbox(spark, {"id": f"new{len(meanwhile)}", "created_at": NOW}), F.lit(at))
+        meanwhile.append(publish_outbox(spark, folder, lambda rows: rows.collect(), F.lit(at), limit=2))
+        plain(kept, touched, path)
+        append_outbox(spark, folder, outbox(spark, {"id": f"late{len(meanwhile)}", "created_at": NOW}), F.lit(at))
+
+    monkeypatch.setattr(publish, "_overwrite", beside)
+    assert purge_outbox(spark, folder, F.lit(NOW + timedelta(days=9, hours=2)).cast("timestamp_ntz")) == 6
+    rows = {r.id: r.processed_at for r in read_outbox(spark, folder).collect()}
+    assert set(rows) == {"20", "21", "22", "30", "31", "32", "new0", "new1", "late1", "late2"}
+    assert len(meanwhile) == 2 and sum(r is not None and r > NOW + timedelta(days=8) for r in rows.values()) == sum(meanwhile)
+
+
+def test_stop_within_clearing_loses_and_doubles_nothing(spark, folder, monkeypatch):
+    from contentspark.plans import publish
+
+    month(spark, folder)
+
+    def broken(rows):
+        raise RuntimeError("down")
+
+    publish_outbox(spark, folder, broken, F.lit(NOW + timedelta(days=3)), limit=3)
+    plain, calls = publish._overwrite, []
+
+    def stopping(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("stopped")
+        plain(*args)
+
+    monkeypatch.setattr(publish, "_overwrite", stopping)
+    later = F.lit(NOW + timedelta(days=9, hours=2)).cast("timestamp_ntz")
+    with pytest.raises(RuntimeError):
+        purge_outbox(spark, folder, later)
+    monkeypatch.setattr(publish, "_overwrite", plain)
+    assert purge_outbox(spark, folder, later) == 0
+    rows = {r.id: r.retry_count for r in read_outbox(spark, folder).collect()}
+    assert rows == {"20": 0, "21": 0, "22": 0, "30": 1, "31": 1, "32": 1}
 
 
 def test_polling_a_feed_again_adds_nothing(spark, folder):

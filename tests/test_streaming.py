@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from contentspark.operators.enrich import enrich, model_embedder
 from contentspark.operators.outbox import claim_batch
+from contentspark.operators.policies import route_failures
 from contentspark.sources.payloads import scan_payload_files, with_source, with_source_by_path, source_registry
 from contentspark.sources.tables import read_items
 from contentspark.sources.topics import dead_letter_rows, read_topic, topic_rows, with_headers, write_topic
 from contentspark.streaming.breaker import BreakerRules, breaker_stream, next_state
-from contentspark.streaming.consume import consume_batch, drop_recent_repeats, route_failures, split_records, start_consumer
+from contentspark.streaming.consume import consume_batch, drop_recent_repeats, split_records, start_consumer
 from contentspark.streaming.versions import version_stream
 
 NOW = datetime(2025, 6, 1, 12)
