@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from contentspark.functions.html import BLOCK_TAGS, NAMED_ENTITIES
+import html.entities
+
 from contentspark.functions.text import LIGHT_ENGLISH, STOP_WORDS
 
 ORACLES: dict[str, str] = {}
@@ -297,16 +298,26 @@ SELECT o_orderkey, concat(CASE s WHEN 0 THEN 'http' WHEN 1 THEN 'HTTPS' ELSE 'ft
 ORACLES["resolved_url_safety"] = f"""SELECT page_id, {_HOST} AS domain,
   CASE WHEN length({_HOST}) % 4 IN (0, 2) THEN false ELSE contains({_HOST}, '.') END AS safe FROM pages"""
 
-_ENTITIES = ", ".join(f"'{n}': chr({c})" for n, c in NAMED_ENTITIES.items())
+# Elements that break a line of text.
+_BREAKING = (
+    "address article aside audio blockquote body br canvas caption center col colgroup dd del details dir div dl dt fieldset "
+    "figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html ins li link main math menu meta "
+    "nav noframes noscript ol p plaintext pre script section style svg table tbody td template tfoot th thead title tr ul video")
+_NAMES = ", ".join("'%s': '%s'" % (n, t.replace("'", "'" * 2)) for n, t in html.entities.html5.items())
+_BARE = " ".join(f"WHEN starts_with(p, '{n}') THEN '{n}'" for n in sorted(
+    (n for n in html.entities.html5 if not n.endswith(";")), key=len, reverse=True))
 ORACLES["cleaned_pages"] = rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
     html, '<!--.*?-->', '', 'gs'), '<(script|style)\b[^>]*>.*?</(script|style)\s*>', '', 'gis'),
-    '</?({'|'.join(BLOCK_TAGS)})(\s[^>]*|/)?>', ' ', 'gi'), '</?[A-Za-z][^>]*>|<![A-Za-z][^>]*>|<\?[^>]*>', '', 'g') AS t FROM pages),
+    '</?({_BREAKING.replace(" ", "|")})(\s[^>]*|/)?>', ' ', 'gi'), '</?[A-Za-z][^>]*>|<![A-Za-z][^>]*>|<\?[^>]*>', '', 'g') AS t FROM pages),
+names AS (SELECT MAP {{{_NAMES}}} AS m),
 parts AS (SELECT page_id, unnest(string_split(t, '&')) AS p, generate_subscripts(string_split(t, '&'), 1) AS i FROM a),
-named AS (SELECT page_id, i, p, regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1) AS n FROM parts),
-dec AS (SELECT page_id, i, CASE WHEN i = 1 THEN p
-    WHEN n <> '' AND map_extract_value(MAP {{{_ENTITIES}}}, n) IS NOT NULL
-      THEN concat(map_extract_value(MAP {{{_ENTITIES}}}, n), substr(p, length(n) + 2))
-    ELSE concat('&', p) END AS q FROM named),
+taken AS (SELECT page_id, i, p, CASE WHEN i = 1 THEN ''
+    WHEN map_extract_value(m, regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;')) IS NOT NULL THEN regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;')
+    {_BARE} ELSE '' END AS n FROM parts, names),
+dec AS (SELECT page_id, i, CASE WHEN i = 1 THEN p WHEN n <> '' THEN concat(map_extract_value(m, n), substr(p, length(n) + 1))
+    WHEN regexp_matches(p, '^#[0-9]{{1,7}};?') THEN concat(chr(CAST(regexp_extract(p, '^#([0-9]+)', 1) AS INTEGER)),
+      regexp_replace(p, '^#[0-9]+;?', ''))
+    ELSE concat('&', p) END AS q FROM taken, names),
 whole AS (SELECT page_id, string_agg(q, '' ORDER BY i) AS t FROM dec GROUP BY page_id)
 SELECT page_id, trim(regexp_replace(regexp_replace(t, concat('[', chr(8203), chr(173), ']'), '', 'g'),
   concat('[ \t\n\f\r', chr(160), ']+'), ' ', 'g')) AS text FROM whole"""
