@@ -133,6 +133,8 @@ FROM fused f JOIN items i ON i.id = f.id ORDER BY f.rrf_score DESC, f.id LIMIT 2
 ORACLES["vector_top50"] = f"""WITH {ITEMS}, {one_query('atat')}, {near_sql('hv')}
 SELECT id, distance, CAST(vector_rank AS INTEGER) AS vector_rank FROM vec"""
 
+ORACLES["vector_top50_pruned"] = ORACLES["vector_top50"]
+
 ORACLES["vector_top50_table"] = f"""WITH {hash_vector_sql('benchmark', 'item_id', 'text', DIM)},
 near AS (SELECT q.key AS query_id, e.vec_id AS id,
     round(list_cosine_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])), 10) AS distance

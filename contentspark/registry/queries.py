@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ from contentspark.operators.policies import breaker_trips, feed_versions, rate_l
 from contentspark.operators.textsearch import (
     build_postings, text_candidates, text_candidates_from_postings, text_candidates_many,
 )
+from contentspark.operators.vectorindex import build_vector_index, pruned_candidates
 from contentspark.operators.vectorsearch import has_vector, query_vector, vector_candidates, vector_candidates_many
 from contentspark.plans.feed import feed_rows, unread, unread_feed
 from contentspark.plans.ingest import new_outbox_rows
@@ -35,6 +37,7 @@ from contentspark.plans.publish import fold_events
 from contentspark.plans.search import hybrid_search, hybrid_search_many
 from contentspark.plans.sizing import spread
 from contentspark.registry.inputs import feed_payloads, now, queries_from_benchmark, topic_records
+from contentspark.session import checkpoint_root
 from contentspark.sources.payloads import accepted_status, with_source, with_url_safety
 from contentspark.sources.tables import with_item_defaults
 from contentspark.sources.topics import dead_letter_rows
@@ -91,6 +94,16 @@ def vector_top50(spark, sf):
     return near.select("id", "distance", F.col("rank").alias("vector_rank"))
 
 
+@query
+def vector_top50_pruned(spark, sf):
+    items = content_items(spark, sf)
+    folder = f"{checkpoint_root(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    build_vector_index(items, folder)
+    vector = spark.range(1).select(hash_vector(F.lit("atat"), DIM)).first()[0]
+    near = pruned_candidates(spark, folder, vector, dict(items.dtypes)["id"]).candidates
+    return near.select("id", "distance", F.col("rank").alias("vector_rank"))
+
+
 @query
 def vector_top50_table(spark, sf):
     queries = table(spark, sf, "benchmark").select(
