@@ -88,3 +88,25 @@ def test_query_on_table(spark, small):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = sorted((tuple(r) for r in registry.op8_ngram_join(spark, small).collect()), key=repr)
     assert got == brute(rows)
+
+
+def test_links_do_not_depend_on_the_size_of_a_component(spark):
+    """Texts around the threshold: verified together or by tiles of buckets, every row has the same class and links."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    together, tiles = (sorted(tuple(r) for r in ngram_join.near_duplicates(frame, together=n).collect()) for n in (1024, 20))
+    assert together == tiles and max(r[2] for r in together) > 20
+
+
+def test_many_rows_without_id(spark):
+    """Rows without an id meet by their text, not all with all."""
+    frame = spark.range(100_000).selectExpr("CAST(NULL AS bigint) AS doc_id", "concat('row number ', id, ' of many rows with words ', id * 7) AS text")
+    got = ngram_join.near_duplicates(frame.unionByName(frame.limit(10))).groupBy("n_links").count().collect()
+    assert {r["n_links"]: r["count"] for r in got} == {0: 99_990, 1: 20}
