@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contentspark.session import cut_lineage
+
 CALLS_PER_SECOND = 5
 BREAKER_WINDOW = 10
 BREAKER_MIN_CALLS = 5
 BREAKER_FAILURE_RATE = 0.5
 MAX_RETRIES = 2
-CHUNK_SECONDS = 3600
 
 
 def _epoch_seconds(ts: Column) -> Column:
@@ -27,19 +28,29 @@ def rate_limit(calls: DataFrame, limit: int = CALLS_PER_SECOND) -> DataFrame:
     return calls.withColumn("admitted", F.row_number().over(window) <= limit)
 
 
+def in_chunks(calls: DataFrame, chunks: int | None = None) -> DataFrame:
+    """Calls with the ``chunk`` they are in: ranges of domain, time and id of about the same size, stored once.
+
+    A burst of one domain within a second is cut like anything else.
+    """
+    order = ["domain", "ts", "call_id"]
+    log = calls.select(*order, "failed")
+    ranged = log.repartitionByRange(*order) if chunks is None else log.repartitionByRange(chunks, *order)
+    return cut_lineage(ranged.withColumn("chunk", F.spark_partition_id()))
+
+
 def breaker_trips(
     calls: DataFrame, size: int = BREAKER_WINDOW, min_calls: int = BREAKER_MIN_CALLS,
-    failure_rate: float = BREAKER_FAILURE_RATE, chunk_seconds: int = CHUNK_SECONDS,
+    failure_rate: float = BREAKER_FAILURE_RATE, chunks: int | None = None,
 ) -> DataFrame:
     """Per call: ``window_calls``, ``window_failures`` of the domain's last ``size`` calls, and ``tripped``.
 
-    A domain may hold a third of the log, so its time line is cut into chunks that are windowed on their own.
-    Each chunk first receives the ``size - 1`` calls before it, taken from the tails of earlier chunks.
+    A domain may hold a third of the log, so the log is cut into ranges of equal size that are windowed on their own.
+    Each first receives the ``size - 1`` calls of its domain before it, taken from the tails of earlier ranges.
     """
     before = size - 1
     in_order = [F.col("ts").asc(), F.col("call_id").asc()]
-    log = calls.select("domain", "ts", "call_id", "failed").withColumn(
-        "chunk", F.floor(_epoch_seconds(F.col("ts")) / chunk_seconds))
+    log = in_chunks(calls, chunks)
 
     newest = Window.partitionBy("domain", "chunk").orderBy(F.col("ts").desc(), F.col("call_id").desc())
     tails = (

@@ -560,7 +560,7 @@ def rate_limited_calls(spark, sf):
 
 @query
 def breaker_signal(spark, sf):
-    return breaker_trips(calls(spark, sf), chunk_seconds=6 * 3600).select(
+    return breaker_trips(calls(spark, sf)).select(
         "domain", "call_id", "window_calls", "window_failures", "tripped")
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contentspark.operators import metrics
-from contentspark.operators.policies import breaker_trips, feed_versions, rate_limit, refresh_decision
+from contentspark.operators.policies import breaker_trips, feed_versions, in_chunks, rate_limit, refresh_decision
 
 START = datetime(2025, 1, 1)
 
@@ -22,7 +22,7 @@ def test_sixth_call_of_a_second_is_refused(spark):
     assert [r.call_id for r in refused] == [5]
 
 
-@pytest.mark.parametrize("chunk", [1, 7, 60, 100000])
+@pytest.mark.parametrize("chunk", [None, 1, 7, 60])
 def test_breaker_signal_does_not_depend_on_chunks(spark, chunk):
     rng = np.random.default_rng(3)
     rows, clock = [], {"hot": START, "cold": START}
@@ -31,7 +31,7 @@ def test_breaker_signal_does_not_depend_on_chunks(spark, chunk):
         clock[domain] += timedelta(seconds=int(rng.choice([0, 1, 5, 200], p=[.3, .4, .25, .05])))
         rows.append((domain, clock[domain], i, bool(rng.random() < 0.45)))
     got = {r.call_id: (r.window_calls, r.window_failures, r.tripped)
-           for r in breaker_trips(log(spark, rows), chunk_seconds=chunk).collect()}
+           for r in breaker_trips(log(spark, rows), chunks=chunk).collect()}
     expected = {}
     for domain in clock:
         mine = sorted((r for r in rows if r[0] == domain), key=lambda r: (r[1], r[2]))
@@ -41,6 +41,14 @@ def test_breaker_signal_does_not_depend_on_chunks(spark, chunk):
     assert got == expected
 
 
+def test_a_burst_within_one_second_is_spread(spark):
+    rows = [("busy", START, i, i % 3 == 0) for i in range(3000)] + [("calm", START, 5000 + i, False) for i in range(6)]
+    sizes = [r["count"] for r in in_chunks(log(spark, rows), 10).groupBy("chunk").count().collect()]
+    assert len(sizes) >= 9 and max(sizes) < 900
+    got = {r.call_id: (r.window_calls, r.window_failures) for r in breaker_trips(log(spark, rows), chunks=10).collect()}
+    assert len(got) == 3006 and all(got[i] == (min(10, i + 1), sum(j % 3 == 0 for j in range(max(0, i - 9), i + 1))) for i in range(3000))
+
+
 def test_early_refresh(spark, one):
     def decide(left, r):
         return one(refresh_decision(F.lit(left), F.lit(0), F.lit(200), F.lit(50), F.lit(r)))
