@@ -11,6 +11,8 @@ from contentspark.session import cut_lineage
 
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
 MAX_ERROR_RATE = 0.001
+#: Size of a sketch; its rank error is about 0.7 %.
+SKETCH_SIZE = 400
 
 
 def _minute(ts: Column) -> Column:
@@ -117,14 +119,53 @@ def histogram_quantiles(
     return counts.select(*keys, *[quantile(q).alias(quantile_name(q)) for q in quantiles])
 
 
+def minute_state(log: DataFrame, keys: Sequence[str], value: str, failed: Column) -> DataFrame:
+    """Per group and minute: calls, failures, largest value and a sketch of all values, from one pass over the log.
+
+    States of a group merge into those of longer windows (:func:`merged_state`) without the log.
+    """
+    return log.groupBy(*keys, _minute(F.col("ts")).alias("window_start")).agg(
+        F.count("*").alias("calls"), F.count_if(failed).alias("failures"), F.max(value).alias("max_value"),
+        F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH_SIZE)).alias("sketch"))
+
+
+def merged_state(state: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
+    """Per group and hour, day or other unit: the states of :func:`minute_state` (or of shorter units) together."""
+    return state.groupBy(*keys, F.date_trunc(unit, "window_start").cast("timestamp_ntz").alias("window_start")).agg(
+        F.sum("calls").alias("calls"), F.sum("failures").alias("failures"), F.max("max_value").alias("max_value"),
+        F.kll_merge_agg_double("sketch", F.lit(SKETCH_SIZE)).alias("sketch"))
+
+
+def state_metrics(state: DataFrame, quantiles: Sequence[float] = QUANTILES, seconds: float = 60.0) -> DataFrame:
+    """Rate, error rate, maximum and quantiles of every state, windows being so many seconds long.
+
+    A quantile's rank is off by about 0.7 % of the calls, whatever their number and however often states were
+    merged. A state without values has NULL quantiles.
+    """
+    some = F.kll_sketch_get_n_double("sketch") > 0
+    others = [c for c in state.columns if c not in ("calls", "failures", "max_value", "sketch")]
+    return state.select(
+        *others, (F.col("calls") / F.lit(seconds)).alias("rate"), F.try_divide("failures", "calls").alias("error_rate"), "max_value",
+        *[F.when(some, F.kll_sketch_get_quantile_double("sketch", F.lit(q))).alias(quantile_name(q)) for q in quantiles])
+
+
 def service_levels(
     log: DataFrame, key: str, value: str, failed: Column, p95_ms: Column, p99_ms: Column,
     max_error_rate: float = MAX_ERROR_RATE, accuracy: int | None = None,
 ) -> DataFrame:
-    """Per key: error rate, p95, p99 and whether each keeps its limit."""
+    """Per key: error rate, p95, p99 and whether each keeps its limit. With ``accuracy`` the log is read once."""
+    if accuracy is not None:
+        points = F.array(F.lit(0.95), F.lit(0.99))
+        once = log.groupBy(key).agg((F.count_if(failed) / F.count("*")).alias("error_rate"), F.percentile_approx(value, points, accuracy).alias("q"))
+        return _judged(once.select(key, "error_rate", F.col("q")[0].alias("p95"), F.col("q")[1].alias("p99")),
+                       key, p95_ms, p99_ms, max_error_rate)
     errors = log.groupBy(key).agg((F.count_if(failed) / F.count("*")).alias("error_rate"))
-    quantiles = latency_quantiles(log, [key], value, (0.95, 0.99), accuracy).withColumnRenamed(key, "__key")
+    quantiles = latency_quantiles(log, [key], value, (0.95, 0.99)).withColumnRenamed(key, "__key")
     measured = errors.join(quantiles, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return _judged(measured, key, p95_ms, p99_ms, max_error_rate)
+
+
+def _judged(measured: DataFrame, key: str, p95_ms: Column, p99_ms: Column, max_error_rate: float) -> DataFrame:
     return measured.select(
         key, "error_rate", "p95", "p99", (F.col("error_rate") < max_error_rate).alias("errors_ok"),
         (F.col("p95") < p95_ms).alias("p95_ok"), (F.col("p99") < p99_ms).alias("p99_ok"),

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from contentspark.functions.events import AGGREGATE_TYPE, EVENT_TYPE, encode_event
 from contentspark.functions.ids import aggregate_key, random_uuid, shift_millis
-from contentspark.operators.ranking import top_k
+from contentspark.operators.ranking import first_n, top_k
 from contentspark.plans.sizing import broadcast_if_small
 
 BATCH_SIZE = 50
 LEASE_MS = 30_000
 RETENTION_MS = 7 * 24 * 3600 * 1000
 _ID_BYTES = 64
+#: Batches beyond this are chosen range by range instead of by one merging task.
+MERGED_CLAIM = 100_000
 
 
 def is_pending(now: Column) -> Column:
@@ -75,10 +77,11 @@ def claim_batch(
 ) -> tuple[DataFrame, DataFrame]:
     """The oldest pending rows ``(id, aggregate_id, payload)``, and the outbox with their lease set.
 
-    Only ids and times compete for the batch; payloads are fetched for the chosen ids.
+    Only ids and times compete for the batch; payloads are fetched for the chosen ids. No task merges a large batch.
     """
     order = [F.col("created_at").asc_nulls_last(), F.col("id").asc()]
-    chosen = top_k(outbox.where(is_pending(now)).select("id", "created_at"), limit, order).select("id")
+    choose = top_k if limit <= MERGED_CLAIM else first_n
+    chosen = choose(outbox.where(is_pending(now)).select("id", "created_at"), limit, order).select("id")
     chosen = broadcast_if_small(chosen, _ID_BYTES, known_rows=limit)
     claimed = outbox.select("id", "aggregate_id", "payload").join(chosen, "id", "left_semi")
     marked = outbox.join(chosen.withColumn("__claimed", F.lit(True)), "id", "left")

@@ -457,6 +457,9 @@ ORACLES["ingested_counts"] = """SELECT source AS source_id, count(*) AS ingested
 ORACLES["row_counts"] = f"""WITH {ITEMS}
 SELECT count(*) AS total, count(*) FILTER (WHERE NOT read) AS unread, count(embedding) AS with_vector FROM items"""
 ORACLES["request_rates"] = """SELECT date_trunc('minute', ts) AS window_start, round(count(*) / 60.0::DOUBLE, 9) AS rate FROM events GROUP BY 1"""
+ORACLES["hourly_metrics_from_minutes"] = """SELECT event_type AS endpoint, date_trunc('hour', ts) AS window_start,
+  round(count(*) / 3600.0::DOUBLE, 9) AS rate, round(count(*) FILTER (WHERE event_type = 'error') / CAST(count(*) AS DOUBLE), 9) AS error_rate,
+  max(value) AS max_value FROM events GROUP BY 1, 2"""
 ORACLES["max_per_minute"] = """SELECT date_trunc('minute', ts) AS window_start, max(value) AS max_value FROM events GROUP BY 1"""
 _Q = ", ".join(f"round(quantile_cont(value, {q}), 6) AS {n}" for q, n in ((0.5, "p50"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99")))
 ORACLES["latency_quantiles_by_endpoint"] = f"SELECT event_type AS endpoint, {_Q} FROM events GROUP BY 1"

@@ -605,6 +605,14 @@ def request_rates(spark, sf):
     return rates.select("window_start", F.round("rate", 9).alias("rate"))
 
 
+@query
+def hourly_metrics_from_minutes(spark, sf):
+    minutes = metrics.minute_state(calls(spark, sf), ["endpoint"], "latency_ms", F.col("failed"))
+    hours = metrics.state_metrics(metrics.merged_state(minutes, ["endpoint"], "hour"), seconds=3600.0)
+    # The quantiles are estimates: the tests bound their rank error.
+    return hours.select("endpoint", "window_start", F.round("rate", 9).alias("rate"), F.round("error_rate", 9).alias("error_rate"), "max_value")
+
+
 @query
 def max_per_minute(spark, sf):
     return metrics.max_gauge(calls(spark, sf), "latency_ms")

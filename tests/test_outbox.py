@@ -44,6 +44,19 @@ def test_claim_takes_the_oldest_and_leases_them(spark):
     assert {r.id for r in later.collect()} == {"8", "7", "6"}
 
 
+@pytest.mark.parametrize("limit", [1, 37, 150, 400])
+def test_large_claims_take_the_same_rows(spark, monkeypatch, limit):
+    from contentspark.operators import outbox as module
+
+    rows = [{"id": f"{i:03}", "created_at": NOW - timedelta(hours=i * 37 % 50)} for i in range(300)]
+    box = outbox(spark, *rows).repartition(5)
+    expected = {r.id for r in claim_batch(box, now(), limit)[0].collect()}
+    monkeypatch.setattr(module, "MERGED_CLAIM", 0)
+    claimed, leased = claim_batch(box, now(), limit)
+    assert {r.id for r in claimed.collect()} == expected and len(expected) == min(limit, 300)
+    assert leased.where("locked_until is not null").count() == len(expected)
+
+
 def test_transitions(spark):
     box = outbox(spark, {"id": "1", "locked_until": NOW}, {"id": "2", "locked_until": NOW}, {"id": "3"})
     one = box.where("id = '1'").select("id")

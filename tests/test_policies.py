@@ -83,6 +83,23 @@ def test_sketch_is_close_to_exact(spark):
         assert abs(a - b) <= 20
 
 
+def test_merged_sketches_keep_their_rank_error(spark):
+    """Minutes merged into hours and these into days: every quantile's rank is within 2 % of what it should be."""
+    rng = np.random.default_rng(11)
+    rows = [("a", START + timedelta(seconds=int(s)), i, bool(i % 10 == 0), float(v))
+            for i, (s, v) in enumerate(zip(rng.integers(0, 86_400, 40_000), rng.lognormal(3, 1, 40_000)))]
+    rows += [("empty", START, 1, True, None)]
+    calls = spark.createDataFrame(rows, "domain string, ts timestamp_ntz, call_id long, failed boolean, ms double")
+    minutes = metrics.minute_state(calls, ["domain"], "ms", F.col("failed"))
+    days = metrics.merged_state(metrics.merged_state(minutes, ["domain"], "hour"), ["domain"], "day")
+    got = {r.domain: r for r in metrics.state_metrics(days, seconds=86_400.0).collect()}
+    values = np.sort([r[4] for r in rows if r[4] is not None])
+    for name, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99)):
+        assert abs(np.searchsorted(values, got["a"][name]) / len(values) - q) < 0.02
+    assert got["a"].max_value == values[-1] and got["a"].error_rate == 0.1 and abs(got["a"].rate - 40_000 / 86_400) < 1e-12
+    assert got["empty"].p50 is None and got["empty"].error_rate == 1.0
+
+
 def test_counts(spark):
     rows = spark.createDataFrame([("a",), ("a",), ("b",)], "source_id string")
     assert {tuple(r) for r in metrics.ingested_per_source(rows).collect()} == {("a", 2), ("b", 1), (None, 3)}
