@@ -27,7 +27,7 @@ GROUP_BYTES = 8 << 20
 _WHOLE = 64
 
 #: Bytes of words and ids that a worker keeps, in two generations: words not met for long go.
-_KNOWN_BYTES = 32 << 20
+_KNOWN_BYTES = 96 << 20
 _ENTRY_BYTES = 200
 _KEPT_LETTERS = 64
 # Characters that some white-space rules split at and others do not, a letter whose lower case depends on its
