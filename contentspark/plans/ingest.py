@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentspark.operators.constraints import outbox_violations, split_by_violations
@@ -10,6 +10,7 @@ from contentspark.operators.extract import MAX_PAYLOAD_BYTES, extract_feed_items
 from contentspark.operators.metrics import ingested_per_source
 from contentspark.operators.outbox import insert_if_absent, outbox_rows
 from contentspark.schemas import OUTBOX_EVENT
+from contentspark.sources.payloads import too_long_files, with_source_by_path
 
 
 def new_outbox_rows(
@@ -30,6 +31,12 @@ def rejected_payloads(payloads: DataFrame, max_bytes: int = MAX_PAYLOAD_BYTES) -
     return too_long.unionByName(empty)
 
 
+def rejected_files(spark: SparkSession, path: str, glob: str = "*", max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame:
+    """``(source_id, path, length, reason)`` of landed files that ingestion does not read. Spark itself skips empty files."""
+    return with_source_by_path(too_long_files(spark, path, glob, max_bytes)).select(
+        "source_id", "path", "length", F.lit("too long").alias("reason"))
+
+
 def valid_outbox_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that keep the outbox's limits, and the others with their ``violations``: one bad row holds up no other."""
     return split_by_violations(rows, outbox_violations())

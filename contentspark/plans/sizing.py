@@ -25,6 +25,13 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, known_rows: int | None = N
     return F.broadcast(df) if rows <= bound else df
 
 
+def broadcast_if_measured(df: DataFrame) -> DataFrame:
+    """Broadcast hint for a side whose rows and bytes were counted and are few; rows may hold arrays of any length."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    rows, held = df.limit(MAX_BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS and held <= MAX_BROADCAST_BYTES else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of an input with fewer splits than there are cores, dealt out to all cores.
 

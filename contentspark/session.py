@@ -27,13 +27,15 @@ def build_session(app_name: str = "contentspark", master: str | None = None, **c
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``; where it names none, a folder in the warehouse.
 
-    The warehouse is where this session's tables are stored, so every executor reaches it.
+    A warehouse that is a folder of one machine serves a local session alone; on a cluster the setting has to be given.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        if root.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root
 
 

@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 
 from contentspark.functions.urls import is_safe_url, url_domain, url_host
 from contentspark.operators.extract import MAX_PAYLOAD_BYTES
-from contentspark.plans.sizing import broadcast_if_small
+from contentspark.plans.sizing import broadcast_if_measured
 from contentspark.schemas import SOURCE
 
-_SOURCE_BYTES = 512
-
 
 def accepted_status(status: Column) -> Column:
     """Only complete answers count; redirects and errors are rejected."""
@@ -51,7 +49,7 @@ def scan_payload_table(payloads: DataFrame) -> DataFrame:
 
 def with_source(payloads: DataFrame, registry: DataFrame, key: str = "url") -> DataFrame:
     """``source_id`` for every payload whose ``key`` is registered."""
-    return payloads.join(broadcast_if_small(registry.select("source_id", key), _SOURCE_BYTES), key)
+    return payloads.join(broadcast_if_measured(registry.select("source_id", key)), key)
 
 
 def with_source_by_path(payloads: DataFrame) -> DataFrame:
@@ -67,5 +65,5 @@ def with_url_safety(rows: DataFrame, hosts: DataFrame | None = None, url: str =
         return located.withColumn("safe", is_safe_url(F.col(url)))
     known = hosts.select(F.lower("host").alias("__host"), "addresses")
     joined = located.withColumn("__host", F.lower(url_host(F.col(url)))).join(
-        broadcast_if_small(known, _SOURCE_BYTES), "__host", "left")
+        broadcast_if_measured(known), "__host", "left")
     return joined.withColumn("safe", is_safe_url(F.col(url), F.col("addresses"))).drop("__host", "addresses")

@@ -178,6 +178,43 @@ def test_payload_files(spark, tmp_path):
     assert spark.table("payloads").count() == 2
 
 
+def test_rejected_files(spark, tmp_path):
+    from contentspark.plans.ingest import rejected_files
+
+    folder = tmp_path / "source_id=a%20b"
+    folder.mkdir()
+    for name, size in (("1.xml", 10), ("2.xml", 50), ("3.xml", 0)):
+        (folder / name).write_bytes(b"x" * size)
+    rows = rejected_files(spark, str(tmp_path), "*.xml", max_bytes=20).collect()
+    assert [(r.source_id, r.path[-5:], r.length, r.reason) for r in rows] == [("a b", "2.xml", 50, "too long")]
+
+
+def test_broadcast_needs_few_bytes(spark, monkeypatch):
+    from contentspark.plans import sizing
+
+    hosts = spark.createDataFrame([("a", ["1.2.3.4"] * 1000), ("b", None)], "host string, addresses array<string>")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(sizing.broadcast_if_measured(hosts))
+    monkeypatch.setattr(sizing, "MAX_BROADCAST_BYTES", 5000)
+    assert not hinted(sizing.broadcast_if_measured(hosts))
+
+
+def test_checkpoints_of_a_cluster_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from contentspark.session import checkpoint_root
+
+    def session(master, **conf):
+        settings = SimpleNamespace(get=lambda name, default=None: conf.get(name.replace(".", "_"), default))
+        return SimpleNamespace(conf=settings, sparkContext=SimpleNamespace(master=master, getConf=lambda: settings))
+
+    assert checkpoint_root(session("local[2]", spark_sql_warehouse_dir="file:/w")) == "file:/w/_checkpoints"
+    assert checkpoint_root(session("yarn", spark_sql_warehouse_dir="hdfs://h/w")) == "hdfs://h/w/_checkpoints"
+    assert checkpoint_root(session("yarn", spark_checkpoint_dir="hdfs://h/c", spark_sql_warehouse_dir="file:/w")) == "hdfs://h/c"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(session("yarn", spark_sql_warehouse_dir="file:/w"))
+
+
 def test_registry(spark):
     registry = source_registry(spark, {"quay": "https://s/", "mole": "https://g/"})
     payloads = spark.createDataFrame([("https://s/", 1), ("https://other/", 2)], "url string, n int")
