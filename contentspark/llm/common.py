@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import types
@@ -10,6 +11,7 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +49,20 @@ def _of_this_stage() -> dict:
     return held
 
 
+#: Bytes that travel to a Python worker at once; long texts make small batches.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The table, after its session has been told to hand rows to Python by bytes; a smaller setting stays."""
+    conf = df.sparkSession.conf
+    now = str(conf.get(_BATCH_SETTING)).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def worker_state(name: str, make: Callable[[], object]) -> object:
     """Something a Python worker keeps until its stage ends, such as a tokenizer with the words it has met."""
     held = _of_this_stage()
@@ -59,6 +75,14 @@ def worker_state(name: str, make: Callable[[], object]) -> object:
 FEW_BYTES, FEW_ROWS = 1 << 20, 256
 
 
+def _give_back() -> None:
+    """Returns what the allocators of a Python worker hold but do not use; idle workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def few(batches, column: int, most_bytes: int = FEW_BYTES, most_rows: int = FEW_ROWS):
     """Slices of Arrow batches with about so many bytes of text in a column; at least one row each."""
     _of_this_stage()
@@ -71,6 +95,8 @@ def few(batches, column: int, most_bytes: int = FEW_BYTES, most_rows: int = FEW_
             end = min(max(end, at + 1), at + most_rows, batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+        del batch, sizes, total
+    _give_back()
 
 
 def in_fold(doc_id: Column, parts: int, part: int) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from contentspark.llm.common import few, mixed, stored
+from contentspark.llm.common import few, mixed, small_batches, stored
 
 UNKNOWN = "und"
 DIMENSIONS = 4096
@@ -77,19 +77,22 @@ def trigram_vector(text: str | None) -> np.ndarray | None:
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 20) -> np.ndarray:
-    """Weights and bias of an L1-loss linear SVM by dual coordinate descent; y is +1 or -1, classes weigh alike."""
-    x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
+    """Weights and bias of an L1-loss linear SVM by dual coordinate descent; y is +1 or -1, classes weigh alike.
+
+    x stays in its own precision; only the row at hand is widened. The last weight is that of a constant 1.
+    """
     share = np.where(y > 0, (y > 0).mean(), (y < 0).mean())
     limit = c * 0.5 / share
-    alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
-    squares = (x * x).sum(1)
+    alpha, w = np.zeros(len(x)), np.zeros(x.shape[1] + 1)
+    squares = np.asarray([np.append(row, 1).astype(np.float64) @ np.append(row, 1).astype(np.float64) for row in x])
     rng = np.random.default_rng(0)
     for _ in range(rounds):
         for i in rng.permutation(len(x)):
-            gradient = y[i] * (x[i] @ w) - 1
+            row = np.append(x[i], 1).astype(np.float64)
+            gradient = y[i] * (row @ w) - 1
             new = min(max(alpha[i] - gradient / squares[i], 0), limit[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w += (new - alpha[i]) * y[i] * row
                 alpha[i] = new
     return w
 
@@ -137,10 +140,11 @@ def train(sample: DataFrame) -> dict:
                 [pa.array(v, t) for v, t in zip(out.values(), (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.binary()))], names=list(out))
 
     def fitted(key, rows):
-        x = np.frombuffer(b"".join(rows["vector"].to_pylist()), np.float16).reshape(-1, DIMENSIONS)
-        y = rows["side"].to_numpy().astype(np.float64)
-        order = np.lexsort((np.asarray([zlib.crc32(v) for v in rows["vector"].to_pylist()]), y))
-        x, y = x[order], y[order]
+        vectors, sides = rows["vector"].to_pylist(), rows["side"].to_numpy()
+        order = np.lexsort((np.asarray([zlib.crc32(v) for v in vectors]), sides))
+        x = np.frombuffer(b"".join(vectors[i] for i in order), np.float16).reshape(-1, DIMENSIONS)
+        y = sides[order].astype(np.float64)
+        del vectors
         w = train_svm(x, y) if len(set(y)) == 2 else np.append(np.zeros(DIMENSIONS), y[0])
         return pa.table({"level": pa.array([key[0].as_py()], pa.int32()), "one": [key[1].as_py()], "other": [key[2].as_py()],
                          "w": [w.astype(np.float32).tobytes()]})
@@ -193,7 +197,7 @@ def identify(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANG
     letterless texts are `und` with score 0, as is everything if nothing can be learned. Whole texts are read;
     repeated rows are predicted each; columns of the new names are replaced.
     """
-    docs = docs.drop(pred, score)
+    docs = small_batches(docs).drop(pred, score)
     model = train(stored(training_sample(docs, learn, per_language)))
     kept = docs.columns
 

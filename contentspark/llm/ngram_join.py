@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentspark.llm.common import connected_components, few, gram_hashes, mixed, stored, word_hashes
+from contentspark.llm.common import connected_components, few, gram_hashes, mixed, small_batches, stored, word_hashes
 
 #: Components of up to so many classes are verified in one task; blocks of larger buckets have half as many.
 TOGETHER = 1024
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, numerator: int = 4, denominator
     missed with chance 1 - recall, a more similar one with less. Sets are told apart by 64-bit hashes.
     """
     bands, rows = banding(numerator / denominator, recall)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
     signed = stored(texts.mapInArrow(_signed(n, bands, rows), "doc_id long, tag long, cls long, bands array<long>"))
     # One row stands for a class: that of the smallest id, or of the smallest text hash where no row has an id.
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag"))

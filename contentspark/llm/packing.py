@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentspark.llm.common import few, worker_state
+from contentspark.llm.common import few, small_batches, worker_state
 
 SEQUENCE = 4096
 END_ID = 2
@@ -137,7 +137,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     Null and empty texts are one end id. A null id stays null; rows with equal ids are packed each. An empty table
     gives no pieces.
     """
-    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col(text_col)))).first()
+    rows, size = small_batches(docs).agg(F.count("*"), F.sum(F.octet_length(F.col(text_col)))).first()
     groups = max(1, -(-rows // group_documents), -(-(size or 0) // GROUP_BYTES))
     piece_bytes = 4 * sequence
     end = np.asarray([end_id], "<u4").tobytes()

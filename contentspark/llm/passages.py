@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentspark.llm.common import few, gram_hashes, stored, text_tag, word_hashes
+from contentspark.llm.common import few, gram_hashes, small_batches, stored, text_tag, word_hashes
 
 K, WINDOW = 7, 10
 MIN_WORDS = 50
@@ -306,7 +306,7 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float
     passage; rows with the same id and text are one document; other texts of one id, or without id, are documents of
     their own, told apart by `tag`. Documents without id come last and have doc 2^63 - 1.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     seeds = texts.mapInArrow(_seeded(k, window, min_words), "seed long, doc long, place long, turn int")
     least = seeds.where("turn = 0").groupBy("seed").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1").select("seed", "first")
     shared = stored(seeds.join(least, "seed"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentspark.llm.common import few, hash_words, word_spans
+from contentspark.llm.common import few, hash_words, small_batches, word_spans
 
 MIN_WORDS = 24
 MIN_EXPONENT = 3
@@ -290,6 +290,6 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     `runs` holds (start, length, period) by start, then period, in words from 0; `strongest` is the run with the greatest
     length / period, null without runs; `collapsed` is the text with one period of each run left.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(
         _detect, f"doc_id long, n_words long, runs array<struct<{_RUN}>>, strongest struct<{_RUN}>, collapsed string")

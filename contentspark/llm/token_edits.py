@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from contentspark.llm.common import few, worker_state
+from contentspark.llm.common import few, small_batches, worker_state
 
 #: The pattern that the vocabulary's pre-tokens follow. A fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -213,7 +213,7 @@ def count_tokens(docs: DataFrame, ranks_path: str, text_col: str = "text") -> Da
 
     A null text has null leaves and no tokens, an empty one empty leaves. Columns of these names are replaced.
     """
-    docs = docs.drop(*[n for n, _ in _STATE])
+    docs = small_batches(docs).drop(*[n for n, _ in _STATE])
     names = docs.columns
 
     def counted(batches):
@@ -268,7 +268,7 @@ def recount_cleaned(docs: DataFrame, ranks_path: str) -> DataFrame:
     """
     def recounted(batches):
         counter = worker_state(f"counts {ranks_path}", lambda: Counter(ranks_path))
-        for batch in batches:
+        for batch in few(batches, 1):
             out = []
             for text in batch.column(1):
                 text = text.as_py() or ""
@@ -282,5 +282,5 @@ def recount_cleaned(docs: DataFrame, ranks_path: str) -> DataFrame:
                 [batch.column(0), *[pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]],
                 names=["doc_id", "n_tokens", "edits", "n_tokens_after", "reencoded", "n_chars_after"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         recounted, "doc_id long, n_tokens long, edits int, n_tokens_after long, reencoded long, n_chars_after long")
