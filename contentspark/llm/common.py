@@ -13,7 +13,6 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,15 +37,9 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _of_this_stage() -> dict:
-    """What a Python worker keeps from task to task of one stage; it goes when the worker meets another stage."""
-    held = sys.modules.setdefault("contentspark_worker_state", types.ModuleType("contentspark_worker_state")).__dict__
-    context = TaskContext.get()
-    stage = context.stageId() if context else None
-    if held.get("stage") != stage:
-        held.clear()
-        held["stage"] = stage
-    return held
+def _held() -> dict:
+    """What a Python worker keeps from task to task."""
+    return sys.modules.setdefault("contentspark_worker_state", types.ModuleType("contentspark_worker_state")).__dict__
 
 
 #: Bytes that travel to a Python worker at once; long texts make small batches.
@@ -64,8 +57,8 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def worker_state(name: str, make: Callable[[], object]) -> object:
-    """Something a Python worker keeps until its stage ends, such as a tokenizer with the words it has met."""
-    held = _of_this_stage()
+    """Something a Python worker keeps until a task of another operator comes, such as a tokenizer with the words it has met."""
+    held = _held()
     if name not in held:
         held[name] = make()
     return held[name]
@@ -83,9 +76,14 @@ def _give_back() -> None:
         trim(0)
 
 
-def few(batches, column: int, most_bytes: int = FEW_BYTES, most_rows: int = FEW_ROWS):
-    """Slices of Arrow batches with about so many bytes of text in a column; at least one row each."""
-    _of_this_stage()
+def few(batches, column: int, most_bytes: int = FEW_BYTES, most_rows: int = FEW_ROWS, keep: str | None = None):
+    """Slices of Arrow batches with about so many bytes of text in a column; at least one row each.
+
+    Of what the worker holds only the state named `keep` stays.
+    """
+    held = _held()
+    for name in [n for n in held if n != keep and not n.startswith("__")]:
+        del held[name]
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         total = np.append(0, np.cumsum(sizes))

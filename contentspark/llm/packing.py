@@ -27,7 +27,7 @@ GROUP_BYTES = 8 << 20
 _WHOLE = 64
 
 #: Bytes of words and ids that a worker keeps, in two generations: words not met for long go.
-_KNOWN_BYTES = 96 << 20
+_KNOWN_BYTES = 128 << 20
 _ENTRY_BYTES = 200
 _KEPT_LETTERS = 64
 # Characters that some white-space rules split at and others do not, a letter whose lower case depends on its
@@ -143,10 +143,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     end = np.asarray([end_id], "<u4").tobytes()
 
     def tokenised(batches):
-        encoder = worker_state(f"packing {tokenizer_path}", lambda: TextEncoder(tokenizer_path))
+        name = f"packing {tokenizer_path}"
+        encoder = worker_state(name, lambda: TextEncoder(tokenizer_path))
         context = TaskContext.get()
         task, at, whole = (context.partitionId() if context else 0), 0, 0
-        for part in few(batches, 1, most_rows=1 << 12):
+        for part in few(batches, 1, most_rows=1 << 12, keep=name):
             out = {"doc_id": [], "start": [], "ids": [], "doc_tokens": [], "grp": []}
             for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
                 ids += end

@@ -217,8 +217,9 @@ def count_tokens(docs: DataFrame, ranks_path: str, text_col: str = "text") -> Da
     names = docs.columns
 
     def counted(batches):
-        counter = worker_state(f"counts {ranks_path}", lambda: Counter(ranks_path))
-        for part in few(batches, names.index(text_col)):
+        name = f"counts {ranks_path}"
+        counter = worker_state(name, lambda: Counter(ranks_path))
+        for part in few(batches, names.index(text_col), keep=name):
             found = [None if t is None else Document(counter, t) for t in part.column(names.index(text_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, *_state(found)], names=[*names, *[n for n, _ in _STATE]])
 
@@ -242,8 +243,9 @@ def apply_edits(counted: DataFrame, edits: DataFrame, ranks_path: str) -> DataFr
         counted["doc_id"].cast("long").alias("doc_id"), "text", "leaf_chars", "leaf_tokens", "edits")
 
     def edited(batches):
-        counter = worker_state(f"counts {ranks_path}", lambda: Counter(ranks_path))
-        for part in few(batches, 1):
+        name = f"counts {ranks_path}"
+        counter = worker_state(name, lambda: Counter(ranks_path))
+        for part in few(batches, 1, keep=name):
             found, changes = [], []
             for text, chars, tokens, changed in zip(*(part.column(i).to_pylist() for i in (1, 2, 3, 4))):
                 if text is None and not changed:
@@ -267,8 +269,9 @@ def recount_cleaned(docs: DataFrame, ranks_path: str) -> DataFrame:
     The tree of a row lives as long as its edits take: nothing is shuffled. Null and empty texts have no tokens.
     """
     def recounted(batches):
-        counter = worker_state(f"counts {ranks_path}", lambda: Counter(ranks_path))
-        for batch in few(batches, 1):
+        name = f"counts {ranks_path}"
+        counter = worker_state(name, lambda: Counter(ranks_path))
+        for batch in few(batches, 1, keep=name):
             out = []
             for text in batch.column(1):
                 text = text.as_py() or ""
