@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentspark.operators.ranking import top_k
+from contentspark.operators.ranking import first_n, top_k
 
 DEFAULT_LIMIT = 20
+#: Longer feeds are chosen and sorted range by range instead of by one merging task.
+MERGED_FEED = 1000
 FEED_COLUMNS = ("id", "source_id", "external_id", "title", "url")
 
 
@@ -28,12 +30,17 @@ def unread_feed(items: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
 
     The last place of the answer comes from a first look at three narrow columns. As scalar subqueries its time and,
     where undated rows are needed, its id reach the scan as filters, so the text columns are read only where row groups
-    can hold a row of the answer.
+    can hold a row of the answer. A feed of more than ``MERGED_FEED`` rows passes through no single task.
     """
     order = [F.col("published_at").desc_nulls_last(), F.col("id").asc()]
     open_items = items.where(unread(F.col("read")))
-    newest = top_k(open_items.select("published_at", "id"), limit, order)
+    merged = limit <= MERGED_FEED
+    newest = (top_k if merged else first_n)(open_items.select("published_at", "id"), limit, order)
     oldest = newest.agg(F.min("published_at")).scalar()
     last_undated = newest.where(F.col("published_at").isNull()).agg(F.max("id")).scalar()
     wanted = (F.col("published_at") >= oldest) | (F.col("published_at").isNull() & (F.col("id") <= last_undated))
-    return top_k(feed_rows(open_items.where(wanted)), limit, order)
+    rows = feed_rows(open_items.where(wanted))
+    if merged:
+        return top_k(rows, limit, order)
+    # Rows at the place of the last one may be too many.
+    return (rows if open_items.where(wanted).count() <= limit else first_n(rows, limit, order)).orderBy(*order)

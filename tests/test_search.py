@@ -260,3 +260,16 @@ def test_undated_rows_stay_in_the_feed(spark):
     for limit in (1, 2, 3, 5, 20):
         assert [r.id for r in unread_feed(items, limit).collect()] == [6, 2, 0, 1, 3, 5, 7][:limit]
     assert [r.id for r in unread_feed(items.where("published_at is null"), 2).collect()] == [1, 3]
+
+
+def test_long_feed_passes_through_no_single_task(spark):
+    rows = spark.range(4000).selectExpr(
+        "id % 3900 AS id", "if(id % 3 = 0, NULL, timestamp'2025-01-01' + make_dt_interval(0, 0, 0, id % 7)) AS published_at", "id % 10 = 0 AS read",
+        "'s' AS source_id", "'e' AS external_id", "'t' AS title", "'u' AS url", "'c' AS content_text")
+    open_rows = [(r.published_at, r.id) for r in rows.where("not read").collect()]
+    expected = sorted(open_rows, key=lambda r: (r[0] is None, -r[0].timestamp() if r[0] else 0, r[1]))
+    tied = next(i for i in range(2000, 4000) if expected[i] == expected[i + 1]) + 1
+    for limit in (1200, 2900, tied, 3600, 5000):
+        assert [(r.published_at, r.id) for r in unread_feed(rows, limit).collect()] == expected[:limit]
+    plan = unread_feed(rows, 5000)._jdf.queryExecution().optimizedPlan().treeString()
+    assert "GlobalLimit" not in plan and "LocalLimit" not in plan
