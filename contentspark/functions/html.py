@@ -24,6 +24,8 @@ BLOCK = r"(?i)</?(" + "|".join(BLOCK_TAGS) + r")(\s[^>]*|/)?>"
 TAG = r"</?[A-Za-z][^>]*>|<![A-Za-z][^>]*>|<\?[^>]*>"
 INVISIBLE = "[\u200b\u00ad]"
 BLANKS = "[ \\t\\n\\f\\r\u00a0]+"
+# What those two change: any but a single blank.
+UNEVEN = "[ \\t\\n\\f\\r\u00a0\u200b\u00ad](?<! (?! ))"
 
 # The standard's named references come from Python's own table. Those that may stand without a semicolon come first: they
 # are the common ones, and a look-up walks along the names.
@@ -86,7 +88,8 @@ def strip_tags_sql(text: str) -> str:
 
 
 def collapse_blanks_sql(text: str) -> str:
-    return f"trim(regexp_replace(regexp_replace({text}, {quoted(INVISIBLE)}, ''), {quoted(BLANKS)}, ' '))"
+    changed = f"regexp_replace(regexp_replace(t, {quoted(INVISIBLE)}, ''), {quoted(BLANKS)}, ' ')"
+    return let_sql("t", text, f"trim(if(t RLIKE {quoted(UNEVEN)}, {changed}, t))")
 
 
 def plain_text_sql(markup: str) -> str:

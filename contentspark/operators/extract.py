@@ -32,8 +32,9 @@ def _start(tag: str) -> str:
 
 def inner_sql(text: str, tag: str) -> str:
     """Mark-up inside the first element of this name; NULL without one, to the end when it is never closed."""
-    pattern = rf"(?is)<{tag}(?:\s[^>]*?)?(?:/>|>(.*?)(?:</{tag}\s*>|\z))"
-    return f"if({text} RLIKE {_start(tag)}, regexp_extract({text}, {quoted(pattern)}, 1), NULL)"
+    end = rf"</{tag}\s*>|\z"
+    pattern = rf"(?is)<{tag}(?:\s[^>]*?)?(?:/>|>([^<]*+(?:(?={end})|.*?))(?:{end}))"
+    return let_sql("r", f"regexp_extract({text}, {quoted(pattern)}, 1)", f"if(r <> '', r, if({text} RLIKE {_start(tag)}, '', NULL))")
 
 
 def text_sql(text: str, tag: str) -> str:
@@ -63,16 +64,16 @@ def _fields_sql(**fields: str) -> str:
     return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
 
 
-RSS_FIELDS = _fields_sql(
-    external_id=f"coalesce({non_blank_sql(text_sql('p.m', 'guid'))}, {text_sql('p.m', 'link')})",
-    url=text_sql("p.m", "link"), title=text_sql("p.m", "title"), body=text_sql("p.m", "description"),
-    date=text_sql("p.m", "pubDate"),
-)
-ATOM_FIELDS = _fields_sql(
-    external_id=f"coalesce({text_sql('p.m', 'yt:videoId')}, {text_sql('p.m', 'id')}, {atom_link_sql('p.m')})",
-    url=atom_link_sql("p.m"), title=text_sql("p.m", "title"), body=atom_content_sql("p.m"),
+RSS_FIELDS = let_sql("url", text_sql("p.m", "link"), _fields_sql(
+    external_id=f"coalesce({non_blank_sql(text_sql('p.m', 'guid'))}, url)",
+    url="url", title=text_sql("p.m", "title"), date=text_sql("p.m", "pubDate"),
+))
+ATOM_FIELDS = let_sql("url", atom_link_sql("p.m"), _fields_sql(
+    external_id=f"coalesce({text_sql('p.m', 'yt:videoId')}, {text_sql('p.m', 'id')}, url)",
+    url="url", title=text_sql("p.m", "title"),
     date=f"coalesce({non_blank_sql(text_sql('p.m', 'published'))}, {text_sql('p.m', 'updated')})",
-)
+))
+RSS_BODY, ATOM_BODY = text_sql("p.m", "description"), atom_content_sql("p.m")
 
 
 def _pieces_sql(text: str) -> str:
@@ -92,7 +93,8 @@ def _segments(payloads: DataFrame) -> DataFrame:
     The document stays inside the generator, so exploded rows do not carry it along.
     """
     text = escape_cdata_sql("make_valid_utf8(CAST(p.content AS string))")
-    pieces = bind(_pieces_sql(f"regexp_replace({text}, {quoted(COMMENT)}, '')"), content=F.col("content"))
+    plain = let_sql("t", text, f"if(contains(t, '<!--'), regexp_replace(t, {quoted(COMMENT)}, ''), t)")
+    pieces = bind(_pieces_sql(plain), content=F.col("content"))
     return payloads.select("source_id", "ingest_ts", F.posexplode(pieces).alias("i", "piece")).select(
         "source_id", "ingest_ts", (F.col("i") + 1).alias("position"), "piece.format",
         F.col("piece.markup").alias("markup"))
@@ -100,13 +102,15 @@ def _segments(payloads: DataFrame) -> DataFrame:
 
 def extract_feed_items(payloads: DataFrame, max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame:
     """``payloads(source_id, length, content, ingest_ts)`` to one row per feed item, in document order."""
-    markup = F.col("markup")
-    fields = F.when(F.col("format") == "rss", bind(RSS_FIELDS, m=markup)).otherwise(bind(ATOM_FIELDS, m=markup))
-    read = _segments(payloads.where(size_fits(F.col("length"), max_bytes))).select(
-        "source_id", "ingest_ts", "format", "position", F.inline(F.array(fields)))
-    return read.select(
-        "source_id", "format", "position", "external_id",
-        clean_html(F.col("title")).alias("title"), "url", clean_html(F.col("body")).alias("content_text"),
-        F.coalesce(parse_feed_date(F.col("date")), F.col("ingest_ts").cast("timestamp_ntz")).alias("published_at"),
-        F.col("ingest_ts"),
-    )
+    def by_format(rss: str, atom: str) -> Column:
+        return F.when(F.col("format") == "rss", bind(rss, m=F.col("markup"))).otherwise(bind(atom, m=F.col("markup")))
+
+    # What comes out of a generator is worked out once, even where later filters read it. The body is left out of it: a
+    # caller that needs none pays for none.
+    read = _segments(payloads.where(size_fits(F.col("length"), max_bytes))).select("*", F.inline(F.array(by_format(RSS_FIELDS, ATOM_FIELDS))))
+    kept = read.select("source_id", "ingest_ts", "format", "position", "markup", F.inline(F.array(F.struct(
+        "external_id", clean_html(F.col("title")).alias("title"), "url",
+        F.coalesce(parse_feed_date(F.col("date")), F.col("ingest_ts").cast("timestamp_ntz")).alias("published_at")))))
+    return kept.select(
+        "source_id", "format", "position", "external_id", "title", "url",
+        clean_html(by_format(RSS_BODY, ATOM_BODY)).alias("content_text"), "published_at", "ingest_ts")

@@ -57,8 +57,9 @@ def feed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         "<?xml version=\"1.0\"?><feed><title>All</title>")
     tail = F.when(kind == 0, "</channel></rss>").otherwise("</feed>")
     content = F.concat(head, items, tail).cast("binary")
-    return spread(table(spark, sf_dir, "documents")).select(
-        "source", F.col("source").alias("source_id"), content.alias("content"), F.length(content).cast("long").alias("length"),
+    # Out of a generator, so that a filter on the length does not write the feeds again.
+    return spread(table(spark, sf_dir, "documents")).select("source", "doc_id", F.explode(F.array(content)).alias("content")).select(
+        "source", F.col("source").alias("source_id"), "content", F.length("content").cast("long").alias("length"),
         now().alias("ingest_ts"), F.lit(200).alias("status"), F.concat(F.lit("/landing/"), doc).alias("path"),
     )
 
