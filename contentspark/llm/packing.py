@@ -30,13 +30,15 @@ _WHOLE = 64
 _KNOWN_BYTES = 128 << 20
 _ENTRY_BYTES = 200
 _KEPT_LETTERS = 64
+#: Words that are encoded as one text, and the mark that stands between them.
+_RUN, _BETWEEN = 512, "."
 # Characters that some white-space rules split at and others do not, a letter whose lower case depends on its
 # neighbours, and special tokens: such texts are encoded whole.
 _ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff\u03a3\u0130]|<\\|")
 # Texts of nothing but Latin letters, digits, plain white space and marks: there words and runs of marks are tokenised
 # apart. An apostrophe may belong to either, so texts with one are cut at white space only.
-_OTHER = re.compile(r"[^ \t\n\r\x0b\x0ca-zA-Z0-9À-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]|<\||[!-&(-/:-@\[-`{-~]{2}")
-_ALIEN = re.compile(r"[^ \t\n\r\x0b\x0ca-zA-Z0-9À-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]|<\|")
+_ALIEN = re.compile(r"[^ \t\n\r\x0b\x0ca-zA-Z0-9À-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]")
+_TWO_MARKS = re.compile(r"[!-&(-/:-@\[-`{-~]{2}")
 _MARKS = re.compile(r"[!-&(-/:-@\[-`{-~]+")
 _SINGLE = [chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]
 
@@ -49,24 +51,42 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.before, self.bytes = Tokenizer.from_file(path), {}, {}, 0
+        mark = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else -1
 
     def _fresh(self, pieces: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in encoded]
 
+    def _fresh_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words. Those of letters and digits alone are encoded many in one text, with a mark between any two."""
+        found, alone, plain = {}, [], []
+        for word in words:
+            (plain if word.isalnum() else alone).append(word)
+        runs = [plain[i:i + _RUN] for i in range(0, len(plain), _RUN)]
+        for run, data in zip(runs, self._fresh([f" {_BETWEEN} ".join(run) for run in runs]) if runs else ()):
+            ids = np.frombuffer(data, "<u4")
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) != len(run) - 1:
+                alone += run
+                continue
+            starts, ends = 4 * np.append(0, marks + 1), 4 * np.append(marks, len(ids))
+            found.update((w, data[a:b]) for w, a, b in zip(run, starts.tolist(), ends.tolist()))
+        found.update(zip(alone, self._fresh(alone)) if alone else ())
+        return found
+
     @staticmethod
     def _words(text: str) -> list[str] | None:
         """Parts of a text that are tokenised alone; None if it has to be encoded whole."""
-        odd = _OTHER.search(text)
-        if odd is None:
-            text = text.lower()
-            for mark in _SINGLE:
-                if mark in text:
-                    text = text.replace(mark, f" {mark} ")
-            return text.split()
-        if len(odd[0]) == 2 and odd[0] != "<|" and not _ALIEN.search(text):
+        if "<|" in text or _ALIEN.search(text):
+            return None if _ODD.search(text) else text.lower().split()
+        if _TWO_MARKS.search(text):
             return _MARKS.sub(r" \g<0> ", text.lower()).split()
-        return None if _ODD.search(text) else text.lower().split()
+        text = text.lower()
+        for mark in _SINGLE:
+            if mark in text:
+                text = text.replace(mark, f" {mark} ")
+        return text.split()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of texts, a few at a time: words not met before are encoded together."""
@@ -84,8 +104,7 @@ class TextEncoder:
             else:
                 rows.append((ids, (), ()))
         found = {w: ids for w in missing if (ids := self.before.get(w)) is not None}
-        fresh = [w for w in missing if w not in found]
-        found.update(zip(fresh, self._fresh(fresh)) if fresh else ())
+        found.update(self._fresh_words([w for w in missing if w not in found]))
         kept = {w: ids for w, ids in found.items() if len(w) <= _KEPT_LETTERS}
         known.update(kept)
         self.bytes += sum(_ENTRY_BYTES + len(w) + len(ids) for w, ids in kept.items())

@@ -89,3 +89,15 @@ def test_sequences(spark):
     rows = spark.createDataFrame([(1, "a b c d"), (2, "e")], "doc_id long, text string")
     lengths = [len(r.input_ids) for r in packing.sequences(packing.pack_documents(rows, PATH), pad_id=0).collect()]
     assert lengths == [4096]
+
+
+def test_words_encoded_together(plain, monkeypatch):
+    """Words share texts, and every word has the ids it has alone."""
+    monkeypatch.setattr(packing, "_RUN", 5)
+    encoder = packing.TextEncoder(PATH)
+    asked, fresh = [], encoder._fresh
+    monkeypatch.setattr(encoder, "_fresh", lambda pieces: asked.append(len(pieces)) or fresh(pieces))
+    words = ["a", "hello", "x1y2", "3.14", ".", "e.g", "don't", "ß", "ñandú", "中文字", "ﬁ", "½", "٣", "ไทย", "한국어", "a" * 300, "Ⅳ", "zoë", "ǆ", "0", "\u0e33", "ª"]
+    got = encoder._fresh_words(words)
+    assert {w: np.frombuffer(x, "<u4").tolist() + [2] for w, x in got.items()} == {w: plain(w) for w in words}
+    assert sum(asked) < len(words)
