@@ -9,6 +9,7 @@ tokens at every size.
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -27,7 +28,7 @@ GROUP_BYTES = 8 << 20
 _WHOLE = 64
 
 #: Bytes of words and ids that a worker keeps, in two generations: words not met for long go.
-_KNOWN_BYTES = 128 << 20
+_KNOWN_BYTES = 64 << 20
 _ENTRY_BYTES = 200
 _KEPT_LETTERS = 64
 #: Words that are encoded as one text, and the mark that stands between them.
@@ -48,6 +49,8 @@ class TextEncoder:
     across it, so the ids of words are kept and looked up again."""
 
     def __init__(self, path: str):
+        # A task has one core; the threads of the tokenizer's own pool keep memory that outlives the tokenizer.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.before, self.bytes = Tokenizer.from_file(path), {}, {}, 0

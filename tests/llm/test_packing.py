@@ -1,4 +1,7 @@
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -101,3 +104,35 @@ def test_words_encoded_together(plain, monkeypatch):
     got = encoder._fresh_words(words)
     assert {w: np.frombuffer(x, "<u4").tolist() + [2] for w, x in got.items()} == {w: plain(w) for w in words}
     assert sum(asked) < len(words)
+
+
+def test_memory_of_encoders_in_turn():
+    """A worker's tasks of packing between those of other operators: MB that later encoders add, threads they leave, words they keep."""
+    code = f"""
+import os, re
+import numpy as np
+from contentspark.llm import common, packing
+def now():
+    return int(re.search(r"VmRSS:\\s+(\\d+)", open('/proc/self/status').read())[1]) / 1024
+def turn(seed):
+    encoder = packing.TextEncoder({PATH!r})
+    letters = np.random.default_rng(seed).integers(97, 123, (300_000, 9)).astype(np.uint8)
+    letters[:, 8] = 32
+    text = letters.tobytes().decode()
+    kept = 0
+    for at in range(0, len(text), 1 << 20):
+        encoder.encode([text[at:at + (1 << 20)]])
+        kept = max(kept, sum(200 + len(w) + len(i) for known in (encoder.known, encoder.before) for w, i in known.items()))
+    return kept >> 20
+threads = len(os.listdir('/proc/self/task'))
+kept = turn(0)
+common._give_back()
+base = now()
+for seed in (1, 2):
+    turn(seed)
+    common._give_back()
+print(kept, round(now() - base), len(os.listdir('/proc/self/task')) - threads)
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], check=True, capture_output=True, text=True)
+    kept, more, threads = map(int, out.stdout.split())
+    assert threads == 0 and kept <= 80 and more < 50
